@@ -15,11 +15,12 @@ pytest.importorskip("public_tokenizers")
 def sf(spark, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("sf"))
     rng = random.Random(12)
-    words = ["the", "and", "of", "thing", "ering", "onre", "sha", "é", "reed", "Ist"]
-    prose = lambda n: "\n".join(" ".join(rng.choice(words) + str() for _ in range(14)) + "." for _ in range(n))
+    parts = ["the", "and", "of", "thing", "er", "on", "re", "sha", "é", "reed", "ist"]
+    word = lambda: rng.choice(["the", "of", "and"]) if rng.random() < 0.3 else "".join(rng.choice(parts) for _ in range(3))
+    prose = lambda n: "\n".join(" ".join(word() for _ in range(14)) + "." for _ in range(n))
     docs = [(i, prose(rng.randrange(3, 9)), "en", f"src{i % 3}") for i in range(60)]
     docs += [(60 + i, docs[i][1], "en", "src0") for i in range(5)]
-    docs += [(70 + i, docs[i + 9][1].replace("thing", "thong", 1), "en", "src0") for i in range(5)]
+    docs += [(70 + i, docs[i + 9][1].replace("the ", "they ", 1), "en", "src0") for i in range(5)]
     docs += [(80 + i, " ".join(w.upper() + "!!" for w in prose(4).split()), "en", "src0") for i in range(5)]
     docs += [(90, prose(3) + "\npassword=0123456789abcdef01 end of it.", "en", "src0"), (91, None, None, None), (92, "", "en", "src1")]
     spark.createDataFrame([(*x, len(x[1] or "")) for x in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
