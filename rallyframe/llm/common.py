@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 #: A word is a run of characters other than the space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_RE = re.compile(r"[^ \t-\r]+")
-#: A-Z to a-z and nothing else, for str.translate.
-LOWER_AZ = {c: c + 32 for c in range(65, 91)}
+#: A-Z to a-z and nothing else, for bytes.translate.
+LOWER_BYTES = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def words_of(text: str) -> list[str]:

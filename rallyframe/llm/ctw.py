@@ -38,14 +38,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, staged
+from .common import LOWER_BYTES, staged
 from .setsketch import word_hashes
 
 DEPTH, END = 3, 0xFF
-GROUP_BYTES = 64 << 20
+GROUP_BYTES = 32 << 20
 WORD, GRAM = 0, 1
 #: Bytes after which a task's requests are summed.
-FLUSH = 8 << 20
+FLUSH = 4 << 20
 
 
 def is_training(doc_id: Column) -> Column:
@@ -54,11 +54,12 @@ def is_training(doc_id: Column) -> Column:
 
 def grams(text: str) -> np.ndarray:
     """For each byte of the text and its end: the DEPTH bytes before it and itself, as one number, first byte highest."""
-    b = np.frombuffer(bytes([END] * DEPTH) + text.translate(LOWER_AZ).encode("utf-8", "surrogatepass") + bytes([END]), np.uint8).astype(np.int64)
+    b = np.frombuffer(bytes([END] * DEPTH) + text.encode("utf-8", "surrogatepass").translate(LOWER_BYTES) + bytes([END]), np.uint8)
     n = len(b) - DEPTH
-    out = np.zeros(n, np.int64)
-    for i in range(DEPTH + 1):
-        out = (out << 8) | b[i : i + n]
+    out = b[:n].astype(np.uint32 if DEPTH < 4 else np.int64)
+    for i in range(1, DEPTH + 1):
+        out <<= 8
+        out |= b[i : i + n]
     return out
 
 
@@ -138,31 +139,46 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[starts], np.add.reduceat(counts, starts)
 
 
-def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(g, training, text) -> REQUESTS: the distinct keys of each group with their training counts."""
-    held: dict[tuple[int, int], list] = {}
+def _counted(parts: list[np.ndarray], weight: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of many arrays, each with how often it is found times weight."""
+    keys = np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[starts].astype(np.int64), weight * np.diff(np.append(starts, len(keys)))
+
+
+class _Asked:
+    """The keys of one kind and group: raw ones of the last texts, and the sums so far."""
 
-    def fold(kind_g: tuple[int, int]) -> None:
-        parts = held[kind_g]
-        held[kind_g] = [_summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))]
+    def __init__(self) -> None:
+        self.raw: tuple[list, list] = ([], [])
+        self.sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def fold(self) -> tuple[np.ndarray, np.ndarray]:
+        parts = [self.sums, _counted(self.raw[0], 0), _counted(self.raw[1], 1)]
+        self.raw = ([], [])
+        self.sums = _summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
+        return self.sums
+
+
+def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(g, training, text) -> REQUESTS: the distinct keys of each group with their training counts."""
+    held: dict[tuple[int, int], _Asked] = {}
     size = 0
     for batch in batches:
         for g, training, text in zip(*(batch.column(i) for i in range(3))):
             g, training, text = g.as_py(), training.as_py(), text.as_py() or ""
             for kind, keys in ((WORD, word_hashes(text).view(np.int64)), (GRAM, grams(text))):
-                held.setdefault((kind, g), []).append((keys, np.full(len(keys), int(training), np.int64)))
+                held.setdefault((kind, g), _Asked()).raw[training].append(keys)
             size += len(text)
             if size > FLUSH:
-                for kind_g in held:
-                    fold(kind_g)
+                for asked in held.values():
+                    asked.fold()
                 size = 0
-    for kind_g in held:
-        fold(kind_g)
-        ((keys, counts),) = held[kind_g]
+    for (kind, g), asked in held.items():
+        keys, counts = asked.fold()
         for i in range(0, len(keys), 100_000):
             n = len(keys[i : i + 100_000])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind_g[0], np.int32)), pa.array(keys[i : i + n]), pa.array(np.full(n, kind_g[1], np.int32)), pa.array(counts[i : i + n])], ["kind", "key", "g", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(keys[i : i + n]), pa.array(np.full(n, g, np.int32)), pa.array(counts[i : i + n])], ["kind", "key", "g", "n"])
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, log_counts double, score double, n_bytes long"
@@ -189,11 +205,11 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if isinstance(answers[k], list):
                     keys, values = (np.concatenate([x[i] for x in answers[k]]) if answers[k] else np.zeros(0) for i in (0, 1))
                     order = np.argsort(keys, kind="stable")
-                    answers[k] = keys[order], values[order]
+                    answers[k] = keys[order].astype(np.uint32 if k == GRAM and DEPTH < 4 else np.int64), values[order]
             rows = []
             for doc_id, held_out, text in zip(part.column("doc_id"), part.column("held_out"), part.column("text")):
                 text = text.as_py() or ""
-                words, strings = word_hashes(text).view(np.int64), grams(text)
+                words, strings = np.sort(word_hashes(text).view(np.int64)), np.sort(grams(text))  # the sums need no order, and sorted keys are found faster
                 known = answers[WORD][1][np.searchsorted(answers[WORD][0], words)] if len(words) else np.zeros(0)
                 score = answers[GRAM][1][np.searchsorted(answers[GRAM][0], strings)].sum()
                 rows.append((doc_id.as_py(), held_out.as_py(), len(words), int((known > 0).sum()), float(np.log10(known + 0.5).sum()), float(score), len(strings)))

@@ -42,10 +42,24 @@ MARK = "▁"
 NEVER = -(2.0**52)
 
 
+_MUL, _SEED = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x1234567)
+
+
+def _hash(text: str) -> int:
+    h = int(_SEED)
+    for c in text:
+        h = (h * int(_MUL) + ord(c)) % 2**64
+    return h
+
+
+def _slot(h: np.ndarray) -> np.ndarray:
+    return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(44)
+
+
 class Pieces:
     """The pieces of a model file, and best segmentations by them."""
 
-    def __init__(self, path: str, limit: int = 100_000):
+    def __init__(self, path: str, limit: int = 200_000):
         import sentencepiece
 
         p = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -61,6 +75,7 @@ class Pieces:
         assert not any(MARK in t[1:] for t in self.score), "a piece crosses a word border"
         self.words: dict[str, tuple[float, list[int]]] = {}
         self.limit = limit
+        self._fill_table()
 
     def edges(self, text: str, end: int) -> Iterator[tuple[int, int, float, list[int]]]:
         """(start, width, score, ids) of every piece that ends at `end`, longest first."""
@@ -96,27 +111,110 @@ class Pieces:
             end = start
         return [i for ids in reversed(out) for i in ids]
 
+    def _fill_table(self) -> None:
+        """Pieces and their prefixes by the hash of their characters, in slots of some entries each, for look-ups in numpy."""
+        names = list(self.score)
+        prefixes = sorted({t[:i] for t in names for i in range(1, len(t))} - set(names))
+        keys = np.array([_hash(t) for t in names + prefixes], np.uint64)
+        assert len(np.unique(keys)) == len(keys)
+        rows = [np.full(1 << 20, -1, np.int32)]
+        for k, slot in enumerate(_slot(keys).tolist()):
+            free = next((r for r in rows if r[slot] < 0), None)
+            if free is None:
+                free = np.full(1 << 20, -1, np.int32)
+                rows.append(free)
+            free[slot] = k
+        self.table = np.stack(rows)
+        # a last row for what is neither
+        self.keys = np.append(keys, np.uint64(0))
+        self.scores = np.array([self.score[t][1] for t in names] + [NEVER] * (len(prefixes) + 1))
+        self.ids = [self.score[t][0] for t in names]
+
+    def _found(self, h: np.ndarray) -> np.ndarray:
+        """For each hash the number of its piece or prefix; -1, the row of neither, if there is none."""
+        slot = _slot(h)
+        first = self.table[0, slot]
+        out = np.where(self.keys[first] == h, first, -1)
+        shared = np.flatnonzero((first >= 0) & (out < 0))  # entries are filled in order: only these may stand further down
+        for row in self.table[1:]:
+            at = row[slot[shared]]
+            out[shared] = np.where((at >= 0) & (self.keys[at] == h[shared]), at, out[shared])
+        return out
+
+    def learn(self, words: list[str]) -> None:
+        """Finds the best segmentation of many stretches that no piece crosses into or out of, all of one length at once."""
+        by_length: dict[int, list[str]] = {}
+        for w in words:
+            by_length.setdefault(len(w), []).append(w)
+        for n, same in by_length.items():
+            if n > 64 or len(same) < 4:
+                for w in same:
+                    score, edge = self.best(w)
+                    self.words[w] = float(score[-1]), self.trace(edge, n, 0)
+                continue
+            c = np.frombuffer("".join(same).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n).astype(np.uint64)
+            score = np.full((n + 1, len(same)), NEVER)
+            score[0] = 0.0
+            width, piece = np.zeros((n + 1, len(same)), np.int8), np.zeros((n + 1, len(same)), np.int32)
+            every = np.arange(len(same))
+            live: list[tuple[int, np.ndarray, np.ndarray]] = []  # start; words in which a piece may go on from there; hashes
+            for end in range(1, n + 1):
+                live.append((end - 1, every, np.full(len(same), _SEED)))
+                going = []
+                for start, at, h in live:  # longest first
+                    h = h * _MUL + c[at, end - 1]
+                    k = self._found(h)
+                    s = self.scores[k]
+                    if end - start == 1:
+                        s = np.where(s == NEVER, self.unknown, s)
+                    s = score[start, at] + s
+                    better = np.flatnonzero(s > score[end, at])
+                    to = at[better]
+                    score[end, to], width[end, to], piece[end, to] = s[better], end - start, k[better]
+                    on = np.flatnonzero(k >= 0)
+                    if len(on):
+                        going.append((start, at[on], h[on]))
+                live = going
+            width, piece = width.T.tolist(), piece.T.tolist()
+            for i, w in enumerate(same):
+                ids, end = [], n
+                while end > 0:
+                    k, size = piece[i][end], width[i][end]
+                    ids.append([self.ids[k]] if 0 <= k < len(self.ids) else [self.byte[b] for b in w[end - 1].encode("utf-8", "surrogatepass")])
+                    end -= size
+                self.words[w] = float(score[n, i]), [x for part in reversed(ids) for x in part]
+
+    @staticmethod
+    def stretches(marked: str) -> list[str]:
+        first, *rest = marked.split(MARK)
+        return [first, *(MARK + w for w in rest)] if first else [MARK + w for w in rest]
+
     def word(self, word: str) -> tuple[float, list[int]]:
-        """Score and ids of a stretch that no piece crosses into or out of."""
-        found = self.words.get(word)
-        if found is None:
-            score, edge = self.best(word)
-            found = float(score[-1]), self.trace(edge, len(word), 0)
-            if len(self.words) >= self.limit:
-                self.words.clear()
-            if len(word) < 200:
-                self.words[word] = found
-        return found
+        """Score and ids of one stretch."""
+        if word not in self.words:
+            self.learn([word])
+        return self.words[word]
 
     def encode(self, marked: str) -> tuple[float, list[int]]:
         """Score and ids of a whole marked text."""
-        total, ids = 0.0, []
-        for i, w in enumerate(marked.split(MARK)):
-            if i or w:
-                s, own = self.word(MARK + w if i else w)
+        return self.encode_all([marked])[0]
+
+    def encode_all(self, texts: list[str]) -> list[tuple[float, list[int]]]:
+        parts = [self.stretches(t) if t else [] for t in texts]
+        new = {w for p in parts for w in p if w not in self.words}
+        if len(self.words) + len(new) > self.limit:
+            self.words.clear()
+            new = {w for p in parts for w in p}
+        self.learn(list(new))
+        out = []
+        for p in parts:
+            total, ids = 0.0, []
+            for w in p:
+                s, own = self.words[w]
                 total += s
                 ids += own
-        return total, ids
+            out.append((total, ids))
+        return out
 
     # ---- chunks: text is the chunk with up to `reach` characters behind it
 
@@ -245,7 +343,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def small(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = pieces(path)
         for pdf in batches:
-            coded = [own.encode(marked(t)) for t in pdf["text"]]
+            texts = [marked(t) for t in pdf["text"]]
+            coded = [c for i in range(0, len(texts), 512) for c in own.encode_all(texts[i : i + 512])]
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_chars": [len(t or "") for t in pdf["text"]], "ids": [c[1] for c in coded], "score": [c[0] for c in coded]})
 
     out = "doc_id long, n_chars long, ids array<int>, score double"

@@ -14,9 +14,13 @@ at 0.9 with 3e-14, and an unrelated pair meets with a chance of about 1e-6.
 
 Links, not pairs, are kept whole.  Equal sets are one node from the start.  In
 each bucket all members are first verified against one leader, the member with
-the most company over all its buckets, so that large groups collapse to stars;
-then members of one bucket that are still in different components are verified
-pair by pair.  So every candidate pair is either verified or already connected.
+the most company over all its buckets, so that large groups collapse to stars.
+Members of one bucket that are then still in different components, such as texts
+that share a long passage, are not paired off one by one: two sets at the
+threshold must share one of their rarest members (of n, the first
+n - ceil(threshold * n) + 1 in order of frequency), so only those that do are
+verified.  So every link between members of a bucket is verified or within a
+component already.
 
 Defined cases: a null or wordless text has an empty set and is linked with
 nothing; a text with fewer words than a shingle has its whole sequence as the one
@@ -37,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import staged
+from .common import LOWER_BYTES, staged
 from .components import components
 
 BASE, RATE, TOP = 1.02, 20.0, 2**16 - 2
@@ -49,7 +53,6 @@ MARGIN = 0.13
 PIECE = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20))
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = bytes(c in (9, 10, 11, 12, 13, 32) for c in range(256))
 _MULTIPLY = _rng.integers(0, 2**32, REGISTERS, np.uint32) | np.uint32(1)
 _XOR = _rng.integers(0, 2**32, REGISTERS, np.uint32)
@@ -84,7 +87,7 @@ def word_hashes(text: str) -> np.ndarray:
         if end < len(data):  # cut at white space; a longer word is one piece
             spaces = [i for i in (data.find(c, end) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")) if i >= 0]
             end = min(spaces, default=len(data))
-        piece = data[at:end].translate(_LOWER)
+        piece = data[at:end].translate(LOWER_BYTES)
         b = np.frombuffer(piece, np.uint8)
         at = end
         gap = np.frombuffer(b"\x01" + piece.translate(_SPACE) + b"\x01", np.uint8)
@@ -196,6 +199,36 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, members binary")
 
 
+def set_members(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, n, members (array<long>)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t.as_py(), width).view(np.int64) for t in batch.column(1)]
+            sizes = np.array([len(s) for s in sets], np.int64)
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            values = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], ["doc_id", "n", "members"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, members array<long>")
+
+
+def rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """sets: doc_id, component, n, members -> pairs (a, b) of different components that share one of their rarest members.
+
+    Members that no other set has come first in the order and match nothing, so they
+    only use up places.
+    """
+    rows = sets.select("doc_id", "component", "n", F.xxhash64("members").alias("set_id"), F.explode("members").alias("member"))
+    often = rows.groupBy("member").agg(F.count("*").alias("found")).where("found > 1")
+    shared = rows.join(often, "member").groupBy("doc_id", "component", "n", "set_id").agg(F.sort_array(F.collect_list(F.struct("found", "member"))).alias("order"))
+    places = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100).cast("decimal(3,0)")) + 1 - (F.col("n") - F.size("order"))
+    first = shared.select("doc_id", "component", "n", F.explode(F.slice("order", 1, F.greatest(places, F.lit(0)).cast("int"))).alias("o")).select("doc_id", "component", "n", "o.member")
+    x, y = first.alias("x"), first.alias("y")
+    near = x.join(y, "member").where("x.component < y.component").where(100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
+    return near.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+
+
 def verified(docs: DataFrame, marks: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * common >= percent * union."""
     side = lambda c: marks.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
@@ -232,8 +265,9 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     # buckets of more than two whose members are not all connected by now
     placed = live.where("met > 2").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     apart = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rest = placed.join(apart, "key", "left_semi")
-    rest = rest.alias("x").join(rest.alias("y"), "key").where("x.component < y.component").select(*pair(F.col("x.doc_id"), F.col("y.doc_id"))).distinct().join(stars, ["a", "b"], "left_anti")
+    apart = placed.join(apart, "key", "left_semi").select("doc_id", "component").distinct()
+    sets = staged(set_members(docs.join(apart, "doc_id", "left_semi"), width).distinct().join(apart, "doc_id"))
+    rest = rare_pairs(sets, percent).join(stars, ["a", "b"], "left_anti")
     rest = staged(rest)
     if rest.take(1):
         links = links.unionByName(verified(docs, marks_of_nodes, rest, width, percent))

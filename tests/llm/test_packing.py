@@ -10,7 +10,7 @@ from rallyframe.llm import packing as P
 
 tokenizers = pytest.importorskip("tokenizers")
 public = pytest.importorskip("public_tokenizers")
-PATH = public.path("byte_bpe_50k.json")
+PATH, RANKS = public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken")
 
 
 def texts():
@@ -20,19 +20,19 @@ def texts():
     return out + [None, "", " ", "  two  spaces ", "a \nb", "a\n b", "tail ", " head", "<|endoftext|> x", "word " * 20_000, "same", "same", "x  y", "a　b c", "\x1c a"]
 
 
-def test_chunks_encode_like_whole_texts():
+def test_ids_are_those_of_tokenizers():
     t = tokenizers.Tokenizer.from_file(PATH)
     rng = random.Random(2)
-    some = [x or "" for x in texts()] + ["".join(rng.choice(["a", "B", " ", " ", "\n", " ", "1", "!", "é", "'s"]) for _ in range(30)) for _ in range(3000)]
-    got = P.ChunkIds(PATH, 50)(some)
-    for x, ids in zip(some, got):
-        assert np.frombuffer(ids, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
+    some = [x or "" for x in texts()] + ["".join(rng.choice(["a", "B", " ", " ", "\n", "\u00a0", "1", "!", "é", "'s", "𝒳", "\x1c", "\u3000", "_", "\ud7ff"]) for _ in range(30)) for _ in range(3000)]
+    for encode in (P.TokenIds(PATH, RANKS), P.TokenIds(PATH, None)):
+        for x in some:
+            assert np.frombuffer(encode(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
 
 
 def test_pieces_are_whole_and_sequences_gapless(spark):
     data = list(enumerate(texts()))
     df = spark.createDataFrame(data, "doc_id long, text string").withColumn("rank", F.lit("clash")).withColumn("k", F.lit(9)).repartition(5)
-    got = P.pack(df, PATH).collect()
+    got = P.pack(df, PATH, RANKS).collect()
     t = tokenizers.Tokenizer.from_file(PATH)
     for d, text in data:
         ids = t.encode(text or "", add_special_tokens=False).ids + [0]
@@ -56,7 +56,7 @@ def test_pieces_are_whole_and_sequences_gapless(spark):
         assert {p for *_, p in rows} == {at if at & (at - 1) == 0 else 1024}
         total, padded = total + at, padded + rows[0][2]
     assert padded <= 1.02 * total + 4 * 1024
-    plain = P.pack(df, PATH, with_ids=False)
+    plain = P.pack(df, PATH, RANKS, with_ids=False)
     assert "ids" not in plain.columns and plain.count() == len(got)
 
 
