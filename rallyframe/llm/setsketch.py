@@ -17,9 +17,8 @@ each bucket all members are first verified against one leader, the member with
 the most company over all its buckets, so that large groups collapse to stars.
 Members of one bucket that are then still in different components, such as texts
 that share a long passage, are not paired off one by one: two sets at the
-threshold must share one of their rarest members (of n, the first
-n - ceil(threshold * n) + 1 in order of frequency), so only those that do are
-verified.  So every link between members of a bucket is verified or within a
+threshold must share one of their rarest members, early enough in both to leave
+room for all that they must have in common, so only those that do are verified.  So every link between members of a bucket is verified or within a
 component already.
 
 Defined cases: a null or wordless text has an empty set and is linked with
@@ -216,16 +215,25 @@ def set_members(docs: DataFrame, width: int) -> DataFrame:
 def rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
     """sets: doc_id, component, n, members -> pairs (a, b) of different components that share one of their rarest members.
 
-    Members that no other set has come first in the order and match nothing, so they
-    only use up places.
+    At the threshold, sets of x <= y members have at least percent / (100 + percent)
+    of x + y in common, so the rarest common member lies among the first
+    x - ceil(2 * percent * x / (100 + percent)) + 1 of the smaller set and the first
+    y - ceil(percent * y / 100) + 1 of the larger, with enough members left behind
+    it in both.  Members that no other set has come first in the order and match
+    nothing, so they only use up places.
     """
-    rows = sets.select("doc_id", "component", "n", F.xxhash64("members").alias("set_id"), F.explode("members").alias("member"))
+    named = sets.select("doc_id", "component", "n", F.xxhash64("members").alias("set_id"), "members")
+    rows = named.select("doc_id", "component", "n", "set_id", F.explode("members").alias("member"))
     often = rows.groupBy("member").agg(F.count("*").alias("found")).where("found > 1")
     shared = rows.join(often, "member").groupBy("doc_id", "component", "n", "set_id").agg(F.sort_array(F.collect_list(F.struct("found", "member"))).alias("order"))
-    places = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100).cast("decimal(3,0)")) + 1 - (F.col("n") - F.size("order"))
-    first = shared.select("doc_id", "component", "n", F.explode(F.slice("order", 1, F.greatest(places, F.lit(0)).cast("int"))).alias("o")).select("doc_id", "component", "n", "o.member")
-    x, y = first.alias("x"), first.alias("y")
-    near = x.join(y, "member").where("x.component < y.component").where(100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
+    exact = lambda top, under: F.ceil(F.col("n").cast("decimal(18,0)") * top / F.lit(under).cast("decimal(4,0)")).cast("long")
+    alone = F.col("n") - F.size("order")
+    places = F.greatest(F.col("n") - exact(percent, 100) + 1 - alone, F.lit(0)).cast("int")
+    first = shared.select("doc_id", "component", "n", alone.alias("alone"), F.posexplode(F.slice("order", 1, places)).alias("at", "o"))
+    first = first.select("doc_id", "component", "n", "o.member", (F.col("n") - F.col("alone") - F.col("at")).alias("rest"))  # rest: members from this one on
+    x, y = first.where(F.col("rest") >= exact(2 * percent, 100 + percent)).alias("x"), first.alias("y")
+    near = x.join(y, "member").where("x.component <> y.component and (x.n < y.n or x.n = y.n and x.doc_id < y.doc_id)")
+    near = near.where(100 * F.col("x.n") >= percent * F.col("y.n")).where((100 + percent) * F.least("x.rest", "y.rest") >= percent * (F.col("x.n") + F.col("y.n")))
     return near.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
 
 
