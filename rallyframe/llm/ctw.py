@@ -41,7 +41,9 @@ from pyspark.sql import functions as F
 from .common import LOWER_BYTES, staged
 from .setsketch import word_hashes
 
-DEPTH, END = 3, 0xFF
+DEPTH, END = 6, 0xFF
+#: Context bytes of the trees that are built at one place.
+TOP = 3
 GROUP_BYTES = 32 << 20
 WORD, GRAM = 0, 1
 #: Bytes after which a task's requests are summed.
@@ -56,7 +58,7 @@ def grams(text: str) -> np.ndarray:
     """For each byte of the text and its end: the DEPTH bytes before it and itself, as one number, first byte highest."""
     b = np.frombuffer(bytes([END] * DEPTH) + text.encode("utf-8", "surrogatepass").translate(LOWER_BYTES) + bytes([END]), np.uint8)
     n = len(b) - DEPTH
-    out = b[:n].astype(np.uint32 if DEPTH < 4 else np.int64)
+    out = b[:n].astype(np.int64)
     for i in range(1, DEPTH + 1):
         out <<= 8
         out |= b[i : i + n]
@@ -84,14 +86,14 @@ def _bits(byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def subtree(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, pd.DataFrame]:
-    """All strings with one last context byte: the chance of each of their 8 bits by depths 1 to DEPTH; and that byte's nodes: node, zeros, ones, log_weighted."""
+    """All strings with some last TOP context bytes: the chance of each of their 8 bits by depths TOP to DEPTH; and the nodes of depth TOP: node (context and bits so far), zeros, ones, log_weighted."""
     node, bit = _bits(keys & 255)
     n = np.repeat(counts, 8)
     flat = bit.ravel().astype(bool)
     chance, weighted = None, None
     estimates = []
     child_of = None
-    for depth in range(DEPTH, 0, -1):
+    for depth in range(DEPTH, TOP - 1, -1):
         context = (keys >> 8) & ((1 << 8 * depth) - 1)
         nodes, at = np.unique((context[:, None] << 8 | node).ravel(), return_inverse=True)
         zeros, ones = np.bincount(at, n * ~flat, len(nodes)), np.bincount(at, n * flat, len(nodes))
@@ -99,32 +101,53 @@ def subtree(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, pd.DataFr
         if depth == DEPTH:
             weighted, share = own, np.ones(len(nodes))
         else:
-            below = np.bincount(child_of(at), weighted, len(nodes))
-            weighted = np.logaddexp(own, below) - np.log(2)
-            share = np.exp(own - np.log(2) - weighted)
+            weighted, share = _mixed(own, np.bincount(child_of(at), weighted, len(nodes)))
         first = np.zeros(len(nodes), np.int64)
         first[at] = np.arange(len(at))
         child_of = lambda at_above, first=first: at_above[first]  # noqa: E731  node of this depth -> its parent
         estimates.append((share[at], (np.where(flat, ones[at], zeros[at]) + 0.5) / (zeros[at] + ones[at] + 1)))
     for share, estimate in estimates:
         chance = estimate if chance is None else share * estimate + (1 - share) * chance
-    table = pd.DataFrame({"node": nodes & 255, "zeros": zeros, "ones": ones, "log_weighted": weighted})
-    return chance.reshape(-1, 8), table
+    return chance.reshape(-1, 8), pd.DataFrame({"node": nodes, "zeros": zeros, "ones": ones, "log_weighted": weighted})
 
 
-def with_root(chance: np.ndarray, keys: np.ndarray, share: np.ndarray, one: np.ndarray) -> np.ndarray:
-    """log10 probability of each string's last byte: the root mixed in.  share, one: by node, the root's weight and chance of a one."""
-    node, bit = _bits(keys & 255)
-    own = np.where(bit == 1, one[node], 1 - one[node])
-    return np.log10(share[node] * own + (1 - share[node]) * chance).sum(axis=1)
+def _mixed(own: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log of the weighted probability, and the node's own share in it."""
+    weighted = np.logaddexp(own, below) - np.log(2)
+    return weighted, np.exp(own - np.log(2) - weighted)
 
 
-def root(nodes: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """By node: the root's weight and chance of a one, from the nodes of all last bytes."""
-    zeros, ones, below = (np.bincount(nodes["node"], nodes[c], 256) if len(nodes) else np.zeros(256) for c in ("zeros", "ones", "log_weighted"))
-    own = log_kt(zeros, ones)
-    weighted = np.logaddexp(own, below) - np.log(2)
-    return np.exp(own - np.log(2) - weighted), (ones + 0.5) / (zeros + ones + 1)
+def weighed(nodes: pd.DataFrame) -> pd.DataFrame:
+    """node, zeros, ones, log_weighted (the sum of the children's) -> the node's own log_weighted; with share and one, its chance of a one."""
+    zeros, ones = (nodes[c].to_numpy(float) for c in ("zeros", "ones"))
+    weighted, share = _mixed(log_kt(zeros, ones), nodes["log_weighted"].to_numpy(float))
+    return pd.DataFrame({"node": nodes["node"], "zeros": zeros, "ones": ones, "log_weighted": weighted, "share": share, "one": (ones + 0.5) / (zeros + ones + 1)})
+
+
+def with_nodes(chance: np.ndarray, keys: np.ndarray, depth: int, nodes: np.ndarray, share: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """The chances of the strings' bits with the nodes of `depth` context bytes (ascending) mixed in."""
+    node, bit = _bits(keys & 255)
+    at = np.searchsorted(nodes, ((keys >> 8) & ((1 << 8 * depth) - 1))[:, None] << 8 | node)
+    own = np.where(bit == 1, one[at], 1 - one[at])
+    return share[at] * own + (1 - share[at]) * chance
+
+
+def _whole(frames: Iterator[pd.DataFrame], column: str) -> Iterator[pd.DataFrame]:
+    """The rows of frames sorted by column, cut so that equal values are together."""
+    held: list[pd.DataFrame] = []
+    for pdf in frames:
+        if not len(pdf):
+            continue
+        values = pdf[column].to_numpy()
+        cut = int(np.searchsorted(values, values[-1]))
+        if held and (cut or held[-1][column].iloc[-1] != values[0]):
+            yield pd.concat([*held, pdf.iloc[:cut]], ignore_index=True)
+            held = []
+        elif cut:
+            yield pdf.iloc[:cut]
+        held.append(pdf.iloc[cut:])
+    if held:
+        yield pd.concat(held, ignore_index=True)
 
 
 REQUESTS = "kind int, key long, g int, n long"
@@ -205,7 +228,7 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if isinstance(answers[k], list):
                     keys, values = (np.concatenate([x[i] for x in answers[k]]) if answers[k] else np.zeros(0) for i in (0, 1))
                     order = np.argsort(keys, kind="stable")
-                    answers[k] = keys[order].astype(np.uint32 if k == GRAM and DEPTH < 4 else np.int64), values[order]
+                    answers[k] = keys[order].astype(np.int64), values[order]
             rows = []
             for doc_id, held_out, text in zip(part.column("doc_id"), part.column("held_out"), part.column("text")):
                 text = text.as_py() or ""
@@ -231,27 +254,45 @@ def scores(docs: DataFrame, training: Column | None = None) -> DataFrame:
     ends = size["ends"]
     tokens, types = (seen["tokens"] or 0) + ends, seen["types"] + (ends > 0)
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = pdf["key"].to_numpy(), pdf["n"].to_numpy()
-        order = np.argsort(keys)
-        keys, counts = keys[order], counts[order]
-        chance, nodes = subtree(keys, counts)
-        strings = pd.DataFrame({"key": keys, "chance": [x.tobytes() for x in chance]})
-        return pd.concat([strings, nodes], ignore_index=True)[["key", "chance", "node", "zeros", "ones", "log_weighted"]].astype({"key": "Int64", "node": "Int64"})
-
-    last = F.shiftright("key", 8).bitwiseAND(F.lit(255).cast("long"))
-    trees = staged(totals.where(F.col("kind") == GRAM).groupBy(last.alias("last")).applyInPandas(build, "key long, chance binary, node long, zeros double, ones double, log_weighted double"))
-    share, one = root(trees.where("node is not null").select("node", "zeros", "ones", "log_weighted").toPandas())
-
-    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _whole(frames, "context"):
             keys = pdf["key"].to_numpy()
-            chance = np.frombuffer(b"".join(pdf["chance"]), np.float64).reshape(-1, 8)
-            yield pd.DataFrame({"key": keys, "value": with_root(chance, keys, share, one)})
+            chance, nodes = subtree(keys, pdf["n"].to_numpy())
+            # no missing whole numbers, which pandas would round to doubles
+            yield pd.DataFrame({"is_string": True, "key": keys, "chance": [x.tobytes() for x in chance], "zeros": 0.0, "ones": 0.0, "log_weighted": 0.0})
+            yield pd.DataFrame({"is_string": False, "key": nodes["node"], "chance": b"", "zeros": nodes["zeros"], "ones": nodes["ones"], "log_weighted": nodes["log_weighted"]})
+
+    last = lambda key, n: F.shiftright(key, 8).bitwiseAND(F.lit((1 << 8 * n) - 1).cast("long"))  # noqa: E731  the last n context bytes
+    above = lambda nodes, n: nodes.groupBy(F.col("node").bitwiseAND(F.lit((1 << 8 * (n + 1)) - 1).cast("long")).alias("node")).agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "log_weighted")))
+    dealt = totals.where(F.col("kind") == GRAM).select("key", "n", last("key", TOP).alias("context")).repartition("context").sortWithinPartitions("context")
+    trees = staged(dealt.mapInPandas(build, "is_string boolean, key long, chance binary, zeros double, ones double, log_weighted double"))
+    weigh = lambda frames: map(weighed, frames)
+    nodes = staged(above(trees.where("not is_string").withColumnRenamed("key", "node"), 2).mapInPandas(weigh, "node long, zeros double, ones double, log_weighted double, share double, one double"))
+    low = weighed(above(nodes, 1).toPandas().sort_values("node", ignore_index=True))
+    top = weighed(low.assign(node=low["node"] & 255).groupby("node", as_index=False)[["zeros", "ones", "log_weighted"]].sum())
+    low, top = ([x[c].to_numpy() for c in ("node", "share", "one")] for x in (low, top))
+
+    def finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None  # nodes of the context that the last frame ended in
+        for pdf in frames:
+            is_string = pdf["is_string"].to_numpy(bool)
+            own = pdf.loc[~is_string, ["key", "share", "one"]]
+            held = (own if held is None else pd.concat([held, own], ignore_index=True)).sort_values("key")
+            if is_string.any():
+                keys = pdf.loc[is_string, "key"].to_numpy(np.int64)
+                chance = np.frombuffer(b"".join(pdf.loc[is_string, "chance"]), np.float64).reshape(-1, 8)
+                for depth, level in ((2, (held["key"].to_numpy(np.int64), held["share"].to_numpy(), held["one"].to_numpy())), (1, low), (0, top)):
+                    chance = with_nodes(chance, keys, depth, *level)
+                yield pd.DataFrame({"key": keys, "value": np.log10(chance).sum(axis=1)})
+            if len(pdf):
+                held = held[held["key"].to_numpy(np.int64) >> 8 == pdf["context"].iloc[-1]]
 
-    strings = trees.where("key is not null").select("key", "chance").mapInPandas(finish, "key long, value double").select(F.lit(GRAM).alias("kind"), "key", "value")
-    values = words.select("kind", "key", F.col("n").cast("double").alias("value")).unionByName(strings)
     none = lambda t: F.lit(None).cast(t)
+    level = nodes.select(F.shiftright("node", 8).alias("context"), F.lit(False).alias("is_string"), F.col("node").alias("key"), none("binary").alias("chance"), "share", "one")
+    strings = trees.where("is_string").select(last(F.col("key"), 2).alias("context"), "is_string", "key", "chance", none("double").alias("share"), none("double").alias("one"))
+    both = level.unionByName(strings).repartition("context").sortWithinPartitions("context", "is_string")
+    strings = both.mapInPandas(finish, "key long, value double").select(F.lit(GRAM).alias("kind"), "key", "value")
+    values = words.select("kind", "key", F.col("n").cast("double").alias("value")).unionByName(strings)
     answers = asked.select("kind", "key", "g").join(values, ["kind", "key"]).select("g", F.lit(False).alias("is_text"), "kind", "key", "value", none("long").alias("doc_id"), none("boolean").alias("held_out"), none("string").alias("text"))
     texts = grouped.select("g", F.lit(True).alias("is_text"), none("int").alias("kind"), none("long").alias("key"), none("double").alias("value"), "doc_id", "held_out", "text")
     scored = answers.unionByName(texts).repartition(groups, "g").sortWithinPartitions("g", "is_text").mapInArrow(_score, SCORES)

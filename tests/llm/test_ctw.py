@@ -108,3 +108,29 @@ def test_empty_table_and_no_training(spark):
     d = next(i for i in range(100) if held_out(i))
     (r,) = ctw.scores(spark.createDataFrame([(d, "ab")], SCHEMA)).collect()
     assert r["train_tokens"] == 0 and r["n_known"] == 0 and abs(r["score"] + 3 * 8 * math.log10(2)) < 1e-9
+
+
+def test_repeated_words_cost_less_than_their_unigram_score(spark):
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcd") for _ in range(8)) for _ in range(60)]
+    phrases = [" ".join(rng.choice(words) for _ in range(5)) for _ in range(40)]
+    df = spark.createDataFrame([(i, " ".join(rng.choice(phrases) for _ in range(40))) for i in range(150)], SCHEMA)
+    r = ctw.scores(df).where("held_out").agg(F.sum("score").alias("score"), F.sum("base_score").alias("base")).first()
+    assert ctw.DEPTH >= 6 and r["score"] > r["base"]
+
+
+def test_contexts_that_go_on_over_batches(spark):
+    rows = [(i, t) for i, t in rows_of_many_contexts()]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = {r["doc_id"]: r["score"] for r in ctw.scores(df).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = {r["doc_id"]: r["score"] for r in ctw.scores(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 1e-6 for d in want)
+
+
+def rows_of_many_contexts():
+    rng = random.Random(4)
+    return [(i, "".join(rng.choice("abé ") for _ in range(30))) for i in range(20)]
