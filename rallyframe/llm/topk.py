@@ -18,7 +18,9 @@ shards * queries + batches * rows.
 Defined cases: a vector that is null or holds a null or non-finite component
 takes no part; components beyond 2 ** 53 in size are cut to it and sums wrap as
 64-bit integers do; shorter vectors count as filled up with zeros; of rows with
-one id the least vector stands for all; null ids take no part; fewer candidates
+one id the least vector stands for all, or with `every_row` each is a candidate of
+the other ids' and a query whose best count together under the id; null ids take no
+part; fewer candidates
 than k give fewer rows; an empty table gives an empty result; other columns are
 passed over.
 """
@@ -39,12 +41,13 @@ BLOCK_ROWS, SHARD_ROWS, BATCH_QUERIES = 64, 16_384, 1024
 LARGEST = 2**53
 
 
-def quantized(vectors: DataFrame, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """id, x: floor(scale * component), components as doubles; a row for each id that takes part."""
+def quantized(vectors: DataFrame, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", every_row: bool = False) -> DataFrame:
+    """id, x: floor(scale * component), components as doubles; a row for each id that takes part, or for each such row."""
     x = F.col(vector_col).cast("array<double>")
     whole = F.transform(x, lambda c: F.least(F.greatest(F.floor(scale * c).cast("double"), F.lit(-float(LARGEST))), F.lit(float(LARGEST))).cast("bigint"))
     fine = x.isNotNull() & F.coalesce(F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))), F.lit(False))
-    return vectors.where(fine & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), whole.alias("x")).groupBy("id").agg(F.min("x").alias("x"))
+    rows = vectors.where(fine & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), whole.alias("x"))
+    return rows if every_row else rows.groupBy("id").agg(F.min("x").alias("x"))
 
 
 def _matrix(vectors: pd.Series, dims: int) -> np.ndarray:
@@ -141,12 +144,12 @@ def _ordered(x: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def top_k(rows: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
-    """rows: id, x (as from `quantized`) -> query_id, rank (from 1), id, score; every row but the query's own competes."""
+    """rows: id, x (as from `quantized`) -> query_id, rank (from 1), id, score; every row but those of the query's id competes."""
     rows = staged(rows)
     size = rows.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("dims"), F.count(F.when(is_query, 1)).alias("q")).first()
     dims, shards, batches = max(1, size["dims"] or 1), -(-size["n"] // SHARD_ROWS) or 1, -(-size["q"] // BATCH_QUERIES) or 1
-    # ids are hashed evenly to groups of about SHARD_ROWS and BATCH_QUERIES rows
-    grouped = lambda d, n, like: staged(d.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("no")).applyInPandas(_gather(dims, like), "no long, ids binary, x binary, kind string"))
+    # rows are hashed evenly to groups of about SHARD_ROWS and BATCH_QUERIES rows
+    grouped = lambda d, n, like: staged(d.groupBy(F.pmod(F.xxhash64("id", "x"), F.lit(n)).alias("no")).applyInPandas(_gather(dims, like), "no long, ids binary, x binary, kind string"))
     forward, asked = grouped(rows, shards, True), grouped(rows.where(is_query), batches, False)
     spread = lambda d, own, other, n: d.select(F.col("no").alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias(other), "ids", "x", "kind")
     left, right = spread(forward, "shard", "batch", batches), spread(asked, "batch", "shard", shards)

@@ -4,7 +4,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from rallyframe.llm import topk
+from rallyframe.llm import queries, topk
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -50,3 +50,19 @@ def test_blocks_are_pruned():
     x, ids = topk._ordered(x, ids)
     *_, scored = topk.block_search(ids[:10], x[:10], ids, x, 20)
     assert scored < 10 * 64 / 2
+
+
+def test_repeated_ids_equal_the_sql(spark, monkeypatch, tmp_path):
+    import duckdb
+
+    monkeypatch.setattr(topk, "SHARD_ROWS", 40)
+    monkeypatch.setattr(topk, "BATCH_QUERIES", 3)
+    rng = random.Random(5)
+    rows = [(i % 90, [rng.gauss(0, 0.4) for _ in range(6)], 1) for i in range(240)]
+    rows += [(20, [0.5] * 6, 0), (20, [0.5] * 6, 0), (7, [1.0] * 6, 0), (7, [1.0] * 6, 0)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = sorted(con.sql(queries.ORACLES["op3_top_k"]).fetchall())
+    assert sorted(tuple(r) for r in queries.op3_top_k(spark, str(tmp_path)).collect()) == want
+    assert len({v for _, _, v, _ in want}) < len(want)
