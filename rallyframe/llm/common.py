@@ -35,28 +35,48 @@ def lower_az(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where unset, an own one (single machine)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where unset, an own one, on a single machine only."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_rallyframe_dir", None)
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="rallyframe-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
-        sc._rallyframe_dir = named
-        named = f"file://{named}" if "://" not in named else named
-        sc._rallyframe_dir = named
+        named = sc._rallyframe_dir = f"file://{named}"
     return named.rstrip("/")
 
 
+#: Removes the shuffle files of an execution when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame) -> DataFrame:
     """df written as Parquet to the shared folder and read again: lineage ends there, and lost executors lose nothing.
 
     Row order within a file is that of the partition; the files stay as long as
-    the folder does.
+    the folder does, or until `unstaged`.  What the writing shuffled is not needed
+    any more once it is written, so those files go at once: disk is held by the
+    largest step, not by the sum of all.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def unstaged(*tables: DataFrame) -> None:
+    """Deletes tables that `staged` gave and that nothing will read again."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._staged_path)
+        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def free_name(df: DataFrame, stem: str) -> str:

@@ -26,9 +26,9 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with their near-duplicate lines: class_id, n_links, n_lines, n_dropped and the dropped line numbers."""
+    """Documents with their near-duplicate lines: class_id, n_linked, n_lines, n_dropped and the dropped line numbers."""
     out = line_dedup.document_lines(read_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "class_id", "n_links", "n_lines", "n_dropped", F.array_join("dropped", ",").alias("dropped_lines"))
+    return out.select("doc_id", "class_id", "n_linked", "n_lines", "n_dropped", F.array_join("dropped", ",").alias("dropped_lines"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
