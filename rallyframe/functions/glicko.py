@@ -40,14 +40,18 @@ def update(s: State, seen: list[tuple[float, float, float]]) -> State:
     """The state after one period of (opponent's rating, opponent's deviation, score)."""
     if not seen:
         return s
-    mu, phi = (s.rating - INITIAL_RATING) / SCALE, s.deviation / SCALE
-    terms = []
+    information = gain = 0.0
     for rating, deviation, score in seen:
         g = _g(deviation / SCALE)
-        e = 1 / (1 + math.exp(-g * (mu - (rating - INITIAL_RATING) / SCALE)))
-        terms.append((g, e, score))
-    v = 1 / sum(g * g * e * (1 - e) for g, e, _ in terms)
-    gain = sum(g * (score - e) for g, e, score in terms)
+        e = 1 / (1 + math.exp(-g * (s.rating - rating) / SCALE))
+        information += g * g * e * (1 - e)
+        gain += g * (score - e)
+    return settled(s, information, gain)
+
+
+def settled(s: State, information: float, gain: float) -> State:
+    """The state after a period whose matches sum to so much information (g^2 E (1 - E)) and gain (g (score - E))."""
+    mu, phi, v = (s.rating - INITIAL_RATING) / SCALE, s.deviation / SCALE, 1 / information
     delta, a = v * gain, math.log(s.volatility**2)
 
     def f(x: float) -> float:

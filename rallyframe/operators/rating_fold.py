@@ -1,9 +1,12 @@
 """The rating fold: Glicko-2 over dates, each player's opponents taken from before the date.
 
-An update needs the opponent's state, so a connected group of players is one
-sequence.  Groups that never met exchange nothing: the fold runs on each connected
-component of the player graph apart, and what each group needs is only one row a
-match (player ids, day, score), sorted by day.
+Days follow each other, but within a day players are independent, as all are rated
+against states from before it.  The fold goes over runs of days and keeps a
+written table of states between them.  A day with more than BLOCK matches is one step of
+joins and groupings: its matches meet both players' states, what each match tells is
+summed by player (partly before the shuffle), and one small update a player follows.
+Shorter days are folded together, up to BLOCK matches, as one group of bounded size.  So
+no group grows with the data, and the number of steps is at most that of the dates.
 """
 
 from __future__ import annotations
@@ -13,10 +16,15 @@ from datetime import date
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.glicko import State, inflate, update
+from ..functions.glicko import INITIAL_DEVIATION, INITIAL_RATING, INITIAL_VOLATILITY, State, expected_score, g_of, inflate, inflated_deviation, predicted, settled, update
+from ..sources.staging import written
 
+#: Matches of a run of days that are folded as one group.
+BLOCK = 20_000
 PERIODS = "player_id long, day date, matches int, wins int, losses int, rating_before double, deviation_before double, rating double, deviation double, volatility double, total_matches int, total_wins int"
+STATES = "window int, player_id long, rating double, deviation double, volatility double, day date, total_matches int, total_wins int"
 
 
 def fold(rows: pd.DataFrame, state: dict | None = None) -> tuple[pd.DataFrame, dict]:
@@ -43,25 +51,82 @@ def _as_dates(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(day=[d if isinstance(d, date) else pd.Timestamp(d).date() for d in pdf["day"]])
 
 
-def player_groups(matches: DataFrame, rounds: int = 50) -> DataFrame:
-    """player -> group (smallest player reachable), by spreading minima and jumping; written states cut the plan each round."""
-    edges = matches.select(F.explode(F.array(F.struct(F.col("home").alias("a"), F.col("away").alias("b")), F.struct(F.col("away").alias("a"), F.col("home").alias("b"))))).select("col.*").distinct().persist()
-    groups = edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("g")).persist()
-    for _ in range(rounds):
-        low = edges.join(groups.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("g").alias("n"))
-        new = groups.join(low, "a").select("a", F.least("g", "n").alias("g"))
-        jump = new.join(new.select(F.col("a").alias("g"), F.col("g").alias("h")), "g", "left").select("a", F.coalesce("h", "g").alias("g")).persist()
-        moved = jump.join(groups.withColumnRenamed("g", "old"), "a").where("g <> old").limit(1).count()
-        groups = jump
-        if not moved:
-            break
-    return groups.select(F.col("a").alias("player"), F.col("g").alias("group"))
+def _runs(days: list[tuple[date, int]], block: int) -> list[tuple[date, date, int]]:
+    """(first day, last day, matches) of runs of days with at most `block` matches, longer days alone."""
+    out: list[tuple[date, date, int]] = []
+    for day, n in days:
+        if out and out[-1][2] + n <= block:
+            out[-1] = (out[-1][0], day, out[-1][2] + n)
+        else:
+            out.append((day, day, n))
+    return out
 
 
-def rating_periods(matches: DataFrame) -> DataFrame:
+def _folded(matches: DataFrame, states: DataFrame) -> DataFrame:
+    """A short run of days: one group for each window."""
+
+    def run(rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame(columns=["window", *(x.split()[0] for x in PERIODS.split(", "))])
+        known = {r.player_id: (State(r.rating, r.deviation, r.volatility), r.day, int(r.total_matches), int(r.total_wins)) for r in _as_dates(before).itertuples()}
+        return fold(_as_dates(rows), known)[0].assign(window=rows["window"].iloc[0])
+
+    here = matches.select("window", F.explode(F.array("home", "away")).alias("player_id")).distinct()
+    return matches.groupBy("window").cogroup(states.join(here, ["window", "player_id"], "left_semi").groupBy("window")).applyInPandas(run, f"window int, {PERIODS}")
+
+
+@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("rating", "deviation", "volatility")]))
+def _settled(rating: pd.Series, deviation: pd.Series, volatility: pd.Series, information: pd.Series, gain: pd.Series) -> pd.DataFrame:
+    new = [settled(State(r, d, v), i, g) for r, d, v, i, g in zip(rating, deviation, volatility, information, gain)]
+    return pd.DataFrame([(s.rating, s.deviation, s.volatility) for s in new], columns=["rating", "deviation", "volatility"])
+
+
+def _one_day(matches: DataFrame, states: DataFrame) -> DataFrame:
+    """A day of any size, by joins and groupings."""
+    row = lambda me, other, won: F.struct(F.col(me).alias("player_id"), F.col(other).alias("other"), won.cast("double").alias("won"))
+    both = matches.select("window", "day", F.explode(F.array(row("home", "away", F.col("home_won")), row("away", "home", ~F.col("home_won")))).alias("s")).select("window", "day", "s.*")
+    known = both.select("window", "player_id", F.col("day").alias("on")).distinct().join(states, ["window", "player_id"], "left")
+    wide = inflated_deviation(F.col("deviation"), F.col("volatility"), F.datediff("on", "day") - 1)
+    start = written(known.select("window", "player_id", F.coalesce("rating", F.lit(INITIAL_RATING)).alias("r"), F.coalesce(wide, F.lit(INITIAL_DEVIATION)).alias("d"), F.coalesce("volatility", F.lit(INITIAL_VOLATILITY)).alias("v"), F.coalesce("total_matches", F.lit(0)).alias("n"), F.coalesce("total_wins", F.lit(0)).alias("w")))
+    theirs = start.select("window", F.col("player_id").alias("other"), F.col("r").alias("o_r"), F.col("d").alias("o_d"))
+    met = both.join(theirs, ["window", "other"]).join(start, ["window", "player_id"])
+    e, g = expected_score(F.col("r"), F.col("o_r"), F.col("o_d")), g_of(F.col("o_d"))
+    told = met.groupBy("window", "player_id", "day").agg(F.count("*").alias("matches"), F.sum("won").alias("wins"), F.sum(g * g * e * (1 - e)).alias("information"), F.sum(g * (F.col("won") - e)).alias("gain"))
+    new = told.join(start, ["window", "player_id"]).withColumn("s", _settled("r", "d", "v", "information", "gain"))
+    whole = lambda c: c.cast("int")
+    return new.select("window", "player_id", "day", whole(F.col("matches")).alias("matches"), whole(F.col("wins")).alias("wins"), whole(F.col("matches") - F.col("wins")).alias("losses"), F.col("r").alias("rating_before"), F.col("d").alias("deviation_before"), "s.rating", "s.deviation", "s.volatility", whole(F.col("n") + F.col("matches")).alias("total_matches"), whole(F.col("w") + F.col("wins")).alias("total_wins"))
+
+
+def window_periods(matches: DataFrame, states: DataFrame | None = None, block: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """matches: window, day, home, away, home_won -> (window and PERIODS, a row for each player and day with matches; STATES behind the last day).
+
+    states: STATES to go on from, all from before the first day; a replay from a checkpoint.
+    """
+    spark, block = matches.sparkSession, block or BLOCK
+    matches = written(matches.select(F.col("window").cast("int").alias("window"), "day", "home", "away", "home_won").where("day is not null and home is not null and away is not null and home_won is not null"))
+    days = [(r["day"], r["count"]) for r in matches.groupBy("day").count().orderBy("day").collect()]  # a row a date
+    states = spark.createDataFrame([], STATES) if states is None else states
+    out = spark.createDataFrame([], f"window int, {PERIODS}")
+    for first, last, n in _runs(days, block):
+        part = matches.where(F.col("day").between(F.lit(first), F.lit(last)))
+        new = written(_folded(part, states) if n <= block else _one_day(part, states))
+        out = out.unionByName(new)
+        rest = ["rating", "deviation", "volatility", "day", "total_matches", "total_wins"]
+        both = states.unionByName(new.select("window", "player_id", *rest))
+        states = written(both.groupBy("window", "player_id").agg(F.max_by(F.struct(*rest), "day").alias("s")).select("window", "player_id", "s.*"))
+    return out, states
+
+
+def rating_periods(matches: DataFrame, block: int | None = None) -> DataFrame:
     """matches: day, home, away, home_won -> PERIODS, a row for each player and day with matches."""
-    grouped = matches.join(player_groups(matches), F.col("home") == F.col("player")).select("group", "day", "home", "away", "home_won")
-    return grouped.groupBy("group").applyInPandas(lambda pdf: fold(_as_dates(pdf))[0], PERIODS)
+    return window_periods(matches.withColumn("window", F.lit(0)), None, block)[0].drop("window")
+
+
+def weekly_ratings(periods: DataFrame) -> DataFrame:
+    """PERIODS -> player_id, week (its Monday), rating, deviation and matches behind the week, change in the week, week's matches and wins."""
+    week = F.to_date(F.date_trunc("week", "day")).alias("week")
+    of = periods.groupBy("player_id", week).agg(F.max_by(F.struct("rating", "deviation", "volatility", "total_matches", "day"), "day").alias("s"), F.min_by("rating_before", "day").alias("start"), F.sum("matches").alias("week_matches"), F.sum("wins").alias("week_wins"))
+    return of.select("player_id", "week", "s.rating", "s.deviation", "s.volatility", F.col("s.total_matches").cast("long").alias("matches"), F.col("s.day").alias("last_day"), (F.col("s.rating") - F.col("start")).alias("change"), "week_matches", "week_wins")
 
 
 def latest(periods: DataFrame) -> DataFrame:
@@ -70,31 +135,19 @@ def latest(periods: DataFrame) -> DataFrame:
     return periods.groupBy("player_id").agg(F.max_by(F.struct(*cols), "day").alias("s")).select("player_id", "s.*").withColumn("conservative", F.col("rating") - 2 * F.col("deviation"))
 
 
-def backtest(matches: DataFrame, windows: list[int], evaluated_days: int = 180) -> DataFrame:
+def backtest(matches: DataFrame, windows: list[int], evaluated_days: int = 180, block: int | None = None) -> DataFrame:
     """For each training window (years): predictions of the last days from states before each day.
 
-    window, day, probability (clipped), home_won, cold_start; each window is a fold of its own.
+    window, day, probability (clipped), home_won, cold_start.  The windows are folded side
+    by side; a prediction joins a match to both players' states from before its day.
     """
-    import math
-
     end = matches.agg(F.max("day").alias("end"))
     each = matches.crossJoin(F.broadcast(end)).withColumn("window", F.explode(F.array(*map(F.lit, windows)))).where(F.col("day") > F.add_months("end", -12 * F.col("window")))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = _as_dates(pdf)
-        window, last = int(pdf["window"].iloc[0]), pd.Timestamp(pdf["end"].iloc[0]).date()
-        state, out = {}, []
-        for day, part in pdf.groupby("day", sort=True):
-            if (last - day).days < evaluated_days:
-                for h, a, won in zip(part["home"], part["away"], part["home_won"]):
-                    s = [inflate(state[p][0], (day - state[p][1]).days - 1) if p in state else State() for p in (h, a)]
-                    chance = lambda x, y: 1 / (1 + math.exp(-(x.rating - y.rating) / 173.7178 / math.sqrt(1 + 3 * (y.deviation / 173.7178) ** 2 / math.pi**2)))
-                    p = (chance(*s) + 1 - chance(s[1], s[0])) / 2
-                    out.append((window, day, min(1 - 1e-12, max(1e-12, p)), bool(won), h not in state or a not in state))
-            _, state = fold(part[["day", "home", "away", "home_won"]], state)
-        return pd.DataFrame(out, columns=["window", "day", "probability", "home_won", "cold_start"])
-
-    return each.groupBy("window").applyInPandas(run, "window int, day date, probability double, home_won boolean, cold_start boolean")
+    p = window_periods(each, None, block)[0]
+    side = lambda who: p.select("window", "day", F.col("player_id").alias(who), F.struct(F.col("rating_before").alias("r"), F.col("deviation_before").alias("d"), (F.col("total_matches") == F.col("matches")).alias("new")).alias(f"{who}_s"))
+    late = each.where(F.datediff("end", "day") < evaluated_days).join(side("home"), ["window", "day", "home"]).join(side("away"), ["window", "day", "away"])
+    chance = predicted(F.col("home_s.r"), F.col("home_s.d"), F.col("away_s.r"), F.col("away_s.d"))
+    return late.select("window", "day", F.least(F.lit(1 - 1e-12), F.greatest(F.lit(1e-12), chance)).alias("probability"), "home_won", (F.col("home_s.new") | F.col("away_s.new")).alias("cold_start"))
 
 
 def report(predictions: DataFrame) -> DataFrame:

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import glicko
 from ..operators.classify import CLASSIFIED_SQL, classified
-from ..operators.rating_fold import backtest, latest, rating_periods, report
+from ..operators.ranking import placed
+from ..operators.rating_fold import backtest, latest, rating_periods, report, weekly_ratings
 from ..operators.sides import singles
 from ..sources.adapter import Domain
+from ..sources.staging import written
 from .catalog import query
 from .players import n_if
 from .rivalry import HISTORY_SQL, weekly
@@ -24,11 +26,12 @@ def classification(d: Domain) -> DataFrame:
     return classified(d).select("rubber_id", "effective_day", "home_player", "away_player", "reason")
 
 
-@query("q54_input_fingerprint", f"WITH {CLASSIFIED_SQL} SELECT md5(string_agg(CAST(rubber_id AS VARCHAR) || ':' || CAST(home_games AS VARCHAR) || '-' || CAST(away_games AS VARCHAR), ',' ORDER BY rubber_id)) AS fingerprint FROM classified WHERE reason = 'eligible' AND league_id = 1 AND season_id = 11998")
+@query("q54_input_fingerprint", f"WITH {CLASSIFIED_SQL} SELECT league_id, season_id, md5(string_agg(CAST(rubber_id AS VARCHAR) || ':' || CAST(home_games AS VARCHAR) || '-' || CAST(away_games AS VARCHAR), ',' ORDER BY rubber_id)) AS fingerprint FROM classified WHERE reason = 'eligible' GROUP BY league_id, season_id")
 def input_fingerprint(d: Domain) -> DataFrame:
-    """md5 of one season's rated rubbers in order (a bounded list); `set_fingerprint` is the form for any size."""
-    r = classified(d).where("reason = 'eligible' and league_id = 1 and season_id = 11998")
-    return r.agg(F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rubber_id", F.concat(F.col("rubber_id").cast("string"), F.lit(":"), F.col("home_games").cast("string"), F.lit("-"), F.col("away_games").cast("string")).alias("t")))), lambda x: x["t"]), ",")).alias("fingerprint"))
+    """md5 of each season's rated rubbers in order (a season is a bounded list); `set_fingerprint` is the form for any size."""
+    r = classified(d).where("reason = 'eligible'")
+    text = F.concat(F.col("rubber_id").cast("string"), F.lit(":"), F.col("home_games").cast("string"), F.lit("-"), F.col("away_games").cast("string"))
+    return r.groupBy("league_id", "season_id").agg(F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rubber_id", text.alias("t")))), lambda x: x["t"]), ",")).alias("fingerprint"))
 
 
 @query("q54_set_fingerprint")
@@ -64,7 +67,7 @@ def checkpoints(d: Domain) -> DataFrame:
 @query("q52_match_audits")
 def match_audits(d: Domain) -> DataFrame:
     """Each rated rubber from both sides: what was expected, and how surprising the result was."""
-    e = eligible(d)
+    e = written(eligible(d))
     p = rating_periods(e).select("player_id", "day", "rating_before", "deviation_before")
     row = lambda me, other, won: F.struct(F.col(me).alias("player_id"), F.col(other).alias("opponent_id"), won.alias("won"))
     both = e.select("rubber_id", "day", F.explode(F.array(row("home", "away", F.col("home_won")), row("away", "home", ~F.col("home_won")))).alias("s")).select("rubber_id", "day", "s.*")
@@ -90,10 +93,8 @@ def current_rankings(states: DataFrame, opponents: DataFrame, as_of) -> DataFram
     days = F.datediff(as_of, "last_day")
     wide = glicko.inflated_deviation(F.col("deviation"), F.col("volatility"), days)
     s = s.withColumns({"days_inactive": days, "effective_deviation": wide, "reason": glicko.eligibility(F.lit(False), F.col("matches"), F.col("opponents"), days, wide)})
-    by = Window.orderBy(F.desc("conservative"), F.desc("matches"), "player_id")
     s = s.withColumn("conservative", F.col("rating") - 2 * F.col("deviation"))
-    ranked = F.col("reason") == "ranked"
-    return s.withColumn("historical_rank", F.row_number().over(by)).withColumn("rank", F.when(ranked, F.sum(ranked.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0))))
+    return placed(s, [F.desc("conservative"), F.desc("matches"), F.asc("player_id")], {"historical_rank": F.lit(True), "rank": F.col("reason") == "ranked"})
 
 
 @query("q56_current_rankings", f"""WITH {HISTORY_SQL}, s AS (SELECT player_id, max_by(rating, week) AS rating, max(matches) AS matches, max(week) AS last_day FROM hist GROUP BY player_id),
@@ -112,16 +113,54 @@ def rankings_from_history(d: Domain) -> DataFrame:
     return r.select("player_id", "rating", "matches", "reason", F.col("historical_rank").cast("bigint").alias("historical_rank"), F.col("rank").cast("bigint").alias("rank"))
 
 
+def rating_history(d: Domain) -> DataFrame:
+    """Weekly history of the fold's ratings over all rated rubbers, written once."""
+    return written(weekly_ratings(rating_periods(eligible(d))))
+
+
+@query("q50_rating_weeks")
+def rating_weeks(d: Domain) -> DataFrame:
+    """q50 over the fold's ratings: rating, deviation and matches behind each week with matches, and the week's change."""
+    return rating_history(d)
+
+
+@query("q25_ratings_twelve_weeks")
+def ratings_twelve_weeks(d: Domain) -> DataFrame:
+    """q25 over the fold's ratings, for all players: the latest, and the latest that is twelve weeks older than the last week."""
+    h = rating_history(d)
+    then = h.crossJoin(F.broadcast(h.agg(F.date_sub(F.max("week"), 84).alias("then"))))
+    return then.groupBy("player_id").agg(F.max_by("rating", "week").alias("rating_now"), F.max_by("rating", F.when(F.col("week") <= F.col("then"), F.col("week"))).alias("rating_then"))
+
+
+@query("q60_rating_changes")
+def rating_changes(d: Domain) -> DataFrame:
+    """q60 over the fold's ratings, for all weeks."""
+    before = F.lag("rating").over(Window.partitionBy("player_id").orderBy("week"))
+    return rating_history(d).select("player_id", "week", "rating", (F.col("rating") - before).alias("since_last"))
+
+
+@query("q56_ratings_ranked")
+def ratings_ranked(d: Domain) -> DataFrame:
+    """q56 over the fold's ratings: every rated player with both ranks and the reason of those not ranked."""
+    e = written(eligible(d))
+    both = e.select(F.explode(F.array(F.struct(F.col("home").alias("player_id"), F.col("away").alias("o")), F.struct(F.col("away").alias("player_id"), F.col("home").alias("o"))))).select("col.*")
+    s = latest(rating_periods(e)).select("player_id", "rating", "deviation", "volatility", F.col("total_matches").alias("matches"), F.col("day").alias("last_day"))
+    return current_rankings(s.crossJoin(F.broadcast(e.agg(F.max("day").alias("as_of")))), both.groupBy("player_id").agg(F.countDistinct("o").alias("opponents")), F.col("as_of"))
+
+
 @query("q57_ratings_page")
 def ratings_page(d: Domain) -> DataFrame:
     """Current Glicko-2 rankings of the fold, first fifty by public rank."""
-    e = eligible(d).persist()
-    both = e.select(F.explode(F.array(F.struct(F.col("home").alias("player_id"), F.col("away").alias("o")), F.struct(F.col("away").alias("player_id"), F.col("home").alias("o"))))).select("col.*")
-    s = latest(rating_periods(e)).select("player_id", "rating", "deviation", "volatility", F.col("total_matches").alias("matches"), F.col("day").alias("last_day"))
-    r = current_rankings(s.crossJoin(F.broadcast(e.agg(F.max("day").alias("as_of")))), both.groupBy("player_id").agg(F.countDistinct("o").alias("opponents")), F.col("as_of"))
+    r = ratings_ranked(d)
     return r.join(d.players.select("player_id", "name"), "player_id").orderBy(F.asc_nulls_last("rank"), "historical_rank").limit(50).select("player_id", "name", "rating", "deviation", "conservative", "matches", "reason", "rank", "historical_rank")
 
 
+@query("q59_one_rating")
+def one_rating(d: Domain) -> DataFrame:
+    """The rating of the player with the most rated matches, with both ranks and the unrounded record."""
+    return ratings_ranked(d).orderBy(F.desc("matches"), "player_id").limit(1)
+
+
 @query("q58_predict_matches")
 def predict_matches(d: Domain) -> DataFrame:
     """The symmetric chance and the combined deviation for every pair of the ten best."""
@@ -136,17 +175,37 @@ def predict_matches(d: Domain) -> DataFrame:
     SELECT player_id, CAST(rating AS BIGINT) AS rating, overall, row_number() OVER (ORDER BY overall) AS place FROM r WHERE player_id IN (SELECT player_id FROM singles WHERE league_id = 2)""")
 def league_ranking(d: Domain) -> DataFrame:
     """Overall and local rank of the players that a league has seen."""
-    s = weekly(singles(d)).groupBy("player_id").agg(F.max_by("rating", "week").alias("rating"), F.max("matches").alias("matches"))
-    r = s.withColumn("overall", F.row_number().over(Window.orderBy(F.desc("rating"), F.desc("matches"), "player_id")).cast("bigint"))
-    here = r.join(singles(d).where("league_id = 2").select("player_id"), "player_id", "left_semi")
-    return here.select("player_id", "rating", "overall", F.row_number().over(Window.orderBy("overall")).cast("bigint").alias("place"))
+    return _league_ranking(d, weekly(singles(d)))
+
+
+def _league_ranking(d: Domain, h: DataFrame) -> DataFrame:
+    s = h.groupBy("player_id").agg(F.max_by("rating", "week").alias("rating"), F.max("matches").alias("matches"))
+    order = [F.desc("rating"), F.desc("matches"), F.asc("player_id")]
+    here = singles(d).where("league_id = 2").select("player_id").distinct().withColumn("here", F.lit(True))
+    r = placed(s.join(here, "player_id", "left").withColumn("here", F.coalesce("here", F.lit(False))), order, {"overall": F.lit(True), "place": F.col("here")})
+    return r.where("here").select("player_id", "rating", F.col("overall").cast("bigint").alias("overall"), F.col("place").cast("bigint").alias("place"))
+
+
+@query("q61_league_ratings")
+def league_ratings(d: Domain) -> DataFrame:
+    """q61 over the fold's ratings."""
+    return _league_ranking(d, rating_history(d))
 
 
 @query("q62_risers", f"""WITH {HISTORY_SQL}, e AS (SELECT max(week) AS day FROM hist), a AS (SELECT player_id, max_by(rating, week) AS now, max_by(rating, week) FILTER (WHERE week <= (SELECT day FROM e) - 365) AS base FROM hist GROUP BY player_id)
     SELECT player_id, CAST(now AS BIGINT) AS now, CAST(base AS BIGINT) AS base, CAST(now - base AS BIGINT) AS gain, place FROM (SELECT *, row_number() OVER (ORDER BY now - base DESC, player_id) AS place FROM a WHERE base IS NOT NULL) WHERE place <= 20""")
 def risers(d: Domain) -> DataFrame:
     """Largest gains on the latest rating of a year ago or before."""
-    h = weekly(singles(d))
+    return _risers(weekly(singles(d)))
+
+
+@query("q62_rating_risers")
+def rating_risers(d: Domain) -> DataFrame:
+    """q62 over the fold's ratings."""
+    return _risers(rating_history(d))
+
+
+def _risers(h: DataFrame) -> DataFrame:
     h = h.crossJoin(F.broadcast(h.agg(F.date_sub(F.max("week"), 365).alias("then"))))
     a = h.groupBy("player_id").agg(F.max_by("rating", "week").alias("now"), F.max_by("rating", F.when(F.col("week") <= F.col("then"), F.col("week"))).alias("base")).where("base is not null")
     a = a.withColumn("gain", F.col("now") - F.col("base")).orderBy(F.desc("gain"), "player_id").limit(20)
@@ -159,6 +218,12 @@ def rating_jumps(d: Domain) -> DataFrame:
     return weekly(singles(d)).groupBy("player_id").agg(F.max_by(F.struct("week", "change"), F.struct("change", "week")).alias("s")).select("player_id", "s.*")
 
 
+@query("q63_best_weeks")
+def best_weeks(d: Domain) -> DataFrame:
+    """q63 over the fold's ratings."""
+    return rating_history(d).groupBy("player_id").agg(F.max_by(F.struct("week", "change"), F.struct("change", "week")).alias("s")).select("player_id", "s.*")
+
+
 @query("q64_surprise_wins")
 def surprise_wins(d: Domain) -> DataFrame:
     return match_audits(d).where("won").orderBy(F.desc("surprise"), "rubber_id", "player_id").limit(20)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rallyframe.functions import glicko, text
-from rallyframe.operators import graph, identity, merge, rating_fold
+from rallyframe.operators import graph, identity, merge, ranking, rating_fold
 from rallyframe.sources import payloads
 from rallyframe.streaming import merge as streams
 
@@ -44,14 +44,34 @@ def played(n=120, players=9, seed=2):
 ROWS = "day date, home long, away long, home_won boolean"
 
 
-def test_fold_by_component_equals_one_fold(spark):
-    rows = played() + [(d, h + 100, a + 100, w) for d, h, a, w in played(seed=3)]
-    got = rating_fold.rating_periods(spark.createDataFrame(rows, ROWS)).toPandas().sort_values(["player_id", "day"]).reset_index(drop=True)
+@pytest.mark.parametrize("block", [10_000, 30, 1])
+def test_fold_by_runs_of_days_equals_one_fold(spark, block):
+    """One group, short runs of days, and every day by joins."""
+    rows = [r for r in played(60) + [(d, h + 100, a + 100, w) for d, h, a, w in played(40, seed=3)]][: 100 if block > 1 else 40]
+    got = rating_fold.rating_periods(spark.createDataFrame(rows, ROWS), block).toPandas().sort_values(["player_id", "day"]).reset_index(drop=True)
     want, _ = rating_fold.fold(pd.DataFrame(rows, columns=["day", "home", "away", "home_won"]))
     want = want.sort_values(["player_id", "day"]).reset_index(drop=True)
-    assert got["player_id"].tolist() == want["player_id"].tolist()
-    assert (abs(got["rating"] - want["rating"]) < 1e-9).all()
+    assert got["player_id"].tolist() == want["player_id"].tolist() and got["day"].tolist() == want["day"].tolist()
+    for c in ("rating", "deviation", "volatility", "rating_before", "deviation_before", "matches", "wins", "total_matches", "total_wins"):
+        assert (abs(got[c] - want[c]) < 1e-6).all(), c
     assert got.groupby("player_id")["total_matches"].max().sum() == 2 * len(rows)
+    assert rating_fold.rating_periods(spark.createDataFrame([], ROWS)).count() == 0
+
+
+def test_weeks_ranks_and_asof_equal_brute_force(spark):
+    rows = played(80)
+    p = rating_fold.rating_periods(spark.createDataFrame(rows, ROWS), 25)
+    want = {}
+    for r in sorted(p.collect(), key=lambda r: r["day"]):
+        key = (r["player_id"], r["day"] - timedelta(days=r["day"].weekday()))
+        start = want[key][1] if key in want else r["rating_before"]
+        want[key] = (r["rating"], start, r["total_matches"])
+    got = {(r["player_id"], r["week"]): (r["rating"], r["rating"] - r["change"], r["matches"]) for r in rating_fold.weekly_ratings(p).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    df = spark.createDataFrame([(i, (i * 7) % 23, i % 3 == 0) for i in range(200)], "i int, v int, ok boolean").repartition(7)
+    places = {r["i"]: (r["all"], r["some"]) for r in ranking.placed(df, [F.desc("v"), F.asc("i")], {"all": F.lit(True), "some": F.col("ok")}).collect()}
+    order = sorted(range(200), key=lambda i: (-((i * 7) % 23), i))
+    assert places == {i: (n + 1, sum(j % 3 == 0 for j in order[: n + 1]) if i % 3 == 0 else None) for n, i in enumerate(order)}
 
 
 def test_replay_from_a_checkpoint_equals_a_rebuild():
@@ -82,6 +102,21 @@ def test_two_dense_pools_are_two_communities(spark):
     assert {r["player_id"] for r in part} == {4, 10}
 
 
+def test_components_and_gains_over_the_whole_graph(spark):
+    """Two components: gains are over the weight of all edges, and no single move betters what is found."""
+    rng = random.Random(4)
+    e = [(a, b, 1, round(rng.random() + (2 if a // 4 == b // 4 else 0), 3)) for p in (0, 100) for a in range(p, p + 12) for b in range(a + 1, p + 12) if rng.random() < 0.7]
+    got = {r["player_id"]: r["community"] for r in graph.communities(spark.createDataFrame(e, "a long, b long, matches int, weight double")).collect()}
+    two_m = 2 * sum(x[3] for x in e)
+    degree = {n: sum(x[3] for x in e if n in x[:2]) for n in got}
+
+    def q(labels):
+        return sum(2 * x[3] for x in e if labels[x[0]] == labels[x[1]]) / two_m - sum(sum(degree[n] for n in got if labels[n] == c) ** 2 for c in set(labels.values())) / two_m**2
+
+    best = q(got)
+    assert best > 0.3 and all(q(got | {n: c}) <= best + 1e-9 for n in got for c in set(got.values()))
+
+
 def test_edges_decay_by_half_life(spark):
     rows = [(1, 2, date(2024, 1, 1)), (2, 1, date(2024, 1, 1) - timedelta(days=730)), (1, 2, date(2019, 1, 1)), (3, 3, date(2024, 1, 1))]
     (r,) = graph.decayed_edges(spark.createDataFrame(rows, "home long, away long, day date")).collect()
