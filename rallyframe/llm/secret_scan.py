@@ -1,30 +1,34 @@
 """Secret scans: base rules and a linear-chain conditional random field.
 
 The base rules find assignments, access keys and long hexadecimal runs.  The
-field then tags tokens as begin, inside or outside of a secret, from the token's
-shape, the words beside it and features of its line and file, decoded by
+field then tags the tokens of each line as begin, inside or outside of a secret, from
+the token's shape, the words beside it and features of its line and file, decoded by
 Viterbi; what it finds beside the base spans is added as kind "crf".
 
-Only a token of eight or more characters with a digit may be tagged begin or
-inside, so the chain falls apart at every run of other tokens longer than the
-features reach, and decoding the clusters of such tokens equals decoding the
-whole text.
+Every token of every line may be tagged: tokens are runs of characters other than
+white space, quotes and brackets, with any `.`, `=`, `/` and the like in them (a name
+before `=` or `:` is a token of its own), and length and digits are features only.  A
+line is decoded whole.  Most tokens need no search, as their best tag is certain
+whatever stands beside them (`Tagger.certain`, an exact bound); Viterbi runs over the
+stretches between.
 
-The field is trained at each run on clusters of the texts themselves, labelled by
-the base rules, without the words that the rules look for as features of half of
-them, so that it learns shapes as well as neighbours.  Training takes the
-TRAIN_CLUSTERS clusters with the smallest hash that have at most TRAIN_TOKENS
-tokens: a bounded sample that depends on the rows alone, not on their order.
+The field is trained at each run on lines of the texts themselves, labelled by the base
+rules, without the neighbouring words as features of half of them, so that it learns
+shapes as well as neighbours.  Training takes, of lines with a secret, of lines with
+another long token that holds a digit, and of other lines, TRAIN_LINES each with the
+smallest hashes, in windows of at most TRAIN_TOKENS tokens: a bounded sample that depends
+on the rows alone, not on their order.
 
 Defined cases: null text counts as empty and has no span; matches of one kind do
 not overlap, of different kinds they may; repeated rows are scanned alike; with
-no cluster to learn from nothing is added; an empty table gives an empty result;
+no line to learn from nothing is added; an empty table gives an empty result;
 other columns are passed over (`scan`) or kept (`redact`).
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TRAIN_CLUSTERS, TRAIN_TOKENS = 4000, 32
+TRAIN_LINES, TRAIN_TOKENS = 1500, 32
 KINDS = ("assign", "access", "hex")
 # The words of the assignment rule.
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -58,37 +62,27 @@ def base_spans(text: str) -> list[tuple[int, int, int, int]]:
     return sorted(out, key=lambda s: (s[0], s[2]))
 
 
-# ---- tokens, clusters, features
+# ---- tokens and features
 
-TOKEN = re.compile(r"[^\W_]+(?:[_+/-]+[^\W_]+)*|[^\w\s]|_+")
+TOKEN = re.compile(r"""\n|[A-Za-z_][A-Za-z0-9_-]{0,31}[=:](?=[^\s=:/"'])|[^\s"'`<>(){}\[\],;]+|[^\s]""")
 DIGIT = re.compile(r"[0-9]")
-CANDIDATE = re.compile(r"[A-Za-z0-9_+/-]{8,}", re.ASCII)
-REACH = 3  # tokens on either side that features look at
-
-
-def clusters(text: str) -> Iterator[tuple[list[tuple[int, int, str]], int]]:
-    """Tokens (start, end, text) of each stretch of a line with candidates not further than 2 * REACH tokens apart, with REACH tokens on either side; and its line's length."""
-    at = 0
-    while m := DIGIT.search(text, at):
-        begin, end = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.start())
-        end = len(text) if end < 0 else end
-        at = end + 1
-        tokens = [(t.start() + begin, t.end() + begin, t[0]) for t in TOKEN.finditer(text[begin:end])]
-        where = [i for i, t in enumerate(tokens) if is_candidate(t[2])]
-        group: list[int] = []
-        for i in [*where, None]:
-            if group and (i is None or i - group[-1] > 2 * REACH):
-                yield tokens[max(0, group[0] - REACH) : group[-1] + REACH + 1], end - begin
-                group = []
-            if i is not None:
-                group.append(i)
-
-
-def is_candidate(token: str) -> bool:
-    return len(token) >= 8 and bool(CANDIDATE.fullmatch(token)) and bool(DIGIT.search(token))
+HEX_LETTERS = frozenset("abcdefABCDEF")
+BESIDE = (-3, -2, -1, 1)  # the tokens beside one that features look at
+BUCKETS = 1 << 13
 
 
-BUCKETS = 1 << 13
+def tokens_of(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Tokens in order, their starts, and the number of the line each is in."""
+    words, starts, lines, line = [], [], [], 0
+    for m in TOKEN.finditer(text):
+        t = m[0]
+        if t == "\n":
+            line += 1
+            continue
+        words.append(t.rstrip(".:!?") or t)  # the end of a sentence is no part of its last word
+        starts.append(m.start())
+        lines.append(line)
+    return words, np.array(starts, np.int64), np.array(lines, np.int64)
 
 
 def _feature(name: str) -> int:
@@ -103,31 +97,40 @@ def shape(token: str) -> list[str]:
     hexa = all(c in "0123456789abcdefABCDEF" for c in token)
     return [
         f"len={min(len(token) // 4, 12)}",
-        f"case={lower}{upper}",
-        f"digits={digits * 5 // max(1, len(token))}",
-        f"turns={turns * 5 // max(1, len(token))}",
+        f"case={lower}{upper}&len={min(len(token) // 4, 6)}",
+        f"digits={digits * 5 // len(token)}&len={min(len(token) // 8, 3)}",
+        f"turns={turns * 5 // len(token)}",
         f"variety={int(variety * 5)}",
-        f"hex={hexa}&len={min(len(token) // 8, 6)}&case={lower}{upper}",
-        f"marks={any(c in '_+/-' for c in token)}",
+        f"hex={hexa}&len={min(len(token) // 8, 6)}&case={lower}{upper}&digit={digits > 0}",
+        f"marks={any(c in '_+/-=' for c in token)}&dots={'.' in token}&at={'@' in token}",
+    ]
+
+
+def beside(words: list[str]) -> np.ndarray:
+    """The feature number of each word (a row) at each place of BESIDE; words with digits are alike."""
+    h = np.array([xxhash.xxh32_intdigest("digits" if DIGIT.search(w) else w.lower()) for w in words], np.uint32)
+    return ((h[:, None] ^ np.array([0x9E3779B9 * (k + 1) % 2**32 for k in range(len(BESIDE))], np.uint32)) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BUCKETS.bit_length() + 1)
+
+
+def surroundings(words: list[str], starts: np.ndarray, lines: np.ndarray, file: tuple[int, int]) -> list[list[str]]:
+    """The features of each token that are not its own or its neighbours': of its file, its line and whether it follows at once."""
+    size = np.bincount(lines) if len(lines) else np.zeros(0, int)
+    return [
+        ["token", f"file={file[0]}", f"file_len={file[1]}", f"line={min(size[lines[i]] // 16, 5)}", f"glued={bool(i and lines[i] == lines[i - 1] and starts[i - 1] + len(words[i - 1]) == starts[i])}"]
+        for i in range(len(words))
     ]
 
 
-def features(tokens: list[tuple[int, int, str]], line: int, file: tuple[int, int], neighbours: bool = True) -> list[list[int]]:
+def features(words: list[str], starts: np.ndarray, lines: np.ndarray, file: tuple[int, int], neighbours: bool = True) -> list[list[int]]:
     """Feature numbers of each token.  file: buckets of the text's share of digits and of its length."""
-    words = [t[2].lower() for t in tokens]
-    out = []
-    for i, t in enumerate(tokens):
-        if not is_candidate(t[2]):
-            out.append([_feature("other")])
-            continue
-        names = ["candidate", f"line={min(line // 100, 5)}", f"file={file[0]}", f"file_len={file[1]}", *shape(t[2])]
-        for d in (-3, -2, -1, 1):
-            word = words[i + d] if 0 <= i + d < len(words) else "none"
-            word = word if not any(map(str.isdigit, word)) else "digits"
-            if neighbours or not word.isalpha():
-                names.append(f"{d}:{word}")
-        names.append(f"glued={i > 0 and tokens[i - 1][1] == t[0]}")
-        out.append([_feature(n) for n in names])
+    out, theirs = [], beside(words).tolist()
+    for i, around in enumerate(surroundings(words, starts, lines, file)):
+        own = [_feature(n) for n in (*around, *shape(words[i]))]
+        for k, d in enumerate(BESIDE):
+            inside = 0 <= i + d < len(words) and lines[i + d] == lines[i]
+            if neighbours:
+                own.append(theirs[i + d][k] if inside else _feature(f"{d}:none"))
+        out.append(own)
     return out
 
 
@@ -136,10 +139,11 @@ def file_features(text: str) -> tuple[int, int]:
     return min(9, digits * 100 // max(1, len(text))), min(6, len(str(len(text))))
 
 
-def labels(tokens: list[tuple[int, int, str]], spans: list[tuple[int, int, int, int]]) -> list[int]:
+def labels(words: list[str], starts: np.ndarray, spans: list[tuple[int, int, int, int]]) -> list[int]:
+    """Tags by the base spans: a token that overlaps a secret is begin, or inside if the one before is of the same secret."""
     out, last = [], None
-    for start, end, token in tokens:
-        span = next(((s[3], s[1]) for s in spans if s[3] <= start and end <= s[1]), None) if is_candidate(token) else None
+    for word, start in zip(words, starts):
+        span = next(((s[3], s[1]) for s in spans if s[3] < start + len(word) and start < s[1]), None)
         out.append(OUTSIDE if span is None else INSIDE if span == last else BEGIN)
         last = span
     return out
@@ -155,14 +159,15 @@ class Field:
     weights: np.ndarray  # (BUCKETS, 3)
     moves: np.ndarray  # (3, 3)
 
-    def viterbi(self, own: list[list[int]], allowed: list[bool]) -> list[int]:
-        """The best tags of a chain that starts and ends outside."""
+    def viterbi(self, emit: np.ndarray, goes_on: bool = False) -> list[int]:
+        """The best tags of a chain with such scores (a row a token) that starts outside; goes_on: a token outside follows."""
         score, back = np.array([FORBIDDEN, FORBIDDEN, 0.0]), []
-        for f, ok in zip(own, allowed):
+        for e in emit:
             step = score[:, None] + self.moves
             back.append(step.argmax(axis=0))
-            emit = self.weights[f].sum(axis=0) if ok else np.array([FORBIDDEN, FORBIDDEN, 0.0])
-            score = step.max(axis=0) + emit
+            score = step.max(axis=0) + e
+        if goes_on:
+            score = score + self.moves[:, OUTSIDE]
         tags, tag = [], int(score.argmax())
         for b in reversed(back):
             tags.append(tag)
@@ -170,12 +175,91 @@ class Field:
         return tags[::-1]
 
 
+class Tagger:
+    """A field with the scores of the tokens that it has seen, LIMIT of them at most."""
+
+    LIMIT = 200_000
+
+    def __init__(self, field: Field) -> None:
+        self.field, self.number, self.scores = field, {}, np.zeros((0, 1 + len(BESIDE), 3))
+        self.shapes, self.n_shapes, self.shape_scores = {}, 0, np.zeros((64, 3))
+        of = lambda name: field.weights[_feature(name)]
+        self.of = of
+        self.none = np.array([of(f"{d}:none") for d in BESIDE])
+        m, free = field.moves, lambda p, x: not (p == OUTSIDE and x == INSIDE)
+        # what a tag of a secret can gain by the moves into it and out of it, over outside in its place (a secret that went on then begins behind it)
+        into = max(m[p, x] - m[p, OUTSIDE] for p in range(3) for x in (BEGIN, INSIDE) if free(p, x))
+        out = max(m[x, n] - m[OUTSIDE, BEGIN if n == INSIDE else n] for x in (BEGIN, INSIDE) for n in range(3))
+        self.bound = into + out + max(0.0, max(m[INSIDE, y] - m[BEGIN, y] for y in range(3)))
+
+    def _shape(self, word: str) -> int:
+        """The row of shape scores of a word; words of letters that agree in what shape() looks at share it at once."""
+        key = (min(len(word), 64), word.islower(), word.isupper(), len(set(word)), HEX_LETTERS.issuperset(word)) if word.isalpha() and word.isascii() and len(word) < 64 else word
+        row = self.shapes.get(key)
+        if row is None:
+            row = self.n_shapes
+            if row == len(self.shape_scores):
+                self.shape_scores = np.concatenate([self.shape_scores, np.zeros((row + 64, 3))])
+            self.shape_scores[row] = self.field.weights[[_feature(n) for n in shape(word)]].sum(axis=0)
+            self.n_shapes += 1
+            self.shapes[key] = row
+        return row
+
+    def ids(self, words: list[str]) -> np.ndarray:
+        """The row of scores of each word."""
+        new = [w for w in dict.fromkeys(words) if w not in self.number]
+        if len(self.number) + len(new) > self.LIMIT:
+            self.number, self.shapes, self.n_shapes = {}, {}, 0
+            new = list(dict.fromkeys(words))
+        if new:
+            n, first = len(new), len(self.number)
+            if first + n > len(self.scores):
+                self.scores = np.concatenate([self.scores[:first], np.zeros((first + n, 1 + len(BESIDE), 3))])
+            at = [self._shape(w) for w in new]
+            self.scores[first : first + n, 0] = self.shape_scores[at]
+            self.scores[first : first + n, 1:] = self.field.weights[beside(new)]
+            self.number.update(zip(new, range(first, first + n)))
+        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+
+    def emissions(self, words: list[str], starts: np.ndarray, lines: np.ndarray, file: tuple[int, int]) -> np.ndarray:
+        """The score of each tag of each token: the sums of its features' weights."""
+        ids, n = self.ids(words), len(words)
+        own = self.scores[:, 0][ids] + self.of("token") + self.of(f"file={file[0]}") + self.of(f"file_len={file[1]}")
+        own = own + np.array([self.of(f"line={i}") for i in range(6)])[np.minimum(np.bincount(lines)[lines] // 16, 5)]
+        ends = starts + np.fromiter(map(len, words), np.int64, n)
+        glued = np.concatenate([[False], (lines[1:] == lines[:-1]) & (ends[:-1] == starts[1:])])
+        own = own + np.array([self.of("glued=False"), self.of("glued=True")])[glued.astype(int)]
+        for k, d in enumerate(BESIDE):
+            at = np.arange(n) + d
+            ok = (at >= 0) & (at < n)
+            ok[ok] = lines[at[ok]] == lines[ok]
+            own = own + np.where(ok[:, None], self.scores[:, 1 + k][ids[np.clip(at, 0, n - 1)]], self.none[k])
+        return own
+
+    def certain(self, emit: np.ndarray) -> np.ndarray:
+        """Tokens that are outside in the best tags whatever stands beside them: outside scores above what any moves and the next token could make up for."""
+        ahead = np.append(np.maximum(0.0, emit[1:, INSIDE] - emit[1:, BEGIN]), 0.0)
+        return emit[:, OUTSIDE] - np.maximum(emit[:, BEGIN], emit[:, INSIDE]) > self.bound + ahead
+
+    def tags(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Words, starts, lines and tags of the tokens of a text."""
+        words, starts, lines = tokens_of(text)
+        tags = np.full(len(words), OUTSIDE)
+        if words:
+            emit = self.emissions(words, starts, lines, file_features(text))
+            open_ = np.flatnonzero(~self.certain(emit))
+            for run in np.split(open_, np.flatnonzero((np.diff(open_) > 1) | (np.diff(lines[open_]) > 0)) + 1) if len(open_) else []:
+                a, b = run[0], run[-1] + 1
+                tags[a:b] = self.field.viterbi(emit[a:b], bool(b < len(words) and lines[b] == lines[b - 1]))
+        return words, starts, lines, tags
+
+
 def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis=axis, keepdims=True)
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def train(chains: list[tuple[list[list[int]], list[bool], list[int]]], rounds: int = 80, rate: float = 0.3, penalty: float = 1e-4) -> Field:
+def train(chains: list[tuple[list[list[int]], list[int]]], rounds: int = 60, rate: float = 0.3, penalty: float = 1e-4) -> Field:
     """Maximum likelihood by gradient steps (Adam) over all chains at once."""
     moves = np.zeros((3, 3))
     moves[OUTSIDE, INSIDE] = FORBIDDEN
@@ -186,11 +270,11 @@ def train(chains: list[tuple[list[list[int]], list[bool], list[int]]], rounds: i
     n, length = len(chains), max(len(c[0]) for c in chains)
     width = max(len(f) for c in chains for f in c[0])
     idx = np.full((n, length, width), BUCKETS)
-    ok, real, tags = np.zeros((n, length), bool), np.zeros((n, length), bool), np.full((n, length), OUTSIDE)
-    for i, (own, allowed, y) in enumerate(chains):
+    real, tags = np.zeros((n, length), bool), np.full((n, length), OUTSIDE)
+    for i, (own, y) in enumerate(chains):
         for j, f in enumerate(own):
             idx[i, j, : len(f)] = f
-        ok[i, : len(own)], real[i, : len(own)], tags[i, : len(own)] = allowed, True, y
+        real[i, : len(own)], tags[i, : len(own)] = True, y
     gold = np.zeros((n, length, 3))
     np.put_along_axis(gold, tags[:, :, None], 1.0, axis=2)
     before = np.concatenate([np.full((n, 1), OUTSIDE), tags[:, :-1]], axis=1)
@@ -202,7 +286,7 @@ def train(chains: list[tuple[list[list[int]], list[bool], list[int]]], rounds: i
     for t in range(1, rounds + 1):
         w, free = parameters[:-9].reshape(BUCKETS, 3), parameters[-9:].reshape(3, 3) + moves
         padded = np.vstack([w, np.zeros((1, 3))])
-        emit = np.where(ok[:, :, None], padded[idx].sum(axis=2), closed)
+        emit = np.where(real[:, :, None], sum(padded[idx[:, :, k]] for k in range(width)), closed)
         forward, score = [], np.tile(closed, (n, 1))
         for j in range(length):
             score = _logsumexp(score[:, :, None] + free, 1) + emit[:, j]
@@ -218,7 +302,7 @@ def train(chains: list[tuple[list[list[int]], list[bool], list[int]]], rounds: i
             prior = np.tile(closed, (n, 1)) if j == 0 else forward[j - 1]
             pair = np.exp(np.clip(prior[:, :, None] + free + (emit[:, j] + backward[j])[:, None, :] - z[:, None, None], -700, 0))
             expected_moves += pair[real[:, j]].sum(axis=0)
-        diff = (gold - share) * ok[:, :, None]
+        diff = (gold - share) * real[:, :, None]
         gradient = np.stack([np.bincount(idx.ravel(), np.repeat(diff[:, :, s].ravel(), width), BUCKETS + 1)[:BUCKETS] for s in range(3)], axis=1)
         g = np.concatenate([gradient.ravel(), (gold_moves - expected_moves).ravel()]) / n - penalty * parameters
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
@@ -226,54 +310,76 @@ def train(chains: list[tuple[list[list[int]], list[bool], list[int]]], rounds: i
     return Field(parameters[:-9].reshape(BUCKETS, 3), parameters[-9:].reshape(3, 3) + moves)
 
 
-def training_chains(text: str) -> Iterator[tuple[list, list, list]]:
-    spans, file = base_spans(text), file_features(text)
-    for tokens, line in clusters(text):
-        if len(tokens) <= TRAIN_TOKENS:
-            y = labels(tokens, spans)
-            bare = xxhash.xxh32_intdigest("".join(t[2] for t in tokens)) % 2 == 0
-            yield features(tokens, line, file, not bare), [is_candidate(t[2]) for t in tokens], y
+def _windows(text: str) -> Iterator[tuple[int, int, str, int, str]]:
+    """(hash, stratum, line, bucket of digits, bucket of length) of each line of a text: 0 with a secret, 1 with a long token that holds a digit, 2 others."""
+    spans, file, at = base_spans(text), None, 0
+    for line in text.split("\n"):
+        end = at + len(line)
+        if line.strip():
+            stratum = 0 if any(s[3] < end and at < s[1] for s in spans) else 1 if any(len(w) >= 8 and DIGIT.search(w) for w in (line.split() if DIGIT.search(line) else ())) else 2
+            file = file or file_features(text)
+            yield xxhash.xxh64_intdigest(line) >> 1, stratum, line, *file
+        at = end + 1
+
+
+def chain(line: str, file: tuple[int, int]) -> tuple[list[list[int]], list[int]]:
+    """Features and tags of one line for training, in a window of TRAIN_TOKENS tokens about its first secret, or from a place by its hash."""
+    words, starts, lines = tokens_of(line)
+    tags = labels(words, starts, base_spans(line))
+    h = xxhash.xxh32_intdigest(line)
+    first = next((i for i, t in enumerate(tags) if t != OUTSIDE), h % max(1, len(words)))
+    a = max(0, min(first - TRAIN_TOKENS // 2, len(words) - TRAIN_TOKENS))
+    own = features(words, starts, lines, file, (h >> 8) % 2 == 0)
+    return own[a : a + TRAIN_TOKENS], tags[a : a + TRAIN_TOKENS]
 
 
 def fit(docs: DataFrame) -> Field:
-    """The field trained on the sample of clusters of docs' texts."""
+    """The field trained on the sample of lines of docs' texts."""
+    columns = ["hash", "stratum", "line", "digits", "size"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[dict[int, tuple]] = [{}, {}, {}]  # by hash; cut back to the smallest
         for pdf in batches:
-            rows = [(str(c[0]), "".join("01"[x] for x in c[1]), "".join(map(str, c[2]))) for text in pdf["text"] if text for c in training_chains(text)]
-            yield pd.DataFrame(rows, columns=["features", "allowed", "tags"])
+            for text in pdf["text"]:
+                for row in _windows(text or ""):
+                    own = held[row[1]]
+                    own[row[0]] = min(own.get(row[0], row), row)
+                    if len(own) >= 4 * TRAIN_LINES:
+                        held[row[1]] = {h: own[h] for h in heapq.nsmallest(TRAIN_LINES, own)}
+        rows = [own[h] for own in held for h in heapq.nsmallest(TRAIN_LINES, own)]
+        yield pd.DataFrame([(*r[:2], r[2] if len(r[2]) <= 8 * 1024 else _shortened(r[2]), *r[3:]) for r in rows], columns=columns)
 
-    found = docs.select("text").where(F.col("text").rlike("[0-9]")).mapInPandas(run, "features string, allowed string, tags string")
-    # at most TRAIN_CLUSTERS rows of at most TRAIN_TOKENS tokens reach the driver
-    sample = found.distinct().orderBy(F.xxhash64("features", "tags"), "features", "tags").limit(TRAIN_CLUSTERS).collect()
-    return train([([[int(x) for x in f.split(", ")] for f in r["features"].strip("[]").split("], [")], [x == "1" for x in r["allowed"]], [int(x) for x in r["tags"]]) for r in sample])
+    found = docs.select("text").where("text is not null").mapInPandas(run, "hash long, stratum int, line string, digits int, size int").distinct()
+    # at most TRAIN_LINES rows a stratum reach the driver, each of bounded length
+    sample = [r for i in range(3) for r in found.where(F.col("stratum") == i).orderBy("hash", "line", "digits", "size").limit(TRAIN_LINES).collect()]
+    return train([c for c in (chain(r["line"], (r["digits"], r["size"])) for r in sample) if c[0]] if any(r["stratum"] == 0 for r in sample) else [])
 
 
-def added_spans(text: str, base: list[tuple[int, int, int, int]], field: Field) -> list[tuple[int, int, int, int]]:
+def _shortened(line: str) -> str:
+    """A very long line for training: what stands about its first secret, or its beginning."""
+    spans = base_spans(line)
+    at = max(0, spans[0][0] - 4096) if spans else 0
+    return line[at : at + 8 * 1024]
+
+
+def added_spans(text: str, base: list[tuple[int, int, int, int]], tagger: Tagger) -> list[tuple[int, int, int, int]]:
     """Spans of the field that meet no base span; kind number 3."""
-    out, file = [], None
-    for tokens, line in clusters(text):
-        file = file or file_features(text)
-        tags = field.viterbi(features(tokens, line, file), [is_candidate(t[2]) for t in tokens])
-        i = 0
-        while i < len(tags):
-            if tags[i] == BEGIN:
-                j = i + 1
-                while j < len(tags) and tags[j] == INSIDE:
-                    j += 1
-                start, end = tokens[i][0], tokens[j - 1][1]
-                if not any(s[0] < end and start < s[1] for s in base):
-                    out.append((start, end, 3, start))
-                i = j
-            else:
-                i += 1
+    words, starts, lines, tags = tagger.tags(text)
+    out = []
+    for i in np.flatnonzero(tags == BEGIN).tolist():
+        j = i + 1
+        while j < len(tags) and tags[j] == INSIDE and lines[j] == lines[i]:
+            j += 1
+        start, end = int(starts[i]), int(starts[j - 1]) + len(words[j - 1])
+        if not any(s[0] < end and start < s[1] for s in base):
+            out.append((start, end, 3, start))
     return out
 
 
-def all_spans(text: str | None, field: Field) -> tuple[list, list]:
+def all_spans(text: str | None, tagger: Tagger) -> tuple[list, list]:
     """Base spans; base and added spans, by start, then kind."""
     base = base_spans(text or "")
-    return base, sorted(base + added_spans(text or "", base, field), key=lambda s: (s[0], s[2]))
+    return base, sorted(base + added_spans(text or "", base, tagger), key=lambda s: (s[0], s[2]))
 
 
 def joined(spans: list[tuple[int, int, int, int]]) -> str:
@@ -290,10 +396,11 @@ def scan(docs: DataFrame, field: Field | None = None) -> DataFrame:
 
     @F.pandas_udf(FOUND)
     def found(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        tagger = Tagger(field)
         for batch in texts:
             rows = []
             for text in batch:
-                base, both = all_spans(text, field)
+                base, both = all_spans(text, tagger)
                 kinds = [s[2] for s in base]
                 spans = [{"kind": (*KINDS, "crf")[k], "start": a, "end": b, "secret_start": c} for a, b, k, c in both]
                 rows.append((spans, *(kinds.count(k) for k in range(3)), hashlib.sha256(joined(base).encode()).hexdigest(), joined(both)))
@@ -308,8 +415,9 @@ def redact(docs: DataFrame, field: Field | None = None, mark: str = "[SECRET]")
 
     @F.pandas_udf(T.StringType())
     def cleaned(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tagger = Tagger(field)
         for batch in texts:
-            yield pd.Series([redacted(t, all_spans(t, field)[1], mark) for t in batch], dtype=object)
+            yield pd.Series([redacted(t, all_spans(t, tagger)[1], mark) for t in batch], dtype=object)
 
     out = docs.withColumn("text", cleaned("text"))
     return out.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else out
