@@ -108,7 +108,8 @@ def rules(c: Column) -> dict[str, tuple[Column, Column]]:
         "function_words": ((n >= 40) & (share("n_function_words") < 0.05), share("n_function_words") > 0.1),
         "plain_words": ((n >= 20) & (share("n_plain_words") < 0.55), share("n_plain_words") > 0.7),
         "ended_lines": ((c["n_lines"] >= 3) & (share("n_ended_lines", "n_lines") < 0.3), (c["n_lines"] >= 1) & (share("n_ended_lines", "n_lines") > 0.7)),
-        "vocabulary": ((n >= 50) & (n <= 1000) & (share("n_distinct_words") < 0.2), (n >= 10) & (share("n_distinct_words") > 0.4)),
+        # a text's different words grow with its length, but ever more slowly: a fifth of a thousand words, with the root beyond
+        "vocabulary": ((n >= 50) & (c["n_distinct_words"] < F.least(0.2 * n, F.sqrt(40.0 * n))), (n >= 10) & (share("n_distinct_words") > 0.4)),
         "length": (n < 10, never),
         "word_length": ((share("word_chars") > 12) | (share("word_chars") < 2.5), never),
         "symbols": (share("n_symbols") > 0.3, never),
@@ -205,7 +206,7 @@ def verdicts(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 def keep_clean(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs, all columns as they are, that pass the base rule and have a posterior of at least threshold."""
     name = free_name(docs, "counts")
-    model = fit(docs.select(counts_of("text").alias(name)), name)
-    counted = docs.withColumn(name, counts_of(F.col("text")))
+    counted = staged(docs.withColumn(name, counts_of(F.col("text"))))
+    model = fit(counted, name)
     c = F.col(name)
     return counted.where(~base_failed(c["n_words"], c["n_repeat_words"]) & (model.posterior(votes(c)) >= threshold)).drop(name)
