@@ -79,6 +79,34 @@ def unstaged(*tables: DataFrame) -> None:
         path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+#: Slots of a key's hash that a semi-join is first cut by: the bound of what is broadcast.
+SLOTS = 1 << 19
+
+
+def _slot(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(SLOTS)).cast("int")
+
+
+def rows_of(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of table whose key is in ids (one column of that name).
+
+    A first cut by the slots that the ids' hashes fall into, SLOTS numbers at most whatever
+    the input, leaves most other rows, with their texts, out of the shuffle.
+    """
+    slot = free_name(table, "slot")
+    slots = F.broadcast(ids.select(_slot(key).alias(slot)).distinct())
+    return table.join(slots, _slot(key) == F.col(slot), "left_semi").join(ids, key, "left_semi")
+
+
+def rows_without(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of table whose key is null or not in ids; only those of slots that the ids' hashes fall into are shuffled."""
+    slot = free_name(table, "slot")
+    slots = F.broadcast(ids.select(_slot(key).alias(slot)).distinct())
+    apart = table.join(slots, _slot(key) == F.col(slot), "left_anti")
+    near = table.join(slots, _slot(key) == F.col(slot), "left_semi")
+    return apart.unionByName(near.join(ids, key, "left_anti"))
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that df does not have (case aside)."""
     taken = {c.lower() for c in df.columns}

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER_BYTES, staged
+from .common import LOWER_BYTES, rows_of, rows_without, staged
 from .components import components
 
 BASE, RATE, TOP = 1.02, 20.0, 2**16 - 2
@@ -243,8 +243,8 @@ def verified(docs: DataFrame, marks: DataFrame, pairs: DataFrame, width: int, pe
     near = pairs.join(side("a"), "a").join(side("b"), "b")
     near = near.where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
     near = staged(near.where(_estimate("n_a", "n_b", "s_a", "s_b") >= percent / 100 - MARGIN).select("a", "b", "n_a", "n_b"))
-    ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = full_sets(docs.where("doc_id is not null").join(ids, "doc_id", "left_semi"), width)
+    ids = staged(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    sets = full_sets(rows_of(docs, ids, "doc_id"), width)
     both = near.join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y")), "b")
     common = both.select("a", "b", (F.length("x") / 8).cast("long").alias("n_a"), (F.length("y") / 8).cast("long").alias("n_b"), _common("x", "y").alias("common"))
     return common.where(100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b").distinct()
@@ -273,8 +273,8 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     # buckets of more than two whose members are not all connected by now
     placed = live.where("met > 2").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     apart = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    apart = placed.join(apart, "key", "left_semi").select("doc_id", "component").distinct()
-    sets = staged(set_members(docs.join(apart, "doc_id", "left_semi"), width).distinct().join(apart, "doc_id"))
+    apart = staged(placed.join(apart, "key", "left_semi").select("doc_id", "component").distinct())
+    sets = staged(set_members(rows_of(docs, apart.select("doc_id"), "doc_id"), width).distinct().join(apart, "doc_id"))
     rest = rare_pairs(sets, percent).join(stars, ["a", "b"], "left_anti")
     rest = staged(rest)
     if rest.take(1):
@@ -286,5 +286,5 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
 
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs without the rows that are near copies of one with a smaller doc_id in their component; columns stay."""
-    gone = near_copies(docs, width, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
+    gone = staged(near_copies(docs, width, percent).where("not kept").select("doc_id").distinct())
+    return rows_without(docs.withColumn("doc_id", F.col("doc_id").cast("long")), gone, "doc_id").withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
