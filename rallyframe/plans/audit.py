@@ -82,7 +82,7 @@ def competition_quality(d: Domain) -> DataFrame:
 
 ISSUES_SQL = f"""WITH {CLASSIFIED_SQL}, issues AS (
     SELECT 'suspicious_date' AS kind, 'high' AS severity, rubber_id, effective_day FROM classified WHERE {BAD_DAY}
-    UNION ALL SELECT 'date_conflict', 'medium', rubber_id, effective_day FROM classified WHERE abs(datediff('day', date_played, played_on)) > 60
+    UNION ALL SELECT 'date_conflict', 'medium', rubber_id, effective_day FROM classified WHERE abs(datediff('day', date_played, played_on)) > 7
     UNION ALL SELECT reason, 'low', rubber_id, effective_day FROM classified WHERE reason LIKE 'missing%' OR reason = 'same_canonical_player')"""
 
 
@@ -90,7 +90,7 @@ def issues(d: Domain) -> DataFrame:
     """Every issue of every rubber, from one scan."""
     kinds = F.array(
         F.struct(F.expr(f"case when {BAD_DAY} then 'suspicious_date' end").alias("kind"), F.lit("high").alias("severity")),
-        F.struct(F.expr("case when abs(datediff(date_played, played_on)) > 60 then 'date_conflict' end").alias("kind"), F.lit("medium").alias("severity")),
+        F.struct(F.expr("case when abs(datediff(date_played, played_on)) > 7 then 'date_conflict' end").alias("kind"), F.lit("medium").alias("severity")),
         F.struct(F.expr("case when reason like 'missing%' or reason = 'same_canonical_player' then reason end").alias("kind"), F.lit("low").alias("severity")),
     )
     return classified(d).select(F.explode(kinds).alias("i"), "rubber_id", "effective_day").where("i.kind is not null").select("i.kind", "i.severity", "rubber_id", "effective_day")
@@ -110,8 +110,8 @@ def issue_summary(d: Domain) -> DataFrame:
     return g.withColumn("place", F.row_number().over(Window.orderBy(level, F.desc("n"), "kind")).cast("bigint"))
 
 
-@query("q74_issue_lifecycle", ISSUES_SQL + """, before AS (SELECT kind, rubber_id FROM issues WHERE rubber_id % 3 <> 0), joint AS (SELECT coalesce(b.kind, i.kind) AS kind, coalesce(b.rubber_id, i.rubber_id) AS rubber_id, b.kind IS NOT NULL AS was, i.kind IS NOT NULL AS stays FROM before b FULL JOIN (SELECT * FROM issues WHERE rubber_id % 5 <> 0) i ON b.kind = i.kind AND b.rubber_id = i.rubber_id)
-    SELECT kind, rubber_id, CASE WHEN was AND stays THEN 'open' WHEN was THEN 'resolved' ELSE 'new' END AS state FROM joint""")
+@query("q74_issue_lifecycle", ISSUES_SQL.replace("classified AS (", "classified AS MATERIALIZED (", 1).replace("issues AS (", "issues AS MATERIALIZED (", 1) + """, g AS (SELECT kind, rubber_id, max(was) AS was, 1 - min(was) AS stays FROM (SELECT kind, rubber_id, unnest(list_filter([CASE WHEN rubber_id % 3 <> 0 THEN 1 END, CASE WHEN rubber_id % 5 <> 0 THEN 0 END], lambda x: x IS NOT NULL)) AS was FROM issues) GROUP BY kind, rubber_id)
+    SELECT kind, rubber_id, CASE WHEN was = 1 AND stays = 1 THEN 'open' WHEN was = 1 THEN 'resolved' ELSE 'new' END AS state FROM g""")
 def issue_lifecycle(d: Domain) -> DataFrame:
     """Issues found before (a stand-in: two thirds of them) against those found now (four fifths): new, open or resolved."""
     i = issues(d).select("kind", "rubber_id")

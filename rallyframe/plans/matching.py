@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import cosine, date_score, dice, event_name
+from ..functions.text import cosine, date_score, dice, event_name, plain_words
 from ..sources.adapter import Domain
 from .catalog import query
 from .players import n_if
 
+# Thresholds and weights of the two scores.
 AUTO, REVIEW, MARGIN = 0.92, 0.7, 0.05
+NAME, DATE, VENUE, CATEGORY = 0.5, 0.3, 0.1, 0.1
+SEMANTIC_AUTO, SEMANTIC_DATE, SEMANTIC_NAME, SEMANTIC_REVIEW, SEMANTIC_LEAST = 0.9, 0.8, 0.4, 0.75, 0.65
+HYBRID_NAME, HYBRID_DATE, HYBRID_CATEGORY, HYBRID_VENUE, SEMANTIC_SHARE = 0.65, 0.25, 0.07, 0.03, 0.8
+#: Days between two events beyond which their dates score nothing.
+WINDOW = 7
 
 PARTS_SQL = "parts AS (SELECT p_partkey AS id, p_name || ' ' || lower(p_type) AS name, p_brand AS venue, p_type AS category, DATE '2024-01-01' + p_size AS start_day, DATE '2024-01-01' + p_size + CAST(p_partkey % 3 AS INTEGER) AS end_day FROM part)"
 
@@ -21,48 +27,111 @@ def _parts(d: Domain) -> DataFrame:
     return d.table("part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", F.lower("p_type")).alias("name"), F.col("p_brand").alias("venue"), F.col("p_type").alias("category"), day.alias("start_day"), F.expr("date_add(date_add(date'2024-01-01', p_size), cast(p_partkey % 3 as int))").alias("end_day"))
 
 
-def match_events(calendar: DataFrame, results: DataFrame, window_days: int = 7) -> DataFrame:
-    """Each result with its best calendar event and a verdict: auto, review, ambiguous or none.
+def _sided(x: DataFrame, p: str) -> DataFrame:
+    """Columns by side, with compared forms of name, venue and category."""
+    words = [event_name(F.col("name")).alias("words"), plain_words(F.coalesce("venue", F.lit(""))).alias("place"), event_name(F.coalesce("category", F.lit(""))).alias("kind")]
+    y = x.select("*", *words).withColumn("end_day", F.coalesce("end_day", "start_day"))
+    return y.select(*(F.col(c).alias(f"{p}_{c}") for c in y.columns))
 
-    Candidates start within window_days of each other and are at one venue: an equi-join on
-    (venue, bucket of days), each result looking into its own and both next buckets.
+
+def _near(results: DataFrame, calendar: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs whose dates are at most WINDOW days apart, and alike in keys, by buckets of days: an event stands in each bucket it lasts in, a result looks into those it can reach."""
+    bucket = lambda day, add: F.floor((F.datediff(day, F.lit("2000-01-01")) + add) / WINDOW)
+    r = results.withColumn("bucket", F.explode(F.sequence(bucket("r_start_day", -WINDOW), bucket("r_end_day", WINDOW))))
+    c = calendar.withColumn("bucket", F.explode(F.sequence(bucket("c_start_day", 0), bucket("c_end_day", 0))))
+    gap = F.greatest(F.datediff("c_start_day", "r_end_day"), F.datediff("r_start_day", "c_end_day"))
+    # of several buckets that a pair shares, the first one counts
+    first = F.greatest(bucket("r_start_day", -WINDOW), bucket("c_start_day", 0))
+    return r.join(c, ["bucket", *keys]).where((F.col("bucket") == first) & (gap <= WINDOW))
+
+
+def _choice(scored: DataFrame, review: float) -> DataFrame:
+    """The best candidate of each result, and whether a second one that could be meant too is within MARGIN."""
+    w = Window.partitionBy("result_id").orderBy(F.desc("score"), "calendar_id")
+    best = scored.withColumn("k", F.row_number().over(w)).withColumn("second", F.lead("score").over(w)).where("k = 1")
+    return best.withColumn("ambiguous", F.coalesce((F.col("second") >= review) & (F.col("score") - F.col("second") < MARGIN), F.lit(False)))
+
+
+def _decided(results: DataFrame, best: DataFrame) -> DataFrame:
+    """A row for each result: candidate and score where the decision is not none, and why."""
+    d = F.when(F.col("ambiguous"), "review").otherwise(F.col("decision"))
+    reason = F.when(F.col("ambiguous"), "ambiguous").when(F.col("decision") == "automatic", "matched").otherwise("review-threshold")
+    some = best.where("decision <> 'none'").select("result_id", "calendar_id", "score", d.alias("verdict"), reason.alias("reason"))
+    out = results.select(F.col("id").alias("result_id")).join(some, "result_id", "left")
+    return out.select("result_id", "calendar_id", "score", F.coalesce("verdict", F.lit("none")).alias("verdict"), F.coalesce("reason", F.lit("below-threshold")).alias("reason"))
+
+
+def match_events(calendar: DataFrame, results: DataFrame) -> DataFrame:
+    """Each result with its best calendar event, the decision (automatic, review or none) and its reason.
+
+    A total that is not "none" needs a name score of at least (REVIEW - DATE - VENUE - CATEGORY) / NAME,
+    so pairs of different names are scored first, over their words, and only events with names
+    that can be meant are joined, by name and days.
+    """
+    r, c = _sided(results, "r"), _sided(calendar, "c")
+    words = lambda x, p: x.select(f"{p}_words").distinct().withColumn(f"{p}_set", F.array_distinct(F.split(f"{p}_words", " ")))
+    each = lambda x, p: x.select(f"{p}_words", F.size(f"{p}_set").alias(f"{p}_n"), F.explode(f"{p}_set").alias("word")).where("word <> ''")
+    common = each(words(r, "r"), "r").join(each(words(c, "c"), "c"), "word").groupBy("r_words", "c_words", "r_n", "c_n").agg(F.count("*").alias("common"))
+    least = (REVIEW - DATE - VENUE - CATEGORY) / NAME - 1e-9
+    names = common.select("r_words", "c_words", (2.0 * F.col("common") / (F.col("r_n") + F.col("c_n"))).alias("name_score")).where(F.col("name_score") >= least)
+    near = _near(r.join(names, "r_words"), c, ["c_words"])
+    days = date_score(F.col("r_start_day"), F.col("r_end_day"), F.col("c_start_day"), F.col("c_end_day"))
+    score = F.round(F.col("name_score") * NAME + days * DATE + dice(F.col("r_place"), F.col("c_place")) * VENUE + dice(F.col("r_kind"), F.col("c_kind")) * CATEGORY, 4)
+    best = _choice(near.select(F.col("r_id").alias("result_id"), F.col("c_id").alias("calendar_id"), score.alias("score")), REVIEW)
+    return _decided(results, best.withColumn("decision", F.when(F.col("score") >= AUTO, "automatic").when(F.col("score") >= REVIEW, "review").otherwise("none")))
+
+
+def match_events_by_meaning(calendar: DataFrame, results: DataFrame) -> DataFrame:
+    """The same over a hybrid of name words and embeddings (column vector on both sides), dates, category and venue where both have them.
+
+    Every decision but none needs dates within WINDOW days, so only such pairs are compared.
     """
-    side = lambda x, p: x.select(*(F.col(c).alias(f"{p}_{c}") for c in x.columns), F.floor(F.datediff("start_day", F.lit("2000-01-01")) / window_days).alias("bucket"))
-    left = side(results, "r").withColumn("bucket", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)))
-    right = side(calendar, "c")
-    near = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("r_venue") == F.col("c_venue"))).where(F.abs(F.datediff("r_start_day", "c_start_day")) <= window_days)
-    score = 0.5 * dice(F.col("r_name"), F.col("c_name")) + 0.3 * date_score(F.col("r_start_day"), F.col("r_end_day"), F.col("c_start_day"), F.col("c_end_day")) + 0.1 + 0.1 * (F.col("r_category") == F.col("c_category")).cast("double")
-    w = Window.partitionBy("r_id").orderBy(F.desc("score"), "c_id")
-    best = near.withColumn("score", F.round(score, 6)).withColumn("k", F.row_number().over(w)).withColumn("second", F.lead("score").over(w)).where("k = 1")
-    close = F.col("score") - F.coalesce("second", F.lit(0.0)) < MARGIN
-    verdict = F.when(F.col("score") < REVIEW, "none").when(close, "ambiguous").when(F.col("score") >= AUTO, "auto").otherwise("review")
-    return best.select(F.col("r_id").alias("result_id"), F.col("c_id").alias("calendar_id"), "score", verdict.alias("verdict"))
-
-
-@query("q94_event_matching", f"""WITH {PARTS_SQL}, p AS (SELECT r.id AS result_id, c.id AS calendar_id,
-        round(0.5 * (2.0 * len(list_intersect(list_distinct(string_split(r.name, ' ')), list_distinct(string_split(c.name, ' ')))) / (len(list_distinct(string_split(r.name, ' '))) + len(list_distinct(string_split(c.name, ' ')))))
-            + 0.3 * CASE WHEN greatest(datediff('day', r.end_day, c.start_day), datediff('day', c.end_day, r.start_day)) <= 0 THEN 1.0 WHEN greatest(datediff('day', r.end_day, c.start_day), datediff('day', c.end_day, r.start_day)) <= 1 THEN 0.8
-                WHEN greatest(datediff('day', r.end_day, c.start_day), datediff('day', c.end_day, r.start_day)) <= 3 THEN 0.5 WHEN greatest(datediff('day', r.end_day, c.start_day), datediff('day', c.end_day, r.start_day)) <= 7 THEN 0.2 ELSE 0 END
-            + 0.1 + CASE WHEN r.category = c.category THEN 0.1 ELSE 0 END, 6) AS score
-        FROM parts r JOIN parts c ON r.venue = c.venue AND abs(datediff('day', r.start_day, c.start_day)) <= 7 WHERE r.id % 2 = 1 AND c.id % 2 = 0),
-    k AS (SELECT *, row_number() OVER w AS k, lead(score) OVER w AS second FROM p WINDOW w AS (PARTITION BY result_id ORDER BY score DESC, calendar_id))
-    SELECT result_id, calendar_id, CAST(score AS DOUBLE) AS score, CASE WHEN score < 0.7 THEN 'none' WHEN score - coalesce(second, 0) < 0.05 THEN 'ambiguous' WHEN score >= 0.92 THEN 'auto' ELSE 'review' END AS verdict FROM k WHERE k = 1""")
+    both = _near(_sided(results, "r"), _sided(calendar, "c"), [])
+    semantic = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine(F.col("r_vector"), F.col("c_vector"))))
+    name, days = dice(F.col("r_words"), F.col("c_words")), date_score(F.col("r_start_day"), F.col("r_end_day"), F.col("c_start_day"), F.col("c_end_day"))
+    s = both.where("r_vector is not null and c_vector is not null").select(F.col("r_id").alias("result_id"), F.col("c_id").alias("calendar_id"), semantic.alias("semantic"), F.round(name, 4).alias("name"), days.alias("days"), F.round(dice(F.col("r_place"), F.col("c_place")), 4).alias("venue"), F.round(dice(F.col("r_kind"), F.col("c_kind")), 4).alias("category"), ((F.trim("r_category") != "") & (F.trim("c_category") != "")).alias("kinds"), ((F.trim("r_venue") != "") & (F.trim("c_venue") != "")).alias("places"))
+    part = lambda ok, weight, score: (F.when(ok, F.col(score) * weight).otherwise(0.0), F.when(ok, F.lit(weight)).otherwise(0.0))
+    kinds, places = part(F.col("kinds"), HYBRID_CATEGORY, "category"), part(F.col("places"), HYBRID_VENUE, "venue")
+    total = (F.col("semantic") * SEMANTIC_SHARE + F.col("name") * (1 - SEMANTIC_SHARE)) * HYBRID_NAME + F.col("days") * HYBRID_DATE + kinds[0] + places[0]
+    s = s.withColumn("score", F.round(total / (HYBRID_NAME + HYBRID_DATE + kinds[1] + places[1]), 4))
+    auto = (F.col("semantic") >= SEMANTIC_AUTO) & (F.col("days") >= SEMANTIC_DATE) & (F.col("name") >= SEMANTIC_NAME)
+    review = (F.col("score") >= SEMANTIC_REVIEW) & (F.col("semantic") >= SEMANTIC_LEAST) & (F.col("days") > 0)
+    return _decided(results, _choice(s, SEMANTIC_REVIEW).withColumn("decision", F.when(auto, "automatic").when(review, "review").otherwise("none")))
+
+
+def _dice_sql(a: str, b: str) -> str:
+    x, y = (f"list_distinct(list_filter(string_split({c}, ' '), lambda w: w <> ''))" for c in (a, b))
+    return f"(CASE WHEN len({x}) > 0 AND len({y}) > 0 THEN 2.0 * len(list_intersect({x}, {y})) / (len({x}) + len({y})) ELSE 0 END)"
+
+
+_GAP = "greatest(datediff('day', r.end_day, c.start_day), datediff('day', c.end_day, r.start_day))"
+_DATE_SQL = f"(CASE WHEN {_GAP} <= 0 THEN 1.0 WHEN {_GAP} <= 1 THEN 0.8 WHEN {_GAP} <= 3 THEN 0.5 WHEN {_GAP} <= 7 THEN 0.2 ELSE 0 END)"
+# the stand-in's names hold only letters, and its venues a mark and a number
+PLAIN_SQL = "e AS (SELECT *, lower(name) AS words, trim(regexp_replace(lower(venue), '[^a-z0-9]+', ' ', 'g')) AS place, lower(category) AS kind FROM parts)"
+
+
+@query("q94_event_matching", f"""WITH {PARTS_SQL}, {PLAIN_SQL}, p AS (SELECT r.id AS result_id, c.id AS calendar_id,
+        round(CAST({_dice_sql("r.words", "c.words")} * 0.5 + {_DATE_SQL} * 0.3 + {_dice_sql("r.place", "c.place")} * 0.1 + {_dice_sql("r.kind", "c.kind")} * 0.1 AS DOUBLE), 4) AS score FROM e r JOIN e c ON {_GAP} <= 7 WHERE r.id % 2 = 1 AND c.id % 2 = 0),
+    k AS (SELECT *, row_number() OVER w AS k, lead(score) OVER w AS second FROM p WINDOW w AS (PARTITION BY result_id ORDER BY score DESC, calendar_id)), b AS (SELECT *, coalesce(second >= 0.7 AND score - second < 0.05, false) AS ambiguous FROM k WHERE k = 1 AND score >= 0.7)
+    SELECT id AS result_id, calendar_id, CAST(score AS DOUBLE) AS score, CASE WHEN score IS NULL THEN 'none' WHEN ambiguous OR score < 0.92 THEN 'review' ELSE 'automatic' END AS verdict, CASE WHEN score IS NULL THEN 'below-threshold' WHEN ambiguous THEN 'ambiguous' WHEN score >= 0.92 THEN 'matched' ELSE 'review-threshold' END AS reason
+    FROM parts LEFT JOIN b ON result_id = id WHERE id % 2 = 1""")
 def q94(d: Domain) -> DataFrame:
     p = _parts(d)
     return match_events(p.where("id % 2 = 0"), p.where("id % 2 = 1"))
 
 
-@query("q95_embedding_matching", """WITH v AS (SELECT vec_id, label, embedding AS e FROM embeddings), p AS (SELECT a.vec_id AS result_id, b.vec_id AS calendar_id,
-        round(list_sum(list_transform(list_zip(a.e, b.e), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))) / (sqrt(list_sum(list_transform(a.e, lambda z: CAST(z AS DOUBLE) * CAST(z AS DOUBLE)))) * sqrt(list_sum(list_transform(b.e, lambda z: CAST(z AS DOUBLE) * CAST(z AS DOUBLE))))), 4) AS similarity
-        FROM v a JOIN v b ON a.label = b.label WHERE a.vec_id % 2 = 1 AND b.vec_id % 2 = 0)
-    SELECT result_id, calendar_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY result_id ORDER BY similarity DESC, calendar_id) AS k FROM p) WHERE k = 1""")
+@query("q95_embedding_matching", f"""WITH {PARTS_SQL}, {PLAIN_SQL}, v AS (SELECT e.*, embedding AS x FROM e LEFT JOIN embeddings ON vec_id = id), p AS (SELECT r.id AS result_id, c.id AS calendar_id,
+        greatest(-1, least(1, round(list_sum(list_transform(list_zip(r.x, c.x), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))) / (sqrt(list_sum(list_transform(r.x, lambda z: CAST(z AS DOUBLE) * CAST(z AS DOUBLE)))) * sqrt(list_sum(list_transform(c.x, lambda z: CAST(z AS DOUBLE) * CAST(z AS DOUBLE))))), 4))) AS semantic,
+        round(CAST({_dice_sql("r.words", "c.words")} AS DOUBLE), 4) AS name, {_DATE_SQL} AS days, round(CAST({_dice_sql("r.place", "c.place")} AS DOUBLE), 4) AS venue, round(CAST({_dice_sql("r.kind", "c.kind")} AS DOUBLE), 4) AS category FROM v r JOIN v c ON {_GAP} <= 7 WHERE r.id % 2 = 1 AND c.id % 2 = 0 AND r.x IS NOT NULL AND c.x IS NOT NULL),
+    s AS (SELECT *, round(CAST(((semantic * 0.8 + name * (1 - 0.8::DOUBLE)) * 0.65 + days * 0.25 + category * 0.07 + venue * 0.03) / 1.0 AS DOUBLE), 4) AS score FROM p),
+    k AS (SELECT *, row_number() OVER w AS k, lead(score) OVER w AS second FROM s WINDOW w AS (PARTITION BY result_id ORDER BY score DESC, calendar_id)),
+    b AS (SELECT *, coalesce(second >= 0.75 AND score - second < 0.05, false) AS ambiguous, semantic >= 0.9 AND days >= 0.8 AND name >= 0.4 AS auto FROM k WHERE k = 1 AND ((semantic >= 0.9 AND days >= 0.8 AND name >= 0.4) OR (score >= 0.75 AND semantic >= 0.65)))
+    SELECT id AS result_id, calendar_id, CAST(score AS DOUBLE) AS score, CASE WHEN score IS NULL THEN 'none' WHEN ambiguous OR NOT auto THEN 'review' ELSE 'automatic' END AS verdict, CASE WHEN score IS NULL THEN 'below-threshold' WHEN ambiguous THEN 'ambiguous' WHEN auto THEN 'matched' ELSE 'review-threshold' END AS reason
+    FROM parts LEFT JOIN b ON result_id = id WHERE id % 2 = 1""")
 def embedding_matching(d: Domain) -> DataFrame:
-    """For each vector of one source the most similar of the other with the same label."""
-    v = d.table("embeddings").select("vec_id", "label", "embedding")
-    a, b = v.where("vec_id % 2 = 1").alias("a"), v.where("vec_id % 2 = 0").alias("b")
-    p = a.join(b, "label").select(F.col("a.vec_id").alias("result_id"), F.col("b.vec_id").alias("calendar_id"), cosine(F.col("a.embedding"), F.col("b.embedding")).alias("similarity"))
-    top = p.groupBy("result_id").agg(F.max(F.struct("similarity", (-F.col("calendar_id")).alias("o"))).alias("t"))
-    return top.select("result_id", (-F.col("t.o")).alias("calendar_id"), F.col("t.similarity").alias("similarity"))
+    """Events with the vector of their number: the best of the other source by the hybrid score."""
+    p = _parts(d).join(d.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), "id", "left")
+    return match_events_by_meaning(p.where("id % 2 = 0"), p.where("id % 2 = 1"))
 
 
 @query("q96_duplicate_matches", """WITH n AS (SELECT player_id, regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') AS k FROM players), m AS (SELECT rubber_id, league_id, coalesce(date_played, played_on, created_on) AS day, h.k AS a, w.k AS b, home_games AS x, away_games AS y FROM matches JOIN n h ON h.player_id = home_1 JOIN n w ON w.player_id = away_1 WHERE NOT is_doubles),
@@ -119,7 +188,7 @@ def json_records(d: Domain) -> DataFrame:
     return d.table("events").select("event_type", F.from_json("props", "k bigint").alias("p")).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("p.k").alias("total"))
 
 
-@query("s10_normalised_names")
+@query("s10_normalised_names", f"WITH {PARTS_SQL} SELECT id, lower(name) AS name FROM parts")
 def normalised_names(d: Domain) -> DataFrame:
     """Event names for comparison."""
     return _parts(d).select("id", event_name(F.col("name")).alias("name"))

@@ -92,7 +92,7 @@ def incremental_merge(d: Domain) -> DataFrame:
     return latest_wins(old, new, ["resource_id", "kind"]).select("resource_id", "kind", "event_id", "seen_at", "value")
 
 
-@query("s19_stage_check", "SELECT CAST(count(*) AS BIGINT) AS row_count, count(*) FILTER (WHERE external_id IS NULL) AS null_keys, CAST(0 AS BIGINT) AS duplicate_keys FROM players")
+@query("s19_stage_check", "SELECT CAST(count(*) AS BIGINT) AS row_count, count(*) FILTER (WHERE external_id IS NULL) AS null_keys, (SELECT count(*) FROM (SELECT external_id FROM players WHERE external_id IS NOT NULL GROUP BY external_id HAVING count(*) > 1)) AS duplicate_keys FROM players")
 def check_stage(d: Domain) -> DataFrame:
     return stage_check(d.players, ["external_id"])
 

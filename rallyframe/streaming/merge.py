@@ -11,37 +11,45 @@ from ..operators.merge import first_of_each, latest_wins
 def merge_stream(source: DataFrame, target: str, keys: list[str], watermark: str, checkpoint: str):
     """Starts a stream that merges each batch into the Parquet table at `target`, the latest watermark winning.
 
-    A batch that is delivered again changes nothing.  The table is written beside
-    the old one and named in `target`/CURRENT, so a lost batch leaves the old table.
+    Each batch writes the merged table as a new version beside the one before; the newest
+    version with a success mark is the table.  So there is no moment without a table: a crash
+    leaves an unmarked version that nobody reads, and a batch that is delivered again merges
+    into the newest version, which changes nothing.  The two newest versions stay.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        at = _current(spark, target)
-        one = first_of_each(batch, keys, [F.desc(watermark), *(F.desc(c) for c in batch.columns if c not in keys)])
-        rows = one
-        if at is not None:
-            old = spark.read.parquet(f"{target}/{at}")
+        done = _versions(spark, target)
+        rows = first_of_each(batch, keys, [F.desc(watermark), *(F.desc(c) for c in batch.columns if c not in keys)])
+        if done:
+            old = spark.read.parquet(_path(target, done[-1]))
             # rows older than the target's stay out
-            rows = latest_wins(old, one.join(old.select(*keys, F.col(watermark).alias("_old")), keys, "left").where(F.col("_old").isNull() | (F.col(watermark) >= F.col("_old"))).drop("_old"), keys)
-        rows.write.mode("overwrite").parquet(f"{target}/v{batch_id}")
-        spark.createDataFrame([(f"v{batch_id}",)], "version string").coalesce(1).write.mode("overwrite").json(f"{target}/CURRENT")
+            rows = latest_wins(old, rows.join(old.select(*keys, F.col(watermark).alias("_old")), keys, "left").where(F.col("_old").isNull() | (F.col(watermark) >= F.col("_old"))).drop("_old"), keys)
+        rows.write.mode("overwrite").parquet(_path(target, done[-1] + 1 if done else 0))
+        for version in done[:-1]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(_path(target, version))
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
     return source.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _current(spark, target: str) -> str | None:
-    from pyspark.errors import AnalysisException
+def _path(target: str, version: int) -> str:
+    return f"{target}/v{version:09d}"
 
-    try:
-        row = spark.read.schema("version string").json(f"{target}/CURRENT").first()
-    except AnalysisException:
-        return None
-    return row["version"] if row else None
+
+def _versions(spark, target: str) -> list[int]:
+    """The complete versions of a table, oldest first."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(target)
+    files = top.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    marks = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{target}/v*/_SUCCESS")) or []
+    return sorted(int(m.getPath().getParent().getName()[1:]) for m in marks)
 
 
 def merged_table(spark, target: str) -> DataFrame:
-    return spark.read.parquet(f"{target}/{_current(spark, target)}")
+    done = _versions(spark, target)
+    if not done:
+        raise ValueError(f"no complete version in {target}")
+    return spark.read.parquet(_path(target, done[-1]))
 
 
 def weekly_counts(events: DataFrame, late: str = "1 day") -> DataFrame:

@@ -146,7 +146,7 @@ def test_merge_and_watermark(spark):
 def test_names_scores_and_cells(spark):
     df = spark.createDataFrame([("JOHN SMITH", "Under 15 Open 2* 2023", "U15 - Jane Doe (123) - WINNER", "Cup - 2024-05-06: Men", "a b c", "b c d")], "p string, e string, c string, n string, x string, y string")
     r = df.select(text.person_name(F.col("p")).alias("p"), text.person_name(F.lit("Ann McEvoy")).alias("q"), text.event_name(F.col("e")).alias("e"), text.player_cell(F.col("c")).alias("c"), text.dated_event(F.col("n")).alias("n"), text.dated_event(F.lit("Plain")).alias("m"), text.dice(F.col("x"), F.col("y")).alias("d"), text.valid_game(F.lit(11), F.lit(9)).alias("g"), text.valid_game(F.lit(13), F.lit(10)).alias("h"), text.slug(F.lit("Men's A!")).alias("s")).first()
-    assert (r["p"], r["q"], r["e"]) == ("John Smith", "Ann McEvoy", "u15 2 star")
+    assert (r["p"], r["q"], r["e"]) == ("John Smith", "Ann McEvoy", "u15 open 2 star")
     assert tuple(r["c"]) == ("U15", "Jane Doe", "123", True)
     assert tuple(r["n"]) == ("Cup", date(2024, 5, 6), "Men") and tuple(r["m"]) == ("Plain", None, None)
     assert r["d"] == pytest.approx(2 / 3) and r["g"] and not r["h"] and r["s"] == "men-s-a"
@@ -174,6 +174,46 @@ def test_stream_merges_once_and_keeps_the_latest(spark, tmp_path):
     assert {(r["k"], r["v"]) for r in streams.merged_table(spark, out).collect()} == {(1, 5), (2, 1), (3, 3)}
 
 
+def test_a_crash_while_writing_loses_nothing(spark, tmp_path):
+    """Only complete versions count: with the newest one cut off, and with the last batch delivered again to a new checkpoint, all keys stay."""
+    import os
+    import shutil
+
+    src, out, ck = (str(tmp_path / x) for x in ("src", "out", "ck"))
+    schema, t = "k int, at timestamp, v int", datetime(2024, 1, 1)
+    run = lambda check: streams.merge_stream(spark.readStream.schema(schema).parquet(src), out, ["k"], "at", check).awaitTermination()
+    spark.createDataFrame([(1, t, 1), (2, t, 1)], schema).write.parquet(src)
+    run(ck)
+    spark.createDataFrame([(3, t, 3)], schema).write.mode("append").parquet(src)
+    run(ck)
+    newest = sorted(os.listdir(out))[-1]
+    os.remove(f"{out}/{newest}/_SUCCESS")  # as if the write had not ended
+    assert {r["k"] for r in streams.merged_table(spark, out).collect()} == {1, 2}
+    run(f"{ck}-new")
+    assert {(r["k"], r["v"]) for r in streams.merged_table(spark, out).collect()} == {(1, 1), (2, 1), (3, 3)}
+    shutil.rmtree(out)
+    with pytest.raises(ValueError):
+        streams.merged_table(spark, out)
+
+
+def test_event_names_and_decisions_as_in_the_rules(spark):
+    """Words that tell events apart stay, generic ones go; marks and years fold; second candidates make a review only when they could be meant."""
+    from rallyframe.plans.matching import match_events, match_events_by_meaning
+
+    n = lambda x: spark.range(1).select(text.event_name(F.lit(x))).first()[0]
+    assert [n(x) for x in ("2024 Café Open Championships Results", "Under 13 2 Stars", "Grand Prix 3*  Draw")] == ["cafe open championship", "u13 2 star", "grand prix 3 star"]
+    schema = "id long, name string, venue string, category string, start_day date, end_day date, vector array<double>"
+    d = date(2024, 5, 4)
+    cal = [(10, "Spring Open", "Hall A", "u15", d, d, [1.0, 0.0]), (12, "Summer Cup", "Hall B", "u15", d, d, [0.0, 1.0]), (14, "Summer Cup", "Hall B", "u15", d, None, [0.0, 1.0]), (16, "Winter Open", None, None, d + timedelta(days=5), None, None)]
+    res = [(1, "Spring Open results", "Hall A", "u15", d, d, [1.0, 0.1]), (3, "Summer Cup", "Hall B", "u15", d, d, [0.0, 1.0]), (5, "Winter Open", None, None, d, d, None), (7, "Other Words", "Hall A", "u15", d, d, [1.0, 0.0])]
+    cal, res = (spark.createDataFrame(x, schema) for x in (cal, res))
+    got = {r["result_id"]: (r["calendar_id"], r["score"], r["verdict"], r["reason"]) for r in match_events(cal, res).collect()}
+    assert got == {1: (10, 1.0, "automatic", "matched"), 3: (12, 1.0, "review", "ambiguous"), 5: (None, None, "none", "below-threshold"), 7: (None, None, "none", "below-threshold")}
+    got = {r["result_id"]: (r["calendar_id"], r["verdict"], r["reason"]) for r in match_events_by_meaning(cal, res).collect()}
+    # like vectors without a common word are for review at most
+    assert got == {1: (10, "automatic", "matched"), 3: (12, "review", "ambiguous"), 5: (None, "none", "below-threshold"), 7: (10, "review", "review-threshold")}
+
+
 def test_weeks_begin_on_mondays(spark):
     e = spark.createDataFrame([(datetime(2024, 1, 7, 23), 1, "x", 1.0), (datetime(2024, 1, 8, 0), 1, "x", 2.0)], "seen_at timestamp, platform_id int, kind string, value double")
     assert {(r["week"], r["n"]) for r in streams.weekly_counts(e).collect()} == {(date(2024, 1, 1), 1), (date(2024, 1, 8), 1)}
