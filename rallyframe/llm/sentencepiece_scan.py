@@ -27,6 +27,7 @@ other columns are passed over.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -224,7 +225,12 @@ class Pieces:
         return (a, b) if a >= 0 else None
 
     def matrix(self, text: str, size: int) -> np.ndarray:
-        """[i, j]: best score from i characters into the chunk to j characters behind its end."""
+        """[i, j]: best score from i characters into the chunk to j characters behind its end.
+
+        What lies between the first and the last border that no piece crosses is the same for
+        all states, so it tells nothing about them and counts as 0 here; `chunk_ids` has the
+        whole score.
+        """
         r = self.reach
         out = np.full((r, r), NEVER)
         cut = self._cut(text, size)
@@ -255,37 +261,37 @@ class Pieces:
                 out[i] = leave(text, 0, i)
             return out
         a, b = cut
-        middle = self.encode(text[a:b])[0] if b > a else 0.0
         tail = leave(text[b:], b, 0)
         for i in starts:
             start = np.full(a + 1, NEVER)
             start[i] = 0.0
             head = self.best(text[:a], start)[0][a]
             if head > NEVER / 2:
-                out[i] = np.where(tail > NEVER / 2, head + middle + tail, NEVER)
+                out[i] = np.where(tail > NEVER / 2, head + tail, NEVER)
         return out
 
-    def chunk_ids(self, text: str, size: int, enter: int, leave: int) -> list[int]:
-        """The ids of the best path from state `enter` to state `leave`: those of the pieces that begin in the chunk."""
+    def chunk_ids(self, text: str, size: int, enter: int, leave: int) -> tuple[float, list[int]]:
+        """Score and ids of the best path from state `enter` to state `leave`: of the pieces that begin in the chunk."""
         cut = self._cut(text, size)
         if cut is None:
             return self._path(text, size, enter, leave)
         a, b = cut
-        return self._path(text[:a], a, enter, 0) + self.encode(text[a:b])[1] + self._path(text[b:], size - b, 0, leave)
+        parts = [self._path(text[:a], a, enter, 0), self.encode(text[a:b]) if b > a else (0.0, []), self._path(text[b:], size - b, 0, leave)]
+        return sum(p[0] for p in parts), [i for p in parts for i in p[1]]
 
-    def _path(self, text: str, size: int, enter: int, leave: int) -> list[int]:
+    def _path(self, text: str, size: int, enter: int, leave: int) -> tuple[float, list[int]]:
         if enter >= size:
-            return []
+            return 0.0, []
         start = np.full(size + 1, NEVER)
         start[enter] = 0.0
         score, edge = self.best(text[:size], start)
         if not leave:
-            return self.trace(edge, size, enter)
+            return float(score[size]), self.trace(edge, size, enter)
         best, taken = NEVER, None
         for at, _, s, ids in self.edges(text, size + leave):
             if at < size and score[at] > NEVER / 2 and score[at] + s > best:
                 best, taken = score[at] + s, (at, ids)
-        return self.trace(edge, taken[0], enter) + taken[1]
+        return float(best), self.trace(edge, taken[0], enter) + taken[1]
 
     def decode(self, ids: list[int]) -> str:
         out, held = [], bytearray()
@@ -335,20 +341,37 @@ def scan_states(matrices: list[np.ndarray]) -> list[int]:
 ENCODED = "doc_id long, row long, chunk int, ids array<int>, score double"
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_chars, ids (array<int>), score; a row for each row of docs."""
+DIGESTS = "doc_id long, n_chars long, n_pieces long, score double, ids_crc32 long, text_sha256 string"
+
+
+def digests(own: Pieces, pdf: pd.DataFrame) -> pd.DataFrame:
+    """DIGESTS of encoded rows: the crc32 of their ids (little-endian 32-bit) and the sha256 of the text decoded again."""
+    return pd.DataFrame({
+        "doc_id": pdf["doc_id"].astype("Int64"),
+        "n_chars": pdf["n_chars"],
+        "n_pieces": [len(i) for i in pdf["ids"]],
+        "score": pdf["score"],
+        "ids_crc32": [zlib.crc32(np.asarray(i, "<u4").tobytes()) for i in pdf["ids"]],
+        "text_sha256": [hashlib.sha256(own.decode(np.asarray(i).tolist()).encode("utf-8", "surrogatepass")).hexdigest() for i in pdf["ids"]],
+    })
+
+
+def encode(docs: DataFrame, path: str, only_digests: bool = False) -> DataFrame:
+    """doc_id, n_chars, ids (array<int>), score, or DIGESTS in their place; a row for each row of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = F.length(F.coalesce("text", F.lit("")))
 
     def small(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = pieces(path)
         for pdf in batches:
-            texts = [marked(t) for t in pdf["text"]]
-            coded = [c for i in range(0, len(texts), 512) for c in own.encode_all(texts[i : i + 512])]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_chars": [len(t or "") for t in pdf["text"]], "ids": [c[1] for c in coded], "score": [c[0] for c in coded]})
+            for i in range(0, len(pdf), 256):  # ids leave in small batches
+                part = pdf.iloc[i : i + 256]
+                coded = own.encode_all([marked(t) for t in part["text"]])
+                rows = pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "n_chars": [len(t or "") for t in part["text"]], "ids": [np.array(c[1], np.int32) for c in coded], "score": [c[0] for c in coded]})
+                yield digests(own, rows) if only_digests else rows
 
     out = "doc_id long, n_chars long, ids array<int>, score double"
-    plain = docs.where(size <= GIANT).mapInPandas(small, out)
+    plain = docs.where(size <= GIANT).mapInPandas(small, DIGESTS if only_digests else out)
 
     # giant documents: a row for each chunk, with the characters that a piece may reach into
     text = F.concat(F.lit(MARK), F.translate("text", " ", MARK))
@@ -366,25 +389,36 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         pdf = pdf.sort_values("chunk")
         r = int(np.sqrt(len(pdf["matrix"].iloc[0]) // 8))
         at = scan_states([np.frombuffer(m).reshape(r, r) for m in pdf["matrix"]])
-        step = [np.frombuffer(m).reshape(r, r)[a, b] for m, a, b in zip(pdf["matrix"], at, at[1:])]
-        return pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "print": pdf["print"], "chunk": pdf["chunk"], "enter": at[:-1], "leave": at[1:], "score": step})
+        return pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "print": pdf["print"], "chunk": pdf["chunk"], "enter": at[:-1], "leave": at[1:]})
 
     def traced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = pieces(path)
         for pdf in batches:
-            ids = [own.chunk_ids(t[: n + own.reach], n, a, b) for t, n, a, b in zip(pdf["text"], pdf["size"], pdf["enter"], pdf["leave"])]
-            yield pdf[["print", "n_chars", "chunk", "score"]].assign(doc_id=pdf["doc_id"].astype("Int64"), ids=ids)
+            for i in range(0, len(pdf), 64):  # ids leave in small batches
+                part = pdf.iloc[i : i + 64]
+                coded = [own.chunk_ids(t[: n + own.reach], n, a, b) for t, n, a, b in zip(part["text"], part["size"], part["enter"], part["leave"])]
+                yield part[["print", "n_chars", "chunk"]].assign(score=[c[0] for c in coded], doc_id=part["doc_id"].astype("Int64"), ids=[np.array(c[1], np.int32) for c in coded])
 
     # a document's matrices, one row for CHUNK characters, meet in one group; its text does not
-    scanned = chunks.mapInPandas(matrices, "doc_id long, print string, n_chars long, chunk int, size int, matrix binary").groupBy("doc_id", "print").applyInPandas(states, "doc_id long, print string, chunk int, enter int, leave int, score double")
+    scanned = chunks.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "print", "chunk").mapInPandas(matrices, "doc_id long, print string, n_chars long, chunk int, size int, matrix binary").groupBy("doc_id", "print").applyInPandas(states, "doc_id long, print string, chunk int, enter int, leave int")
     same = chunks["doc_id"].eqNullSafe(scanned["doc_id"]) & (chunks["print"] == scanned["print"]) & (chunks["chunk"] == scanned["chunk"])
-    both = chunks.join(scanned, same).select(chunks["doc_id"], chunks["print"], "n_chars", chunks["chunk"], "size", "text", "enter", "leave", "score")
+    # chunks are much work and few bytes: as many tasks as a shuffle may have
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = chunks.join(scanned, same).select(chunks["doc_id"], chunks["print"], "n_chars", chunks["chunk"], "size", "text", "enter", "leave").repartition(tasks, "print", "chunk")
     coded = both.mapInPandas(traced, "print string, n_chars long, chunk int, score double, doc_id long, ids array<int>")
     whole = coded.groupBy("doc_id", "print", "n_chars").agg(F.sort_array(F.collect_list(F.struct("chunk", "ids"))).alias("c"), F.sum("score").alias("score"))
     whole = whole.select("doc_id", "print", "n_chars", F.flatten(F.col("c.ids")).alias("ids"), "score")
     times = docs.where(size > GIANT).groupBy("doc_id", F.sha2("text", 256).alias("print")).agg(F.count("*").cast("int").alias("times"))
     again = whole.alias("w").join(times.alias("t"), F.col("w.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("w.print") == F.col("t.print"))).select("w.doc_id", "n_chars", "ids", "score", F.explode(F.sequence(F.lit(1), "times")))
-    return plain.unionByName(again.select("doc_id", "n_chars", "ids", "score"))
+    again = again.select("doc_id", "n_chars", "ids", "score")
+
+    def digested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = pieces(path)
+        for pdf in batches:
+            for i in range(0, len(pdf), 256):
+                yield digests(own, pdf.iloc[i : i + 256])
+
+    return plain.unionByName(again.mapInPandas(digested, DIGESTS) if only_digests else again)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -401,19 +435,4 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 def encoding_digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_chars, n_pieces, score, ids_crc32 (little-endian 32-bit ids), text_sha256 (of the text decoded again)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import hashlib
-
-        own = pieces(path)
-        for pdf in batches:
-            yield pd.DataFrame({
-                "doc_id": pdf["doc_id"].astype("Int64"),
-                "n_chars": pdf["n_chars"],
-                "n_pieces": [len(i) for i in pdf["ids"]],
-                "score": pdf["score"],
-                "ids_crc32": [zlib.crc32(np.asarray(i, "<u4").tobytes()) for i in pdf["ids"]],
-                "text_sha256": [hashlib.sha256(own.decode(list(i)).encode("utf-8", "surrogatepass")).hexdigest() for i in pdf["ids"]],
-            })
-
-    return encode(docs, path).mapInPandas(run, "doc_id long, n_chars long, n_pieces long, score double, ids_crc32 long, text_sha256 string")
+    return encode(docs, path, only_digests=True)
