@@ -40,6 +40,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import staged
+
 TRAIN_LINES, TRAIN_TOKENS = 1500, 32
 KINDS = ("assign", "access", "hex")
 # The words of the assignment rule.
@@ -71,6 +73,11 @@ BESIDE = (-3, -2, -1, 1)  # the tokens beside one that features look at
 BUCKETS = 1 << 13
 
 
+def bare(token: str) -> str:
+    """The end of a sentence is no part of its last word."""
+    return token.rstrip(".:!?") or token
+
+
 def tokens_of(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Tokens in order, their starts, and the number of the line each is in."""
     words, starts, lines, line = [], [], [], 0
@@ -79,7 +86,7 @@ def tokens_of(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
         if t == "\n":
             line += 1
             continue
-        words.append(t.rstrip(".:!?") or t)  # the end of a sentence is no part of its last word
+        words.append(bare(t))
         starts.append(m.start())
         lines.append(line)
     return words, np.array(starts, np.int64), np.array(lines, np.int64)
@@ -112,20 +119,11 @@ def beside(words: list[str]) -> np.ndarray:
     return ((h[:, None] ^ np.array([0x9E3779B9 * (k + 1) % 2**32 for k in range(len(BESIDE))], np.uint32)) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BUCKETS.bit_length() + 1)
 
 
-def surroundings(words: list[str], starts: np.ndarray, lines: np.ndarray, file: tuple[int, int]) -> list[list[str]]:
-    """The features of each token that are not its own or its neighbours': of its file, its line and whether it follows at once."""
-    size = np.bincount(lines) if len(lines) else np.zeros(0, int)
-    return [
-        ["token", f"file={file[0]}", f"file_len={file[1]}", f"line={min(size[lines[i]] // 16, 5)}", f"glued={bool(i and lines[i] == lines[i - 1] and starts[i - 1] + len(words[i - 1]) == starts[i])}"]
-        for i in range(len(words))
-    ]
-
-
-def features(words: list[str], starts: np.ndarray, lines: np.ndarray, file: tuple[int, int], neighbours: bool = True) -> list[list[int]]:
+def features(words: list[str], lines: np.ndarray, file: tuple[int, int], neighbours: bool = True) -> list[list[int]]:
     """Feature numbers of each token.  file: buckets of the text's share of digits and of its length."""
-    out, theirs = [], beside(words).tolist()
-    for i, around in enumerate(surroundings(words, starts, lines, file)):
-        own = [_feature(n) for n in (*around, *shape(words[i]))]
+    out, theirs, size = [], beside(words).tolist(), np.bincount(lines) if len(lines) else []
+    for i, word in enumerate(words):
+        own = [_feature(n) for n in ("token", f"file={file[0]}", f"file_len={file[1]}", f"line={min(size[lines[i]] // 16, 5)}", *shape(word))]
         for k, d in enumerate(BESIDE):
             inside = 0 <= i + d < len(words) and lines[i + d] == lines[i]
             if neighbours:
@@ -178,62 +176,64 @@ class Field:
 class Tagger:
     """A field with the scores of the tokens that it has seen, LIMIT of them at most."""
 
-    LIMIT = 200_000
+    LIMIT = 400_000
 
     def __init__(self, field: Field) -> None:
-        self.field, self.number, self.scores = field, {}, np.zeros((0, 1 + len(BESIDE), 3))
-        self.shapes, self.n_shapes, self.shape_scores = {}, 0, np.zeros((64, 3))
+        self.field = field
+        self._forget()
         of = lambda name: field.weights[_feature(name)]
-        self.of = of
         self.none = np.array([of(f"{d}:none") for d in BESIDE])
+        self.of_file = [of("token") + of(f"file={i}") for i in range(10)]
+        self.of_size = [of(f"file_len={i}") for i in range(7)]
+        self.of_line = np.array([of(f"line={i}") for i in range(6)])
         m, free = field.moves, lambda p, x: not (p == OUTSIDE and x == INSIDE)
         # what a tag of a secret can gain by the moves into it and out of it, over outside in its place (a secret that went on then begins behind it)
         into = max(m[p, x] - m[p, OUTSIDE] for p in range(3) for x in (BEGIN, INSIDE) if free(p, x))
         out = max(m[x, n] - m[OUTSIDE, BEGIN if n == INSIDE else n] for x in (BEGIN, INSIDE) for n in range(3))
         self.bound = into + out + max(0.0, max(m[INSIDE, y] - m[BEGIN, y] for y in range(3)))
 
-    def _shape(self, word: str) -> int:
-        """The row of shape scores of a word; words of letters that agree in what shape() looks at share it at once."""
-        key = (min(len(word), 64), word.islower(), word.isupper(), len(set(word)), HEX_LETTERS.issuperset(word)) if word.isalpha() and word.isascii() and len(word) < 64 else word
-        row = self.shapes.get(key)
-        if row is None:
-            row = self.n_shapes
-            if row == len(self.shape_scores):
-                self.shape_scores = np.concatenate([self.shape_scores, np.zeros((row + 64, 3))])
-            self.shape_scores[row] = self.field.weights[[_feature(n) for n in shape(word)]].sum(axis=0)
-            self.n_shapes += 1
-            self.shapes[key] = row
-        return row
-
-    def ids(self, words: list[str]) -> np.ndarray:
-        """The row of scores of each word."""
-        new = [w for w in dict.fromkeys(words) if w not in self.number]
-        if len(self.number) + len(new) > self.LIMIT:
-            self.number, self.shapes, self.n_shapes = {}, {}, 0
-            new = list(dict.fromkeys(words))
+    def _forget(self) -> None:
+        """Number 0 is the line's end; shapes: what shape() looks at -> its score."""
+        self.number, self.scores, self.shapes = {"\n": 0}, np.zeros((1024, 1 + len(BESIDE), 3), np.float64), {}
+
+    def _shape(self, word: str) -> np.ndarray:
+        """The score of a word's shape; words of letters that agree in what shape() looks at share it."""
+        case = 1 if word.islower() else 2 if word.isupper() else 3 if word.istitle() else 0
+        key = (len(word), case, len(set(word)), HEX_LETTERS.issuperset(word)) if case and word.isalpha() and len(word) < 64 else word
+        score = self.shapes.get(key)
+        if score is None:
+            score = self.shapes[key] = self.field.weights[[_feature(n) for n in shape(word)]].sum(axis=0)
+        return score
+
+    def ids(self, tokens: list[str]) -> np.ndarray:
+        """The row of scores of each token as found, line ends among them."""
+        number = self.number
+        new = [t for t in set(tokens) if t not in number]
+        if len(number) + len(new) > self.LIMIT:
+            self._forget()
+            number = self.number
+            new = [t for t in set(tokens) if t not in number]
         if new:
-            n, first = len(new), len(self.number)
+            n, first = len(new), len(number)
             if first + n > len(self.scores):
                 self.scores = np.concatenate([self.scores[:first], np.zeros((first + n, 1 + len(BESIDE), 3))])
-            at = [self._shape(w) for w in new]
-            self.scores[first : first + n, 0] = self.shape_scores[at]
-            self.scores[first : first + n, 1:] = self.field.weights[beside(new)]
-            self.number.update(zip(new, range(first, first + n)))
-        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+            words = [bare(t) for t in new]
+            self.scores[first : first + n, 0] = [self._shape(w) for w in words]
+            self.scores[first : first + n, 1:] = self.field.weights[beside(words)]
+            number.update(zip(new, range(first, first + n)))
+        return np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
 
-    def emissions(self, words: list[str], starts: np.ndarray, lines: np.ndarray, file: tuple[int, int]) -> np.ndarray:
+    def emissions(self, ids: np.ndarray, lines: np.ndarray, file: tuple[int, int]) -> np.ndarray:
         """The score of each tag of each token: the sums of its features' weights."""
-        ids, n = self.ids(words), len(words)
-        own = self.scores[:, 0][ids] + self.of("token") + self.of(f"file={file[0]}") + self.of(f"file_len={file[1]}")
-        own = own + np.array([self.of(f"line={i}") for i in range(6)])[np.minimum(np.bincount(lines)[lines] // 16, 5)]
-        ends = starts + np.fromiter(map(len, words), np.int64, n)
-        glued = np.concatenate([[False], (lines[1:] == lines[:-1]) & (ends[:-1] == starts[1:])])
-        own = own + np.array([self.of("glued=False"), self.of("glued=True")])[glued.astype(int)]
+        n = len(ids)
+        own = self.scores[:, 0][ids] + (self.of_file[file[0]] + self.of_size[file[1]])
+        own += self.of_line[np.minimum(np.bincount(lines)[lines] // 16, 5)]
         for k, d in enumerate(BESIDE):
-            at = np.arange(n) + d
-            ok = (at >= 0) & (at < n)
-            ok[ok] = lines[at[ok]] == lines[ok]
-            own = own + np.where(ok[:, None], self.scores[:, 1 + k][ids[np.clip(at, 0, n - 1)]], self.none[k])
+            own[max(0, -d) : n - max(0, d)] += self.scores[:, 1 + k][ids[max(0, d) : n + min(0, d)]]
+            edge = np.flatnonzero(np.concatenate([np.full(min(n, max(0, -d)), True), lines[max(0, d) : n + min(0, d)] != lines[max(0, -d) : n - max(0, d)], np.full(min(n, max(0, d)), True)]) if n > abs(d) else np.full(n, True))
+            inside = edge[(edge + d >= 0) & (edge + d < n)]
+            own[inside] -= self.scores[:, 1 + k][ids[inside + d]]
+            own[edge] += self.none[k]
         return own
 
     def certain(self, emit: np.ndarray) -> np.ndarray:
@@ -241,17 +241,19 @@ class Tagger:
         ahead = np.append(np.maximum(0.0, emit[1:, INSIDE] - emit[1:, BEGIN]), 0.0)
         return emit[:, OUTSIDE] - np.maximum(emit[:, BEGIN], emit[:, INSIDE]) > self.bound + ahead
 
-    def tags(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """Words, starts, lines and tags of the tokens of a text."""
-        words, starts, lines = tokens_of(text)
-        tags = np.full(len(words), OUTSIDE)
-        if words:
-            emit = self.emissions(words, starts, lines, file_features(text))
+    def tags(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Line and tag of each token of a text."""
+        ids = self.ids(TOKEN.findall(text))
+        ends = ids == 0
+        lines, ids = np.cumsum(ends)[~ends], ids[~ends]
+        tags = np.full(len(ids), OUTSIDE)
+        if len(ids):
+            emit = self.emissions(ids, lines, file_features(text))
             open_ = np.flatnonzero(~self.certain(emit))
             for run in np.split(open_, np.flatnonzero((np.diff(open_) > 1) | (np.diff(lines[open_]) > 0)) + 1) if len(open_) else []:
                 a, b = run[0], run[-1] + 1
-                tags[a:b] = self.field.viterbi(emit[a:b], bool(b < len(words) and lines[b] == lines[b - 1]))
-        return words, starts, lines, tags
+                tags[a:b] = self.field.viterbi(emit[a:b], bool(b < len(ids) and lines[b] == lines[b - 1]))
+        return lines, tags
 
 
 def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
@@ -329,7 +331,7 @@ def chain(line: str, file: tuple[int, int]) -> tuple[list[list[int]], list[int]]
     h = xxhash.xxh32_intdigest(line)
     first = next((i for i, t in enumerate(tags) if t != OUTSIDE), h % max(1, len(words)))
     a = max(0, min(first - TRAIN_TOKENS // 2, len(words) - TRAIN_TOKENS))
-    own = features(words, starts, lines, file, (h >> 8) % 2 == 0)
+    own = features(words, lines, file, (h >> 8) % 2 == 0)
     return own[a : a + TRAIN_TOKENS], tags[a : a + TRAIN_TOKENS]
 
 
@@ -349,9 +351,17 @@ def fit(docs: DataFrame) -> Field:
         rows = [own[h] for own in held for h in heapq.nsmallest(TRAIN_LINES, own)]
         yield pd.DataFrame([(*r[:2], r[2] if len(r[2]) <= 8 * 1024 else _shortened(r[2]), *r[3:]) for r in rows], columns=columns)
 
-    found = docs.select("text").where("text is not null").mapInPandas(run, "hash long, stratum int, line string, digits int, size int").distinct()
-    # at most TRAIN_LINES rows a stratum reach the driver, each of bounded length
-    sample = [r for i in range(3) for r in found.where(F.col("stratum") == i).orderBy("hash", "line", "digits", "size").limit(TRAIN_LINES).collect()]
+    found = staged(docs.select("text").where("text is not null").mapInPandas(run, "hash long, stratum int, line string, digits int, size int").distinct())
+    sample = []
+    for stratum, n in sorted((r["stratum"], r["count"]) for r in found.groupBy("stratum").count().collect()):
+        rows = found.where(F.col("stratum") == stratum)
+        # hashes are even, so twice the share leaves more than are needed, and few of them; the number of rows that reach the driver does not grow
+        few = rows.where(F.col("hash") < int(2.0**63 * min(1.0, 2 * TRAIN_LINES / n)) if n > 4 * TRAIN_LINES else F.lit(True))
+        for part in (few, rows):
+            got = part.orderBy("hash", "line", "digits", "size").limit(TRAIN_LINES).collect()
+            if len(got) >= min(n, TRAIN_LINES):
+                break
+        sample += got
     return train([c for c in (chain(r["line"], (r["digits"], r["size"])) for r in sample) if c[0]] if any(r["stratum"] == 0 for r in sample) else [])
 
 
@@ -364,9 +374,13 @@ def _shortened(line: str) -> str:
 
 def added_spans(text: str, base: list[tuple[int, int, int, int]], tagger: Tagger) -> list[tuple[int, int, int, int]]:
     """Spans of the field that meet no base span; kind number 3."""
-    words, starts, lines, tags = tagger.tags(text)
+    lines, tags = tagger.tags(text)
+    begins = np.flatnonzero(tags == BEGIN).tolist()
+    if not begins:
+        return []
+    words, starts, _ = tokens_of(text)
     out = []
-    for i in np.flatnonzero(tags == BEGIN).tolist():
+    for i in begins:
         j = i + 1
         while j < len(tags) and tags[j] == INSIDE and lines[j] == lines[i]:
             j += 1
