@@ -48,7 +48,8 @@ class Domain:
         n = self.table("supplier").agg((F.max("s_suppkey") + 1).alias("n_players"))
         order = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
         w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*order)
-        one = self.table("lineitem").withColumn("rn", F.row_number().over(w)).where("rn = 1").crossJoin(F.broadcast(n))
+        # one exchange by order serves the window and the join with the fixture
+        one = self.table("lineitem").repartition("l_orderkey").withColumn("rn", F.row_number().over(w)).where("rn = 1").crossJoin(F.broadcast(n))
         o, line, doubles = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_orderkey") % 10 == 0
         home, away = F.col("l_suppkey"), F.col("l_partkey")
         slot = lambda x, d: F.pmod(x + d, F.col("n_players"))
