@@ -200,13 +200,18 @@ class Pieces:
         """Score and ids of a whole marked text."""
         return self.encode_all([marked])[0]
 
-    def encode_all(self, texts: list[str]) -> list[tuple[float, list[int]]]:
+    def prepare(self, texts: list[str]) -> list[list[str]]:
+        """The stretches of each text, all of them learnt."""
         parts = [self.stretches(t) if t else [] for t in texts]
         new = {w for p in parts for w in p if w not in self.words}
         if len(self.words) + len(new) > self.limit:
             self.words.clear()
             new = {w for p in parts for w in p}
         self.learn(list(new))
+        return parts
+
+    def encode_all(self, texts: list[str]) -> list[tuple[float, list[int]]]:
+        parts = self.prepare(texts)
         out = []
         for p in parts:
             total, ids = 0.0, []
@@ -364,8 +369,8 @@ def encode(docs: DataFrame, path: str, only_digests: bool = False) -> DataFrame:
     def small(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = pieces(path)
         for pdf in batches:
-            for i in range(0, len(pdf), 256):  # ids leave in small batches
-                part = pdf.iloc[i : i + 256]
+            for i in range(0, len(pdf), 2048):  # words of many texts are learnt together, and ids leave in batches that are not too large
+                part = pdf.iloc[i : i + 2048]
                 coded = own.encode_all([marked(t) for t in part["text"]])
                 rows = pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "n_chars": [len(t or "") for t in part["text"]], "ids": [np.array(c[1], np.int32) for c in coded], "score": [c[0] for c in coded]})
                 yield digests(own, rows) if only_digests else rows
@@ -394,8 +399,11 @@ def encode(docs: DataFrame, path: str, only_digests: bool = False) -> DataFrame:
     def traced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = pieces(path)
         for pdf in batches:
-            for i in range(0, len(pdf), 64):  # ids leave in small batches
-                part = pdf.iloc[i : i + 64]
+            for i in range(0, len(pdf), 256):
+                part = pdf.iloc[i : i + 256]
+                # words of many chunks are learnt together
+                cuts = [own._cut(t[: n + own.reach], n) for t, n in zip(part["text"], part["size"])]
+                own.prepare([t[c[0] : c[1]] for t, c in zip(part["text"], cuts) if c and c[1] > c[0]])
                 coded = [own.chunk_ids(t[: n + own.reach], n, a, b) for t, n, a, b in zip(part["text"], part["size"], part["enter"], part["leave"])]
                 yield part[["print", "n_chars", "chunk"]].assign(score=[c[0] for c in coded], doc_id=part["doc_id"].astype("Int64"), ids=[np.array(c[1], np.int32) for c in coded])
 
