@@ -8,7 +8,7 @@ from rallyframe.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="shared tables are not here")
-SOME = ["q03_leaders_combined", "q07_profile", "q12_current_streak", "q17_match_list", "q22_rivals", "q25_rating_twelve_weeks", "q38_standings", "q48_classification", "q56_current_rankings", "q67_player_coverage", "q85_flatten_chains", "q89_graph_edges", "q94_event_matching", "q103_retention", "q105_incremental_merge", "s13_upsert"]
+SOME = ["q03_leaders_combined", "q07_profile", "q12_current_streak", "q17_match_list", "q22_rivals", "q25_rating_twelve_weeks", "q38_standings", "q48_classification", "q56_current_rankings", "q67_player_coverage", "q85_flatten_chains", "q89_graph_edges", "q94_event_matching", "q103_retention", "q105_incremental_merge", "s13_upsert", "q14_insight_rivals", "q18_matches_by_team", "q47_event_results", "q54_input_fingerprint", "q61_league_ranking", "q74_issue_lifecycle", "q81_source_snapshot", "q95_embedding_matching", "a11_ordered_json", "f13_months"]
 
 
 @needs_data
@@ -34,6 +34,15 @@ def test_joins_by_slot_are_equi_joins(spark, name):
     assert " OR " not in "".join(x for x in plan.splitlines() if "Join" in x)
 
 
+def test_only_one_filter_of_a_match_list(spark):
+    from rallyframe.plans.details import filtered_matches
+
+    with pytest.raises(ValueError):
+        filtered_matches(None)
+    with pytest.raises(ValueError):
+        filtered_matches(None, team=spark.range(1), event=spark.range(1))
+
+
 def test_entry_module_holds_every_query():
     import __spark_entry__ as e
 
