@@ -60,7 +60,7 @@ def _slot(h: np.ndarray) -> np.ndarray:
 class Pieces:
     """The pieces of a model file, and best segmentations by them."""
 
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, path: str, limit: int = 500_000):
         import sentencepiece
 
         p = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -130,6 +130,7 @@ class Pieces:
         self.keys = np.append(keys, np.uint64(0))
         self.scores = np.array([self.score[t][1] for t in names] + [NEVER] * (len(prefixes) + 1))
         self.ids = [self.score[t][0] for t in names]
+        self.id_of = np.array(self.ids)
 
     def _found(self, h: np.ndarray) -> np.ndarray:
         """For each hash the number of its piece or prefix; -1, the row of neither, if there is none."""
@@ -176,14 +177,24 @@ class Pieces:
                     if len(on):
                         going.append((start, at[on], h[on]))
                 live = going
-            width, piece = width.T.tolist(), piece.T.tolist()
+            # all words are traced back together, piece by piece; -1: no piece any more
+            end, steps, bare = np.full(len(same), n), [], np.zeros(len(same), bool)
+            while (end > 0).any():
+                k = np.where(end > 0, piece[end, every], -1)
+                bare |= (end > 0) & ((k < 0) | (k >= len(self.ids)))
+                steps.append(np.where((k >= 0) & (k < len(self.ids)), k, -1))
+                end = end - np.where(end > 0, width[end, every], 0)
+            k = np.stack(steps[::-1], axis=1)
+            rows, scores = np.where(k >= 0, self.id_of[k], -1).tolist(), score[n].tolist()
             for i, w in enumerate(same):
-                ids, end = [], n
+                self.words[w] = scores[i], [x for x in rows[i] if x >= 0]
+            for i in np.flatnonzero(bare).tolist():  # with characters that have no piece
+                w, ids, end = same[i], [], n
                 while end > 0:
-                    k, size = piece[i][end], width[i][end]
+                    k, size = int(piece[end, i]), int(width[end, i])
                     ids.append([self.ids[k]] if 0 <= k < len(self.ids) else [self.byte[b] for b in w[end - 1].encode("utf-8", "surrogatepass")])
                     end -= size
-                self.words[w] = float(score[n, i]), [x for part in reversed(ids) for x in part]
+                self.words[w] = scores[i], [x for part in reversed(ids) for x in part]
 
     @staticmethod
     def stretches(marked: str) -> list[str]:
@@ -299,6 +310,9 @@ class Pieces:
         return float(best), self.trace(edge, taken[0], enter) + taken[1]
 
     def decode(self, ids: list[int]) -> str:
+        if self.byte_of.keys().isdisjoint(ids):
+            text = "".join(map(self.text.__getitem__, ids)).replace(MARK, " ")
+            return text[1:] if text.startswith(" ") else text
         out, held = [], bytearray()
         for i in ids:
             if i in self.byte_of:
