@@ -60,7 +60,7 @@ def _slot(h: np.ndarray) -> np.ndarray:
 class Pieces:
     """The pieces of a model file, and best segmentations by them."""
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 300_000):
         import sentencepiece
 
         p = sentencepiece.SentencePieceProcessor(model_file=path)
