@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, ctw, line_dedup, packing, quality, secret_scan, sentencepiece_scan, setsketch, topk, urls
+from . import chat, collocations, ctw, line_dedup, negatives, packing, quality, secret_scan, sentencepiece_scan, setsketch, simhash, topk, urls
 from .common import read_table
 
 #: Rules of the url query: host, path, verdict.
@@ -83,6 +83,23 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.col("joined").alias("spans"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives for the first five positives of every anchor; some labels are shifted first."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = negatives.quantized(read_table(spark, sf_dir, "embeddings"), label)
+    return negatives.hard_negatives(rows, F.col("id") % 50 == 0)
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' fingerprints beside those of their edited texts, and how many documents lie near every hundredth."""
+    return simhash.document_fingerprints(read_table(spark, sf_dir, "documents"), F.col("doc_id") % 100 == 0)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2000 best phrases of two to four words."""
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline at the top of the repository."""
     import corpus_pipeline
@@ -91,7 +108,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_top_k, op4_sentencepiece, op5_lm_scores, op6_near_copies, op7_chat_format, op8_url_filter, op9_packing, op10_secret_scan, pipeline)
+    f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_top_k, op4_sentencepiece, op5_lm_scores, op6_near_copies, op7_chat_format, op8_url_filter, op9_packing, op10_secret_scan, op11_hard_negatives, op12_fingerprints, op13_collocations, pipeline)
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -156,4 +173,56 @@ ORACLES: dict[str, str] = {
         )
         SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE k = 1
     """,
+    "op11_hard_negatives": """
+        WITH v AS (
+            SELECT row_number() OVER () AS k, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+            FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+        ), s AS (
+            SELECT q.k AS a, q.vec_id AS anchor_id, c.k AS k, c.vec_id AS vec_id, q.label = c.label AS same,
+                CAST(coalesce(list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.k <> c.k WHERE q.vec_id % 50 = 0
+        ), p AS (
+            SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id, k) AS n FROM s WHERE same) WHERE n <= 5
+        ), r AS (
+            SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+                row_number() OVER (PARTITION BY p.a, p.n ORDER BY s.score DESC, s.vec_id, s.k) AS rank
+            FROM p JOIN s ON s.a = p.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+        )
+        SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM r WHERE rank <= 3
+    """,
+    "op13_collocations": f"""
+        WITH t AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
+        ), w AS (
+            SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM t
+        ), g AS (
+            SELECT lang, words, array_to_string(w[i : i + words - 1], ' ') AS phrase
+            FROM (SELECT lang, w, words, unnest(range(1, len(w) - words + 2)) AS i FROM w CROSS JOIN (VALUES (1), (2), (3), (4)) k(words) WHERE len(w) >= words)
+        ), f AS (
+            SELECT lang, words, phrase, count(*) AS n FROM g GROUP BY ALL
+        ), total AS (
+            SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE words = 1 GROUP BY lang
+        ), c AS (
+            SELECT lang, words, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE words > 1 AND n >= 30
+        ), inner_phrases AS (
+            SELECT lang, a, array_to_string(w[i : i + k - 1], ' ') AS phrase
+            FROM (SELECT lang, a, w, k, unnest(range(1, words - k + 2)) AS i FROM c JOIN (VALUES (2), (3)) s(k) ON k < words)
+        ), over AS (
+            SELECT lang, phrase, max(a) AS most FROM inner_phrases GROUP BY ALL
+        ), kept AS (
+            SELECT c.* FROM c LEFT JOIN over USING (lang, phrase) WHERE most IS NULL OR 100 * most < 80 * a
+        ), cuts AS (
+            SELECT lang, phrase, a, k, array_to_string(w[1 : k], ' ') AS x, array_to_string(w[k + 1 :], ' ') AS y
+            FROM (SELECT *, unnest(range(1, words)) AS k FROM kept)
+        ), scored AS (
+            SELECT cuts.lang, cuts.phrase, a, k, p.n AS l, q.n AS r, CAST(2000000 * CAST(a AS HUGEINT) // (CAST(p.n AS HUGEINT) + q.n) AS BIGINT) AS score
+            FROM cuts JOIN f p ON p.lang = cuts.lang AND p.phrase = x JOIN f q ON q.lang = cuts.lang AND q.phrase = y
+        ), best AS (
+            SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS n FROM scored) WHERE n = 1
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best
+        )
+        SELECT ranked.lang, CAST(rank AS INTEGER) AS rank, phrase, a, l, r, total.n AS n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+    """,
 }
