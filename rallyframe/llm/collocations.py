@@ -23,11 +23,13 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
-from itertools import chain
+from functools import lru_cache
+from urllib.parse import quote, unquote
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,8 +40,8 @@ PIECE_ENDS = ".,;:!?\n\x0b\x0c\r"
 TO_PIECES = bytes(10 if chr(c) in PIECE_ENDS else c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Bytes of text for a slot of pairs; fewest and most slots.
 SLOT_BYTES, FEWEST_SLOTS, MOST_SLOTS = 16, 1 << 16, 1 << 30
-#: Salts of a first word; different suffixes that a task gathers before it sends them.
-SALTS, HELD = 16, 400_000
+#: Salts of a first word; suffixes that are cut out at once; bytes of text that are counted together, and of a block of hashing.
+SALTS, HELD, AT_ONCE, HASHED = 16, 200_000, 1 << 23, 1 << 18
 BITMAP = 32_768
 
 
@@ -47,47 +49,87 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def _words(text: pa.Scalar) -> tuple[list[bytes], np.ndarray]:
-    """The words of a text, and whether each has its right neighbour in the same piece."""
-    pieces = [p for p in map(bytes.split, text.as_buffer().to_pybytes().translate(TO_PIECES).split(b"\n")) if p]
-    near = np.ones(sum(map(len, pieces)), bool)
-    near[np.cumsum([len(p) for p in pieces], dtype=np.int64) - 1] = False
-    return list(chain.from_iterable(pieces)), near
-
-
-def _slots(lang: bytes, words: list[bytes], slots: int) -> np.ndarray:
+def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, bytes]]:
+    """Language and texts of it with their piece ends as \n, about AT_ONCE bytes at a time, each text whole."""
+    held: dict[bytes, list[bytes]] = defaultdict(list)
+    size: Counter = Counter()
+    for batch in batches:
+        for lang, text in zip(batch["lang"].to_pylist(), batch["text"]):
+            lang = quote(lang, "").encode()
+            held[lang].append(text.as_buffer().to_pybytes())
+            size[lang] += len(held[lang][-1])
+            if size[lang] >= AT_ONCE or sum(size.values()) >= 3 * AT_ONCE:
+                most = max(size, key=size.get)
+                yield most, b"\n".join([*held.pop(most), b""]).translate(TO_PIECES)
+                del size[most]
+    for lang, texts in held.items():
+        yield lang, b"\n".join([*texts, b""]).translate(TO_PIECES)
+
+
+def _words(texts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words, a space behind each, as bytes; where each begins and the last ends; whether each has its right neighbour in the same piece."""
+    b = np.frombuffer(texts, np.uint8)
+    apart = (b == 10) | (b == 32) | (b == 9)
+    after = np.concatenate(([True], apart[:-1]))
+    starts, ends = np.flatnonzero(~apart & after), np.flatnonzero(apart & ~after)
+    pieces = np.cumsum(b == 10, dtype=np.int32)
+    near = np.zeros(len(starts), bool)
+    near[:-1] = pieces[starts[1:]] == pieces[starts[:-1]]
+    letters = b[~(apart & after)].copy()
+    letters[apart[~(apart & after)]] = 32
+    return letters, np.concatenate(([0], np.cumsum(ends - starts + 1))), near
+
+
+@lru_cache(1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, as 64-bit numbers that wrap."""
+    base = 0x9E3779B97F4A7C15
+
+    def power(x: int) -> np.ndarray:
+        factors = np.full(HASHED + 1, x, np.uint64)
+        factors[0] = 1
+        return np.multiply.accumulate(factors)
+
+    return power(base), power(pow(base, -1, 1 << 64))
+
+
+def _hashes(letters: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of each word, the same wherever it stands: sums of letters times powers, divided by the power that the word begins with."""
+    power, inverse = _powers()
+    out, first = np.zeros(len(at) - 1, np.uint64), 0
+    while first < len(out):
+        last = int(np.searchsorted(at, at[first] + HASHED, side="right")) - 1
+        if last <= first:  # a word longer than a block
+            out[first], first = crc32(letters[at[first] : at[first + 1]].tobytes()), first + 1
+            continue
+        begin = at[first : last + 1] - at[first]
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(letters[at[first] : at[last]].astype(np.uint64) * power[: begin[-1]])))
+        out[first:last] = (sums[begin[1:]] - sums[begin[:-1]]) * inverse[begin[:-1]]
+        first = last
+    return (out ^ out >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _pair_slots(lang: bytes, h: np.ndarray, slots: int) -> np.ndarray:
     """The slot of each word with its right neighbour; slots is a power of two."""
-    h = np.fromiter(map(crc32, words), np.uint64, len(words))
-    mixed = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(crc32(lang))
-    return ((mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(20) & np.uint64(slots - 1)).astype(np.int64)
+    mixed = (h[:-1] ^ h[:-1] >> np.uint64(29)) * np.uint64(0x94D049BB133111EB) + h[1:] + np.uint64(crc32(lang))
+    return ((mixed ^ mixed >> np.uint64(32)) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(24) & np.uint64(slots - 1)).astype(np.int64)
 
 
-def _pair_slots(slots: int) -> Callable:
+def _slot_counts(slots: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def sent() -> pa.RecordBatch:
-            slot, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(n, pa.int64())], ["slot", "n"])
-
-        for batch in batches:
-            for lang, text in zip(batch["lang"], batch["text"]):
-                words, near = _words(text)
-                if len(words) > 1:
-                    held.append(_slots(lang.as_py().encode(), words, slots)[near[:-1]].astype(np.int32))
-                if sum(map(len, held)) >= 8 * HELD and len(held) > 1 or len(held) >= 10_000:
-                    yield sent()
-        if held:
-            yield sent()
+        for lang, texts in _by_language(batches):
+            letters, at, near = _words(texts)
+            if len(near) > 1:
+                slot, n = np.unique(_pair_slots(lang, _hashes(letters, at), slots)[near[:-1]].astype(np.int32), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n, pa.int64())], ["slot", "n"])
 
     return run
 
 
 def frequent_pairs(texts: DataFrame, min_count: int, slots: int) -> bytes:
     """A bit for each slot: whether the pairs of words that hash to it occur min_count times or more together."""
-    full = texts.mapInArrow(_pair_slots(slots), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
-    parts = full.groupBy(F.floor(F.col("slot") / BITMAP).alias("no")).agg(F.bitmap_construct_agg(F.col("slot") % BITMAP).alias("bits"))
+    full = texts.mapInArrow(_slot_counts(slots), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
+    parts = staged(full.groupBy(F.floor(F.col("slot") / BITMAP).alias("no")).agg(F.bitmap_construct_agg(F.col("slot") % BITMAP).alias("bits")))
     out = bytearray(slots // 8)
     for r in parts.collect():  # slots / 8 bytes, MOST_SLOTS / 8 at most
         out[r["no"] * (BITMAP // 8) : (r["no"] + 1) * (BITMAP // 8)] = r["bits"]
@@ -95,34 +137,37 @@ def frequent_pairs(texts: DataFrame, min_count: int, slots: int) -> bytes:
 
 
 def _suffixes(frequent, slots: int, max_n: int) -> Callable:
-    def sent(counts: dict[bytes, Counter]) -> Iterator[pa.RecordBatch]:
-        for lang, of in counts.items():
-            head, parts = lang + b"\n", []
-            for s in of:
-                first, *rest = s.split(b" ", 2)
-                parts.append(crc32(b"%d" % (crc32(rest[0]) % SALTS), crc32(head + first)) & 0x7FFFFFFF if rest else crc32(head + first) & 0x7FFFFFFF)
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([head + s + b" " for s in of], pa.binary()), pa.array(list(of.values()), pa.int64())], ["part", "suffix", "n"])
-        counts.clear()
+    def cut(letters: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
+        """The stretches of letters as strings of bytes."""
+        size = end - begin
+        offsets = np.concatenate(([0], np.cumsum(size)))
+        data = letters[np.arange(offsets[-1]) + np.repeat(begin - offsets[:-1], size)]
+        return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, counts = np.frombuffer(frequent.value, np.uint8), defaultdict(Counter)
-        for batch in batches:
-            for lang, text in zip(batch["lang"], batch["text"]):
-                words, near = _words(text)
-                reach = np.ones(len(words) + 1, np.int64)  # words of the suffix from each, as far as its pairs are frequent
-                if len(words) > 1:
-                    slot = _slots(lang.as_py().encode(), words, slots)
-                    on = near[:-1] & (bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
-                    for _ in range(max_n - 1):
-                        reach[: len(words) - 1] = 1 + on * reach[1 : len(words)]
-                here = counts[lang.as_py().encode()]
-                reach = reach.tolist()
-                for start in range(0, len(words), HELD):  # a giant text must not be held as suffixes at once
-                    here.update([w if r == 1 else b" ".join(words[i : i + r]) for i, (w, r) in enumerate(zip(words[start : start + HELD], reach[start : start + HELD]), start)])
-                    if sum(map(len, counts.values())) >= HELD:
-                        yield from sent(counts)
-                        here = counts[lang.as_py().encode()]
-        yield from sent(counts)
+        bits = np.frombuffer(frequent.value, np.uint8)
+        for lang, texts in _by_language(batches):
+            letters, at, near = _words(texts)
+            n = len(near)
+            if not n:
+                continue
+            h = _hashes(letters, at)
+            reach = np.ones(n, np.int64)  # words of the suffix from each, as far as its pairs are frequent
+            part = h + np.uint64(crc32(lang))
+            if n > 1:
+                slot = _pair_slots(lang, h, slots)
+                on = near[:-1] & (bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+                for _ in range(max_n - 1):
+                    reach[:-1] = 1 + on * reach[1:]
+                part[:-1] += np.where(on, (h[1:] >> np.uint64(32)) % np.uint64(SALTS) * np.uint64(0x9E3779B97F4A7C15), np.uint64(0))
+            part = (part >> np.uint64(33)).astype(np.int32)
+            found = []
+            for i in range(0, n, HELD):
+                j = np.arange(i, min(n, i + HELD))
+                found.append(pa.table({"part": part[j], "suffix": cut(letters, at[j], at[j + reach[j]])}))
+            counted = pa.concat_tables(found).group_by(["part", "suffix"], use_threads=False).aggregate([([], "count_all")]).sort_by("suffix")  # in order, as that packs better
+            named = pc.binary_join_element_wise(pa.scalar(lang + b"\n", pa.binary()), counted["suffix"], pa.scalar(b"", pa.binary()))
+            yield from pa.table({"part": counted["part"], "suffix": named, "n": counted["count_all"]}).combine_chunks().to_batches(max_chunksize=50_000)
 
     return run
 
@@ -131,41 +176,49 @@ def _prefix_counts(min_count: int) -> Callable:
     """Sorted suffixes -> their prefixes with counts: single words as far as they are here, longer ones that are frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stack: list[bytes] = []
+        name = lru_cache(1024)(unquote)
+        stack: list[bytes] = []  # prefixes of the suffix at hand, each a word longer than the one below
         counts: list[int] = []
-        out: list[tuple[bytes, bytes, int, int]] = []
-
-        def cut(depth: int) -> None:
-            while len(stack) > depth:
-                n, k = counts.pop(), len(stack) - 1  # the language lies at the bottom
-                if k == 1 or k > 1 and n >= min_count:
-                    out.append((stack[0], b" ".join(stack[1:]), k, n))
-                stack.pop()
-                if counts:
-                    counts[-1] += n
+        phrases: list[bytes] = []
+        words: list[int] = []
+        found: list[int] = []
+
+        def pop() -> None:
+            k, n, s = len(stack), counts.pop(), stack.pop()
+            if n >= min_count or k == 1:
+                phrases.append(s[:-1])
+                words.append(k)
+                found.append(n)
+            if k > 1:
+                counts[-1] += n
 
         def rows() -> pa.RecordBatch:
-            lang, phrase, words, n = zip(*out)
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(lang, pa.binary()).cast(pa.string()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(words, pa.int32()), pa.array(n, pa.int64())], ["lang", "phrase", "words", "n"])
+            parts = [p.split(b"\n") for p in phrases]
+            columns = [pa.array([name(x) for x, _ in parts], pa.string()), pa.array([x for _, x in parts], pa.binary()).cast(pa.string()), pa.array(words, pa.int32()), pa.array(found, pa.int64())]
+            for x in (phrases, words, found):
+                x.clear()
+            return pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "words", "n"])
 
         for batch in batches:
             for s, n in zip(batch["suffix"].to_pylist(), batch["n"].to_pylist()):
-                lang, _, tail = s.rpartition(b"\n")
-                words = [lang, *tail[:-1].split(b" ")]
-                same = 0
-                for a, b in zip(stack, words):
-                    if a != b:
-                        break
-                    same += 1
-                cut(same)
-                stack += words[same:]
-                counts += [0] * (len(words) - same)
+                while stack and not s.startswith(stack[-1]):
+                    if counts[-1] < min_count and len(stack) > 1:  # mostly
+                        stack.pop()
+                        m = counts.pop()
+                        counts[-1] += m
+                    else:
+                        pop()
+                end = len(stack[-1]) if stack else 0
+                while end < len(s):
+                    end = s.index(b" ", end) + 1
+                    stack.append(s[:end])
+                    counts.append(0)
                 counts[-1] += n
-            if out:
+            if phrases:
                 yield rows()
-        cut(0)
-        if out:
+        while stack:
+            pop()
+        if phrases:
             yield rows()
 
     return run

@@ -52,6 +52,7 @@ def test_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(collocations, "FEWEST_SLOTS", 1 << 15)
     monkeypatch.setattr(collocations, "SLOT_BYTES", 1 << 30)
     monkeypatch.setattr(collocations, "HELD", 50)
+    monkeypatch.setattr(collocations, "AT_ONCE", 300)
     assert got(min_count=5, top=20) == brute(rows, 5, 20)
     assert got(min_count=5, max_n=3) == brute(rows, 5, 2000, 3)
 
