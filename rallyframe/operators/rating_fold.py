@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.glicko import INITIAL_DEVIATION, INITIAL_RATING, INITIAL_VOLATILITY, State, expected_score, g_of, inflate, inflated_deviation, predicted, settled, update
-from ..sources.staging import written
+from ..sources.staging import dropped, new_folder, written
 
 #: Matches of a run of days that are folded as one group.
 BLOCK = 20_000
@@ -105,16 +105,19 @@ def window_periods(matches: DataFrame, states: DataFrame | None = None, block: i
     spark, block = matches.sparkSession, block or BLOCK
     matches = written(matches.select(F.col("window").cast("int").alias("window"), "day", "home", "away", "home_won").where("day is not null and home is not null and away is not null and home_won is not null"))
     days = [(r["day"], r["count"]) for r in matches.groupBy("day").count().orderBy("day").collect()]  # a row a date
-    states = spark.createDataFrame([], STATES) if states is None else states
-    out = spark.createDataFrame([], f"window int, {PERIODS}")
-    for first, last, n in _runs(days, block):
+    states = written(spark.createDataFrame([], STATES) if states is None else states)
+    path, schema = new_folder(spark, "periods"), f"window int, {PERIODS}"
+    spark.createDataFrame([], schema).write.parquet(f"{path}/run=0")
+    for no, (first, last, n) in enumerate(_runs(days, block), 1):
         part = matches.where(F.col("day").between(F.lit(first), F.lit(last)))
-        new = written(_folded(part, states) if n <= block else _one_day(part, states))
-        out = out.unionByName(new)
+        (_folded(part, states) if n <= block else _one_day(part, states)).write.parquet(f"{path}/run={no}")
+        new = spark.read.schema(schema).parquet(f"{path}/run={no}")
         rest = ["rating", "deviation", "volatility", "day", "total_matches", "total_wins"]
         both = states.unionByName(new.select("window", "player_id", *rest))
-        states = written(both.groupBy("window", "player_id").agg(F.max_by(F.struct(*rest), "day").alias("s")).select("window", "player_id", "s.*"))
-    return out, states
+        before, states = states, written(both.groupBy("window", "player_id").agg(F.max_by(F.struct(*rest), "day").alias("s")).select("window", "player_id", "s.*"))
+        dropped(before)
+    dropped(matches)
+    return spark.read.schema(f"{schema}, run int").parquet(path).drop("run"), states
 
 
 def rating_periods(matches: DataFrame, block: int | None = None) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Intermediate tables in the folder that driver and executors share, and what files of tables need besides."""
 
 from __future__ import annotations
 
@@ -23,8 +23,51 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def new_folder(spark: SparkSession, stem: str) -> str:
+    """The path of a folder that isn't there yet, in the shared one."""
+    return f"{shared_folder(spark)}/{stem}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """df written and read again: lineage ends there, and a lost executor loses nothing."""
-    path = f"{shared_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, "step")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+def _files(spark: SparkSession, path: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path, path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder, if it is there."""
+    at, files = _files(spark, path)
+    files.delete(at, True)
+
+
+def dropped(table: DataFrame) -> None:
+    """Deletes a table that `written` gave and that nothing will read again."""
+    removed(table.sparkSession, table._written_path)
+
+
+def found(spark: SparkSession, pattern: str) -> list[str]:
+    """The paths that match a pattern, in order."""
+    at, files = _files(spark, pattern)
+    return sorted(m.getPath().toString() for m in files.globStatus(at) or [])
+
+
+def parts_of(spark: SparkSession, path: str, column: str) -> list[str]:
+    """The values of the first partition column of a table, in order."""
+    return [p.rsplit(f"{column}=", 1)[1] for p in found(spark, f"{path}/{column}=*")]
+
+
+def versions(spark: SparkSession, target: str) -> list[int]:
+    """The complete versions of a table that is written as a whole each time, oldest first."""
+    return sorted(int(p.rsplit("/v", 1)[1].split("/")[0]) for p in found(spark, f"{target}/v*/_SUCCESS"))
+
+
+def version_path(target: str, version: int) -> str:
+    return f"{target}/v{version:09d}"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.merge import first_of_each, latest_wins
+from ..sources.staging import removed, version_path, versions
 
 
 def merge_stream(source: DataFrame, target: str, keys: list[str], watermark: str, checkpoint: str):
@@ -19,37 +20,24 @@ def merge_stream(source: DataFrame, target: str, keys: list[str], watermark: str
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        done = _versions(spark, target)
+        done = versions(spark, target)
         rows = first_of_each(batch, keys, [F.desc(watermark), *(F.desc(c) for c in batch.columns if c not in keys)])
         if done:
-            old = spark.read.parquet(_path(target, done[-1]))
+            old = spark.read.parquet(version_path(target, done[-1]))
             # rows older than the target's stay out
             rows = latest_wins(old, rows.join(old.select(*keys, F.col(watermark).alias("_old")), keys, "left").where(F.col("_old").isNull() | (F.col(watermark) >= F.col("_old"))).drop("_old"), keys)
-        rows.write.mode("overwrite").parquet(_path(target, done[-1] + 1 if done else 0))
+        rows.write.mode("overwrite").parquet(version_path(target, done[-1] + 1 if done else 0))
         for version in done[:-1]:
-            path = spark._jvm.org.apache.hadoop.fs.Path(_path(target, version))
-            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            removed(spark, version_path(target, version))
 
     return source.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _path(target: str, version: int) -> str:
-    return f"{target}/v{version:09d}"
-
-
-def _versions(spark, target: str) -> list[int]:
-    """The complete versions of a table, oldest first."""
-    top = spark._jvm.org.apache.hadoop.fs.Path(target)
-    files = top.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    marks = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{target}/v*/_SUCCESS")) or []
-    return sorted(int(m.getPath().getParent().getName()[1:]) for m in marks)
-
-
 def merged_table(spark, target: str) -> DataFrame:
-    done = _versions(spark, target)
+    done = versions(spark, target)
     if not done:
         raise ValueError(f"no complete version in {target}")
-    return spark.read.parquet(_path(target, done[-1]))
+    return spark.read.parquet(version_path(target, done[-1]))
 
 
 def weekly_counts(events: DataFrame, late: str = "1 day") -> DataFrame:
