@@ -102,4 +102,26 @@ def predicted(r1: Column, d1: Column, r2: Column, d2: Column) -> Column:
 
 def eligibility(critical: Column, matches: Column, opponents: Column, days: Column, deviation: Column) -> Column:
     """Why a player is not ranked; "ranked" if they are.  The first that holds counts."""
-    return F.when(critical, "critical_issue").when(matches < MIN_MATCHES, "insufficient_matches").when(opponents < MIN_OPPONENTS, "insufficient_opponents").when(days > MAX_INACTIVE_DAYS, "inactive").when(deviation > MAX_DEVIATION, "uncertain").otherwise("ranked")
+    return F.when(critical, "critical_data_issue").when(matches < MIN_MATCHES, "insufficient_matches").when(opponents < MIN_OPPONENTS, "insufficient_opponents").when(days > MAX_INACTIVE_DAYS, "inactive").when(deviation > MAX_DEVIATION, "high_uncertainty").otherwise("ranked")
+
+
+def confidence(deviation: Column, *provisional: Column) -> Column:
+    """How far a rating can be trusted; low for a provisional one."""
+    out = F.when(deviation <= 70, "high").when(deviation <= 120, "medium").otherwise("low")
+    for p in provisional:
+        out = F.when(p, "low").otherwise(out)
+    return out
+
+
+def is_provisional(matches: Column, deviation: Column) -> Column:
+    return (matches < MIN_MATCHES) | (deviation > MAX_DEVIATION)
+
+
+def attributed_change(opponent_deviation: Column, deviation_after: Column, surprise: Column) -> Column:
+    """What one match adds to the period's change of rating: the shares of all its matches add up to the whole."""
+    return F.pow(deviation_after, F.lit(2)) / SCALE * g_of(opponent_deviation) * surprise
+
+
+def information(expected: Column, opponent_deviation: Column) -> Column:
+    """What one match tells of the rating."""
+    return F.pow(g_of(opponent_deviation), F.lit(2)) * expected * (1 - expected)

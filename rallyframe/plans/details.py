@@ -111,7 +111,7 @@ def event_results(d: Domain) -> DataFrame:
     return m.select("rubber_id", "played_on", "home_games", "away_games", "home_name", "away_name", F.when(F.col("home_games") > F.col("away_games"), "home").otherwise("away").alias("winner_side"), "home_id", "away_id")
 
 
-@query("q66_audit_evidence", f"""WITH {CLASSIFIED_SQL}, s AS (SELECT home_player AS player_id, rubber_id, effective_day, reason FROM classified UNION ALL SELECT away_player, rubber_id, effective_day, reason FROM classified)
+@query("q66_reasons_of_players", f"""WITH {CLASSIFIED_SQL}, s AS (SELECT home_player AS player_id, rubber_id, effective_day, reason FROM classified UNION ALL SELECT away_player, rubber_id, effective_day, reason FROM classified)
     SELECT player_id, reason, rubbers, rubber_id AS latest_rubber, effective_day AS latest_day FROM (SELECT *, count(*) OVER (PARTITION BY player_id, reason) AS rubbers, row_number() OVER (PARTITION BY player_id, reason ORDER BY effective_day DESC NULLS LAST, rubber_id DESC) AS n FROM s WHERE player_id IS NOT NULL) WHERE n = 1""")
 def audit_evidence(d: Domain) -> DataFrame:
     """For each player and reason: how many rubbers, and the latest of them as evidence."""
@@ -127,26 +127,31 @@ def quality_listing(d: Domain) -> DataFrame:
     return c.orderBy(F.asc_nulls_last("rated_share"), F.desc("rubbers"), "competition_id").offset(25).limit(25)
 
 
-GROUPS_SQL = "CASE WHEN reason = 'eligible' THEN 'rated' WHEN reason LIKE 'missing%' THEN 'unknown' WHEN reason IN ('tied_score', 'same_canonical_player') THEN 'conflict' ELSE 'out of scope' END"
-
-
-@query("q77_ranking_quality", f"WITH {CLASSIFIED_SQL} SELECT level, rubbers, leagues, row_number() OVER (ORDER BY CASE level WHEN 'conflict' THEN 0 WHEN 'unknown' THEN 1 WHEN 'out of scope' THEN 2 ELSE 3 END) AS place FROM (SELECT {GROUPS_SQL} AS level, count(*) AS rubbers, count(DISTINCT league_id) AS leagues FROM classified GROUP BY 1)")
-def ranking_quality(d: Domain) -> DataFrame:
-    """Rubbers by how they bear on ratings, the worst level first; four rows."""
-    g = classified(d).withColumn("level", F.expr(GROUPS_SQL)).groupBy("level").agg(F.count("*").alias("rubbers"), F.countDistinct("league_id").alias("leagues"))
-    order = F.when(F.col("level") == "conflict", 0).when(F.col("level") == "unknown", 1).when(F.col("level") == "out of scope", 2).otherwise(3)
-    return g.withColumn("place", F.row_number().over(Window.orderBy(order)).cast("bigint"))
-
-
-@query("q81_source_snapshot", f"""WITH {CLASSIFIED_SQL}, c AS (SELECT count(*) AS rubbers, count(*) FILTER (WHERE reason = 'eligible') AS rated, count(DISTINCT competition_id) AS competitions, count(*) FILTER (WHERE effective_day IS NULL) AS undated, max(effective_day) AS last_day FROM classified), p AS (SELECT count(*) AS players, count(*) FILTER (WHERE canonical_id IS NOT NULL) AS aliases FROM players), l AS (SELECT max(seen_at) AS seen_at, max_by(kind, row(seen_at, event_id)) AS last_kind FROM log)
-    SELECT *, CASE WHEN 2 * rated >= rubbers THEN 'healthy' WHEN 4 * rated >= rubbers THEN 'degraded' ELSE 'critical' END AS health FROM c CROSS JOIN p CROSS JOIN l""")
+@query("q81_source_snapshot", f"""WITH c AS (SELECT f.league_id AS platform_id, count(DISTINCT f.league_id) AS leagues, count(DISTINCT f.competition_id) AS competitions, count(DISTINCT f.fixture_id) AS fixtures, count(r.rubber_id) AS rubbers,
+        count(r.rubber_id) FILTER (WHERE coalesce(r.played_on, f.date_played) IS NOT NULL) AS dated, count(r.rubber_id) FILTER (WHERE r.score_source = 'games') AS scored, count(r.rubber_id) FILTER (WHERE r.home_1 IS NULL OR r.away_1 IS NULL) AS missing_player_rubbers
+        FROM fixtures f LEFT JOIN (SELECT * FROM rubbers WHERE NOT deleted) r USING (fixture_id) WHERE NOT f.deleted GROUP BY f.league_id),
+    p AS (SELECT platform_id, count(*) AS external_players, count(DISTINCT coalesce(canonical_id, player_id)) AS canonical_players FROM players WHERE NOT deleted GROUP BY platform_id),
+    s AS (SELECT platform_id, count(*) AS total_scrapes, count(*) FILTER (WHERE kind = 'error') AS failed_scrapes, max(seen_at) AS latest_activity_at, max_by(event_id, row(seen_at, event_id)) FILTER (WHERE kind = 'error') AS last_error FROM log GROUP BY platform_id),
+    g AS (SELECT platform_id, count(*) AS resources, count(*) FILTER (WHERE last_kind = 'error') AS unhealthy_resources FROM (SELECT platform_id, resource_id, max_by(kind, row(seen_at, event_id)) AS last_kind FROM log GROUP BY platform_id, resource_id) GROUP BY platform_id),
+    i AS (SELECT platform_id FROM c UNION SELECT platform_id FROM p UNION SELECT platform_id FROM s)
+    SELECT platform_id, CASE WHEN coalesce(unhealthy_resources, 0) > 0 THEN 'degraded' WHEN latest_activity_at IS NOT NULL THEN 'healthy' ELSE 'unobserved' END AS health, coalesce(leagues, 0) AS leagues, coalesce(competitions, 0) AS competitions, coalesce(fixtures, 0) AS fixtures, coalesce(rubbers, 0) AS rubbers,
+        {pct('dated', 'rubbers')} AS dated_rubbers_pct, {pct('scored', 'rubbers')} AS full_score_rubbers_pct, coalesce(missing_player_rubbers, 0) AS missing_player_rubbers, coalesce(external_players, 0) AS external_players, coalesce(canonical_players, 0) AS canonical_players,
+        coalesce(total_scrapes, 0) AS total_scrapes, coalesce(failed_scrapes, 0) AS failed_scrapes, coalesce(resources, 0) AS resources, coalesce(unhealthy_resources, 0) AS unhealthy_resources, latest_activity_at, last_error
+    FROM i LEFT JOIN c USING (platform_id) LEFT JOIN p USING (platform_id) LEFT JOIN s USING (platform_id) LEFT JOIN g USING (platform_id)""")
 def source_snapshot(d: Domain) -> DataFrame:
-    """One row over all sources, with a state of health."""
-    c = classified(d).agg(F.count("*").alias("rubbers"), n_if("reason = 'eligible'").alias("rated"), F.countDistinct("competition_id").alias("competitions"), n_if("effective_day is null").alias("undated"), F.max("effective_day").alias("last_day"))
-    p = d.players.agg(F.count("*").alias("players"), n_if("canonical_id is not null").alias("aliases"))
-    l = d.events.agg(F.max("seen_at").alias("seen_at"), F.max_by("kind", F.struct("seen_at", "event_id")).alias("last_kind"))
-    health = F.when(2 * F.col("rated") >= F.col("rubbers"), "healthy").when(4 * F.col("rated") >= F.col("rubbers"), "degraded").otherwise("critical")
-    return c.crossJoin(F.broadcast(p)).crossJoin(F.broadcast(l)).withColumn("health", health)
+    """A row for each platform (a league's is of its own number): what it holds, what was scraped, and its health by failing resources and latest activity."""
+    f = d.fixtures.where("not deleted").select("fixture_id", "league_id", "competition_id", "date_played")
+    r = d.rubbers.where("not deleted").groupBy("fixture_id").agg(F.count("*").alias("rubbers"), n_if("played_on is not null").alias("played"), n_if("score_source = 'games'").alias("scored"), n_if("home_1 is null or away_1 is null").alias("missing_player_rubbers"))
+    dated = F.when(F.col("date_played").isNotNull(), F.col("rubbers")).otherwise(F.col("played"))
+    c = f.join(r, "fixture_id", "left").groupBy(F.col("league_id").alias("platform_id")).agg(F.countDistinct("league_id").alias("leagues"), F.countDistinct("competition_id").alias("competitions"), F.count("*").alias("fixtures"), F.sum("rubbers").alias("rubbers"), F.sum(dated).alias("dated"), F.sum("scored").alias("scored"), F.sum("missing_player_rubbers").alias("missing_player_rubbers"))
+    p = d.players.where("not deleted").groupBy("platform_id").agg(F.count("*").alias("external_players"), F.countDistinct(F.coalesce("canonical_id", "player_id")).alias("canonical_players"))
+    at = F.struct("seen_at", "event_id")
+    g = d.events.groupBy("platform_id", "resource_id").agg(F.max_by("kind", at).alias("last_kind"), F.count("*").alias("n"), n_if("kind = 'error'").alias("failed"), F.max("seen_at").alias("seen_at"), F.max(F.when(F.col("kind") == "error", at)).alias("error"))
+    s = g.groupBy("platform_id").agg(F.sum("n").alias("total_scrapes"), F.sum("failed").alias("failed_scrapes"), F.count("*").alias("resources"), n_if("last_kind = 'error'").alias("unhealthy_resources"), F.max("seen_at").alias("latest_activity_at"), F.max("error").getField("event_id").alias("last_error"))
+    health = F.when(F.col("unhealthy_resources") > 0, "degraded").when(F.col("latest_activity_at").isNotNull(), "healthy").otherwise("unobserved")
+    counts = ["leagues", "competitions", "fixtures", "rubbers", "missing_player_rubbers", "external_players", "canonical_players", "total_scrapes", "failed_scrapes", "resources", "unhealthy_resources"]
+    every = c.join(p, "platform_id", "full").join(s, "platform_id", "full").fillna(0, counts)
+    return every.select("platform_id", health.alias("health"), *counts, rate(F.col("dated"), F.col("rubbers")).alias("dated_rubbers_pct"), rate(F.col("scored"), F.col("rubbers")).alias("full_score_rubbers_pct"), "latest_activity_at", "last_error")
 
 
 @query("q100_latest_run", "SELECT kind, count(*) AS n, min(seen_at) AS began, max(seen_at) AS ended FROM log WHERE CAST(seen_at AS DATE) = (SELECT CAST(max(seen_at) AS DATE) FROM log) GROUP BY kind")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import glicko
@@ -18,7 +18,7 @@ from .rivalry import HISTORY_SQL, weekly
 
 
 def eligible(d: Domain) -> DataFrame:
-    return classified(d).where("reason = 'eligible'").select(F.col("effective_day").alias("day"), F.col("home_player").alias("home"), F.col("away_player").alias("away"), (F.col("home_games") > F.col("away_games")).alias("home_won"), "rubber_id")
+    return classified(d).where("reason = 'eligible'").select(F.col("effective_day").alias("day"), F.col("home_player").alias("home"), F.col("away_player").alias("away"), (F.col("home_games") > F.col("away_games")).alias("home_won"), "rubber_id", "home_games", "away_games")
 
 
 @query("q48_classification", f"WITH {CLASSIFIED_SQL} SELECT rubber_id, effective_day, home_player, away_player, reason FROM classified")
@@ -64,17 +64,48 @@ def checkpoints(d: Domain) -> DataFrame:
     return p.groupBy("player_id", month.alias("month")).agg(F.max_by(F.struct("rating", "deviation", "volatility", "total_matches", "day"), "day").alias("s")).select("player_id", "month", "s.*")
 
 
+def match_evidence(e: DataFrame, periods: DataFrame) -> DataFrame:
+    """Each rated rubber from both sides, with the ratings before the day, what was expected and what the match changed, and the period it is part of."""
+    row = lambda me, other, own, opp, won: F.struct(F.col(me).alias("player_id"), F.col(other).alias("opponent_id"), F.col(own).alias("own_games"), F.col(opp).alias("opponent_games"), won.alias("won"))
+    sides = F.array(row("home", "away", "home_games", "away_games", F.col("home_won")), row("away", "home", "away_games", "home_games", ~F.col("home_won")))
+    both = e.select("rubber_id", "day", F.explode(sides).alias("s")).select("rubber_id", "day", "s.*")
+    own = periods.select("player_id", "day", "rating_before", "deviation_before", F.col("rating").alias("rating_after"), F.col("deviation").alias("deviation_after"), F.col("matches").alias("period_matches"), F.col("total_matches").alias("matches_after"), (F.col("rating") - F.col("rating_before")).alias("period_change"))
+    theirs = periods.select(F.col("player_id").alias("opponent_id"), "day", F.col("rating_before").alias("opponent_rating"), F.col("deviation_before").alias("opponent_deviation"))
+    out = both.join(own, ["player_id", "day"]).join(theirs, ["opponent_id", "day"])
+    out = out.withColumn("expected", glicko.expected_score(F.col("rating_before"), F.col("opponent_rating"), F.col("opponent_deviation")))
+    out = out.withColumn("surprise", F.col("won").cast("double") - F.col("expected"))
+    changed = glicko.attributed_change(F.col("opponent_deviation"), F.col("deviation_after"), F.col("surprise"))
+    told = glicko.information(F.col("expected"), F.col("opponent_deviation"))
+    return out.withColumns({"attributed_change": changed, "information": told, "provisional_after": glicko.is_provisional(F.col("matches_after"), F.col("deviation_after"))})
+
+
 @query("q52_match_audits")
 def match_audits(d: Domain) -> DataFrame:
-    """Each rated rubber from both sides: what was expected, and how surprising the result was."""
+    """Each rated rubber from both sides: what was expected, how surprising the result was, and its share in the change of rating."""
+    e = written(eligible(d))
+    out = match_evidence(e, rating_periods(e))
+    return out.select("rubber_id", "player_id", "opponent_id", "day", "won", "rating_before", "deviation_before", "opponent_rating", "opponent_deviation", "expected", "surprise", "attributed_change", "information")
+
+
+@query("q52_audit_sums", f"""WITH {CLASSIFIED_SQL}, e AS (SELECT effective_day AS day, home_player AS h, away_player AS a FROM classified WHERE reason = 'eligible'), s AS (SELECT day, h AS p FROM e UNION ALL SELECT day, a FROM e)
+    SELECT strftime(day, '%Y-%m') AS month, CAST(count(*) AS BIGINT) AS audits, count(DISTINCT (p, day)) AS periods, CAST(0 AS BIGINT) AS off FROM s GROUP BY 1""")
+def audit_sums(d: Domain) -> DataFrame:
+    """By month: audits, periods, and how many periods' change of rating is not the sum of what their matches are said to have changed."""
     e = written(eligible(d))
-    p = rating_periods(e).select("player_id", "day", "rating_before", "deviation_before")
-    row = lambda me, other, won: F.struct(F.col(me).alias("player_id"), F.col(other).alias("opponent_id"), won.alias("won"))
-    both = e.select("rubber_id", "day", F.explode(F.array(row("home", "away", F.col("home_won")), row("away", "home", ~F.col("home_won")))).alias("s")).select("rubber_id", "day", "s.*")
-    theirs = p.select(F.col("player_id").alias("opponent_id"), "day", F.col("rating_before").alias("o_rating"), F.col("deviation_before").alias("o_deviation"))
-    out = both.join(p, ["player_id", "day"]).join(theirs, ["opponent_id", "day"])
-    expected = glicko.expected_score(F.col("rating_before"), F.col("o_rating"), F.col("o_deviation"))
-    return out.select("rubber_id", "player_id", "opponent_id", "day", "won", expected.alias("expected"), (F.col("won").cast("double") - expected).alias("surprise"))
+    p = match_evidence(e, rating_periods(e)).groupBy("player_id", "day").agg(F.count("*").alias("n"), F.abs(F.sum("attributed_change") - F.max("period_change")).alias("gap"), F.max("period_matches").alias("matches"))
+    off = ~F.coalesce((F.col("gap") < 1e-6) & (F.col("n") == F.col("matches")), F.lit(False))
+    return p.groupBy(F.date_format("day", "yyyy-MM").alias("month")).agg(F.sum("n").alias("audits"), F.count("*").alias("periods"), F.count_if(off).alias("off"))
+
+
+@query("q66_audit_evidence")
+def player_evidence(d: Domain) -> DataFrame:
+    """Each player's latest fifty included audits with both ratings before, the result, its share in the change, and the period behind it."""
+    e = written(eligible(d))
+    evidence = match_evidence(e, rating_periods(e)).withColumn("place", F.row_number().over(Window.partitionBy("player_id").orderBy(F.desc("day"), "rubber_id"))).where("place <= 50")
+    names = d.players.select(F.col("player_id").alias("opponent_id"), F.col("name").alias("opponent_name"))
+    result = F.when(F.col("won"), "win").otherwise("loss").alias("result")
+    score = F.concat_ws("-", F.col("own_games").cast("string"), F.col("opponent_games").cast("string")).alias("game_score")
+    return evidence.join(names, "opponent_id", "left").select("player_id", "place", "rubber_id", F.col("day").alias("match_date"), "opponent_id", "opponent_name", result, score, "rating_before", "deviation_before", "opponent_rating", "opponent_deviation", "expected", "surprise", "attributed_change", "information", "rating_after", "deviation_after", "provisional_after", "period_matches", "period_change")
 
 
 @query("q53_excluded_audits", f"WITH {CLASSIFIED_SQL} SELECT rubber_id, player_id, reason FROM (SELECT rubber_id, home_player AS player_id, reason FROM classified WHERE reason <> 'eligible' UNION ALL SELECT rubber_id, away_player, reason FROM classified WHERE reason <> 'eligible') WHERE player_id IS NOT NULL")
@@ -97,12 +128,15 @@ def current_rankings(states: DataFrame, opponents: DataFrame, as_of) -> DataFram
     return placed(s, [F.desc("conservative"), F.desc("matches"), F.asc("player_id")], {"historical_rank": F.lit(True), "rank": F.col("reason") == "ranked"})
 
 
-@query("q56_current_rankings", f"""WITH {HISTORY_SQL}, s AS (SELECT player_id, max_by(rating, week) AS rating, max(matches) AS matches, max(week) AS last_day FROM hist GROUP BY player_id),
+CURRENT_SQL = f"""{HISTORY_SQL}, s AS (SELECT player_id, max_by(rating, week) AS rating, max(matches) AS matches, max(week) AS last_day FROM hist GROUP BY player_id),
     o AS (SELECT player_id, count(DISTINCT opponent_id) AS opponents FROM singles GROUP BY player_id), e AS (SELECT max(last_day) AS as_of FROM s),
     w AS (SELECT s.*, coalesce(opponents, 0) AS opponents, datediff('day', last_day, as_of) AS days_inactive, 173.7178 * least(350.0 / 173.7178, sqrt(pow(90.0 / 173.7178, 2) + 0.0036 * datediff('day', last_day, as_of) / 28)) AS wide FROM s CROSS JOIN e LEFT JOIN o USING (player_id)),
-    r AS (SELECT *, CASE WHEN matches < 10 THEN 'insufficient_matches' WHEN opponents < 3 THEN 'insufficient_opponents' WHEN days_inactive > 365 THEN 'inactive' WHEN wide > 110 THEN 'uncertain' ELSE 'ranked' END AS reason FROM w)
-    SELECT player_id, CAST(rating AS BIGINT) AS rating, matches, reason, row_number() OVER by_rank AS historical_rank, CASE WHEN reason = 'ranked' THEN CAST(sum(CASE WHEN reason = 'ranked' THEN 1 ELSE 0 END) OVER (ORDER BY rating DESC, matches DESC, player_id ROWS UNBOUNDED PRECEDING) AS BIGINT) END AS rank
-    FROM r WINDOW by_rank AS (ORDER BY rating DESC, matches DESC, player_id)""")
+    r AS (SELECT *, CASE WHEN matches < 10 THEN 'insufficient_matches' WHEN opponents < 3 THEN 'insufficient_opponents' WHEN days_inactive > 365 THEN 'inactive' WHEN wide > 110 THEN 'high_uncertainty' ELSE 'ranked' END AS reason FROM w),
+    current AS (SELECT player_id, CAST(rating AS BIGINT) AS rating, matches, reason, row_number() OVER by_rank AS historical_rank, CASE WHEN reason = 'ranked' THEN CAST(sum(CASE WHEN reason = 'ranked' THEN 1 ELSE 0 END) OVER (ORDER BY rating DESC, matches DESC, player_id ROWS UNBOUNDED PRECEDING) AS BIGINT) END AS rank
+    FROM r WINDOW by_rank AS (ORDER BY rating DESC, matches DESC, player_id))"""
+
+
+@query("q56_current_rankings", f"WITH {CURRENT_SQL} SELECT * FROM current")
 def rankings_from_history(d: Domain) -> DataFrame:
     """Current rankings over the plain running rating, which SQL can follow."""
     h = weekly(singles(d))
@@ -148,6 +182,32 @@ def ratings_ranked(d: Domain) -> DataFrame:
     return current_rankings(s.crossJoin(F.broadcast(e.agg(F.max("day").alias("as_of")))), both.groupBy("player_id").agg(F.countDistinct("o").alias("opponents")), F.col("as_of"))
 
 
+#: Reasons in the order of the quality listing.
+REASONS = ["critical_data_issue", "inactive", "high_uncertainty", "insufficient_opponents", "insufficient_matches"]
+
+
+def quality_listing(rankings: DataFrame, best: str) -> DataFrame:
+    """Ranked and other players by reason, each with its place in the listing and the number of players of its reason."""
+    order = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, REASONS)), F.col("reason")), F.lit(0).cast("bigint")), F.lit(len(REASONS) + 1).cast("bigint"))
+    counts = rankings.groupBy("reason").agg(F.count("*").alias("players"))  # six rows at most
+    listed = placed(rankings.withColumn("_order", order), [F.col("_order"), F.asc_nulls_last("rank"), F.desc(best), F.asc("player_id")], {"place": F.lit(True)})
+    return listed.join(F.broadcast(counts), "reason").drop("_order")
+
+
+@query("q77_ranking_quality", f"""WITH {CURRENT_SQL}, c AS (SELECT reason, count(*) AS players FROM current GROUP BY reason)
+    SELECT player_id, reason, rank, historical_rank, rating, matches, players, row_number() OVER (ORDER BY CASE reason WHEN 'critical_data_issue' THEN 0 WHEN 'inactive' THEN 1 WHEN 'high_uncertainty' THEN 2 WHEN 'insufficient_opponents' THEN 3 WHEN 'insufficient_matches' THEN 4 ELSE 5 END, rank NULLS LAST, rating DESC, player_id) AS place
+    FROM current JOIN c USING (reason)""")
+def ranking_quality(d: Domain) -> DataFrame:
+    """Players by why they are not ranked, over the plain running rating."""
+    return quality_listing(rankings_from_history(d), "rating").select("player_id", "reason", "rank", "historical_rank", "rating", "matches", "players", F.col("place").cast("bigint").alias("place"))
+
+
+@query("q77_ratings_quality")
+def ratings_quality(d: Domain) -> DataFrame:
+    """q77 over the fold's ratings."""
+    return quality_listing(ratings_ranked(d), "conservative").select("player_id", "reason", "rank", "historical_rank", "rating", "effective_deviation", "conservative", "matches", "opponents", "days_inactive", "last_day", "players", "place")
+
+
 @query("q57_ratings_page")
 def ratings_page(d: Domain) -> DataFrame:
     """Current Glicko-2 rankings of the fold, first fifty by public rank."""
@@ -163,11 +223,20 @@ def one_rating(d: Domain) -> DataFrame:
 
 @query("q58_predict_matches")
 def predict_matches(d: Domain) -> DataFrame:
-    """The symmetric chance and the combined deviation for every pair of the ten best."""
-    top = latest(rating_periods(eligible(d))).orderBy(F.desc("conservative"), "player_id").limit(10).select("player_id", "rating", "deviation")
+    """The symmetric chance, the combined deviation and how far to trust them, for every pair of the ten best."""
+    top = latest(rating_periods(eligible(d))).orderBy(F.desc("conservative"), "player_id").limit(10).select("player_id", "rating", "deviation", glicko.is_provisional(F.col("total_matches"), F.col("deviation")).alias("provisional"))
     a, b = top.alias("a"), top.alias("b")
-    pairs = a.crossJoin(F.broadcast(b)).where("a.player_id < b.player_id")
-    return pairs.select(F.col("a.player_id").alias("player_1"), F.col("b.player_id").alias("player_2"), glicko.predicted(F.col("a.rating"), F.col("a.deviation"), F.col("b.rating"), F.col("b.deviation")).alias("probability_1"), F.sqrt(F.pow("a.deviation", F.lit(2)) + F.pow("b.deviation", F.lit(2))).alias("combined_deviation"))
+    pairs = a.crossJoin(F.broadcast(b)).where("a.player_id < b.player_id")  # ten rows
+    return pairs.select(F.col("a.player_id").alias("player_1"), F.col("b.player_id").alias("player_2"), *predictions("a", "b"))
+
+
+def predictions(a: str, b: str) -> list[Column]:
+    """probability_1 and probability_2 (from 0 to 1, four places), combined_deviation (two places), confidence, for two sides with rating, deviation and provisional."""
+    of = lambda side, c: F.col(f"{side}.{c}")
+    first = F.greatest(F.lit(0.0), F.least(F.lit(1.0), glicko.predicted(of(a, "rating"), of(a, "deviation"), of(b, "rating"), of(b, "deviation"))))
+    wide = F.sqrt(F.pow(of(a, "deviation"), F.lit(2)) + F.pow(of(b, "deviation"), F.lit(2)))
+    trust = glicko.confidence(F.greatest(of(a, "deviation"), of(b, "deviation")), of(a, "provisional"), of(b, "provisional"))
+    return [F.round(first, 4).alias("probability_1"), F.round(1 - first, 4).alias("probability_2"), F.round(wide, 2).alias("combined_deviation"), trust.alias("confidence")]
 
 
 @query("q61_league_ranking", f"""WITH {HISTORY_SQL}, s AS (SELECT player_id, max_by(rating, week) AS rating, max(matches) AS matches FROM hist GROUP BY player_id),
