@@ -89,12 +89,14 @@ def team_summary(d: Domain) -> DataFrame:
 
 
 @query("q43_team_data", """WITH t AS (SELECT home_team AS team, fixture_id, date_played, status FROM fixtures WHERE NOT deleted UNION ALL SELECT away_team, fixture_id, date_played, status FROM fixtures WHERE NOT deleted), r AS (SELECT DISTINCT fixture_id FROM rubbers WHERE NOT deleted)
-    SELECT team, count(*) AS fixtures, count(*) FILTER (WHERE status = 'completed') AS completed, count(r.fixture_id) AS with_rubbers, max(date_played) AS last_day FROM t LEFT JOIN r USING (fixture_id) GROUP BY team""")
+    SELECT team, count(*) AS fixtures, count(*) FILTER (WHERE status = 'completed') AS completed, count(r.fixture_id) AS with_rubbers, max(date_played) AS last_day,
+        CASE WHEN count(r.fixture_id) > 0 THEN 'available' WHEN count(*) FILTER (WHERE status = 'completed') > 0 THEN 'source_data_missing' ELSE 'no_matches_yet' END AS availability FROM t LEFT JOIN r USING (fixture_id) GROUP BY team""")
 def team_data(d: Domain) -> DataFrame:
-    """What is there of each team: fixtures, completed ones, such with rubbers, the latest date."""
+    """What is there of each team, and whether its matches are available, none has been played yet, or the source holds none of those played."""
     r = d.rubbers.where("not deleted").select("fixture_id").distinct().withColumn("has", F.lit(True))
     f = d.fixtures.where("not deleted").join(r, "fixture_id", "left").select(F.explode(F.array("home_team", "away_team")).alias("team"), "status", "has", "date_played")
-    return f.groupBy("team").agg(F.count("*").alias("fixtures"), n_if("status = 'completed'").alias("completed"), F.count("has").alias("with_rubbers"), F.max("date_played").alias("last_day"))
+    t = f.groupBy("team").agg(F.count("*").alias("fixtures"), n_if("status = 'completed'").alias("completed"), F.count("has").alias("with_rubbers"), F.max("date_played").alias("last_day"))
+    return t.withColumn("availability", F.when(F.col("with_rubbers") > 0, "available").when(F.col("completed") > 0, "source_data_missing").otherwise("no_matches_yet"))
 
 
 @query("q47_event_results", """WITH c AS (SELECT competition_id FROM matches GROUP BY competition_id ORDER BY count(*) DESC, competition_id LIMIT 1)
@@ -154,17 +156,37 @@ def source_snapshot(d: Domain) -> DataFrame:
     return every.select("platform_id", health.alias("health"), *counts, rate(F.col("dated"), F.col("rubbers")).alias("dated_rubbers_pct"), rate(F.col("scored"), F.col("rubbers")).alias("full_score_rubbers_pct"), "latest_activity_at", "last_error")
 
 
-@query("q100_latest_run", "SELECT kind, count(*) AS n, min(seen_at) AS began, max(seen_at) AS ended FROM log WHERE CAST(seen_at AS DATE) = (SELECT CAST(max(seen_at) AS DATE) FROM log) GROUP BY kind")
+@query("q100_latest_run", """WITH k AS (SELECT max(CAST(seen_at AS DATE)) AS run_key FROM log), s AS (SELECT run_key, kind AS stage, count(*) AS n, min(seen_at) AS started_at, max(seen_at) AS finished_at, max_by(event_id, row(seen_at, event_id)) AS last_event FROM log, k WHERE CAST(seen_at AS DATE) = run_key GROUP BY run_key, kind)
+    SELECT run_key, CASE WHEN count(*) FILTER (WHERE stage = 'error') OVER () > 0 THEN 'failed' ELSE 'completed' END AS run_status, row_number() OVER (ORDER BY started_at, stage) AS place, stage, CASE stage WHEN 'error' THEN 'failed' ELSE 'completed' END AS status, n, started_at, finished_at, last_event FROM s""")
 def latest_run(d: Domain) -> DataFrame:
-    """The stages of the latest run."""
-    last = d.events.agg(F.to_date(F.max("seen_at")).alias("run"))
-    return d.events.join(F.broadcast(last), F.to_date("seen_at") == F.col("run"), "left_semi").groupBy("kind").agg(F.count("*").alias("n"), F.min("seen_at").alias("began"), F.max("seen_at").alias("ended"))
-
-
-@query("a07_global_having", "SELECT count(*) AS n, max(day) AS last_day FROM singles WHERE won AND lost HAVING count(*) > 0")
+    """The latest run (a day of the log) with its status, and its stages in the order in which they began."""
+    last = d.events.agg(F.to_date(F.max("seen_at")).alias("run_key"))
+    s = d.events.join(F.broadcast(last), F.to_date("seen_at") == F.col("run_key")).groupBy("run_key", F.col("kind").alias("stage"))
+    s = s.agg(F.count("*").alias("n"), F.min("seen_at").alias("started_at"), F.max("seen_at").alias("finished_at"), F.max_by("event_id", F.struct("seen_at", "event_id")).alias("last_event"))
+    failed = F.col("stage") == "error"
+    every = Window.partitionBy("run_key")  # a row a stage
+    return s.select("run_key", F.when(F.max(failed).over(every), "failed").otherwise("completed").alias("run_status"), F.row_number().over(every.orderBy("started_at", "stage")).cast("bigint").alias("place"), "stage", F.when(failed, "failed").otherwise("completed").alias("status"), "n", "started_at", "finished_at", "last_event")
+
+
+@query("q99_overall_state", """WITH r AS (SELECT resource_id, max_by(kind, row(seen_at, event_id)) AS last_kind FROM log GROUP BY resource_id), c AS (SELECT count(*) FILTER (WHERE last_kind = 'error') AS failing, count(*) FILTER (WHERE last_kind = 'signup') AS pending, count(*) AS resources FROM r),
+    k AS (SELECT count(DISTINCT CAST(seen_at AS DATE)) AS runs FROM log), l AS (SELECT count(*) FILTER (WHERE kind = 'error') > 0 AS latest_failed FROM log WHERE CAST(seen_at AS DATE) = (SELECT max(CAST(seen_at AS DATE)) FROM log))
+    SELECT failing, pending, resources, runs, latest_failed, CASE WHEN failing > 0 OR latest_failed THEN 'attention' WHEN pending > 0 THEN 'running' WHEN resources > 0 THEN 'idle' ELSE 'unobserved' END AS state FROM c, k, l""")
+def overall_state(d: Domain) -> DataFrame:
+    """One row: resources that fail or wait, runs, whether the latest failed, and the state that all this comes to."""
+    r = d.events.groupBy("resource_id").agg(F.max_by("kind", F.struct("seen_at", "event_id")).alias("last_kind"))
+    c = r.agg(n_if("last_kind = 'error'").alias("failing"), n_if("last_kind = 'signup'").alias("pending"), F.count("*").alias("resources"))
+    day = d.events.groupBy(F.to_date("seen_at").alias("day")).agg(F.max(F.col("kind") == "error").alias("failed"))
+    k = day.agg(F.count("*").alias("runs"), F.coalesce(F.max_by("failed", "day"), F.lit(False)).alias("latest_failed"))
+    state = F.when((F.col("failing") > 0) | F.col("latest_failed"), "attention").when(F.col("pending") > 0, "running").when(F.col("resources") > 0, "idle").otherwise("unobserved")
+    return c.crossJoin(F.broadcast(k)).withColumn("state", state)
+
+
+@query("a07_global_having", "SELECT 'tied' AS what, count(*) AS n, max(day) AS last_day FROM singles WHERE NOT won AND NOT lost HAVING count(*) > 0 UNION ALL SELECT 'both', count(*), max(day) FROM singles WHERE won AND lost HAVING count(*) > 0")
 def global_having(d: Domain) -> DataFrame:
-    """One row in all, or none where nothing is counted."""
-    return singles(d).where("won and lost").agg(F.count("*").alias("n"), F.max("day").alias("last_day")).where("n > 0")
+    """One row in all for a condition that is met, none for one that never is."""
+    s = singles(d)
+    counted = lambda what, cond: s.where(cond).agg(F.lit(what).alias("what"), F.count("*").alias("n"), F.max("day").alias("last_day")).where("n > 0")
+    return counted("tied", "not won and not lost").unionByName(counted("both", "won and lost"))
 
 
 @query("a11_ordered_json", "SELECT league_id, CAST(to_json(list({'season_id': season_id, 'n': n} ORDER BY season_id)) AS VARCHAR) AS seasons FROM (SELECT league_id, season_id, count(*) AS n FROM fixtures GROUP BY ALL) GROUP BY league_id")
