@@ -197,8 +197,10 @@ def normalised_names(d: Domain) -> DataFrame:
 @query("a05_grouping_sets", "SELECT status, count(*) AS n, CAST(grouping(status) AS INTEGER) AS is_total FROM fixtures GROUP BY GROUPING SETS ((status), ())")
 def grouping_sets(d: Domain) -> DataFrame:
     """By status and in all, the total apart so that it is there for an empty table too."""
-    f = d.fixtures
-    return f.groupBy("status").agg(F.count("*").alias("n"), F.lit(0).alias("is_total")).unionByName(f.agg(F.count("*").alias("n")).select(F.lit(None).cast("string").alias("status"), "n", F.lit(1).alias("is_total")))
+    by = d.fixtures.groupingSets([["status"], []], "status").agg(F.count("*").alias("n"), F.grouping("status").cast("int").alias("is_total"))
+    none = d.spark.range(1).select(F.lit(None).cast("string").alias("status"), F.lit(0).cast("bigint").alias("n"), F.lit(1).alias("is_total"))
+    # sums over an empty table have no group of their own
+    return by.unionByName(none).groupBy("status", "is_total").agg(F.sum("n").alias("n"))
 
 
 @query("p11_semi_anti", "SELECT player_id, EXISTS (SELECT 1 FROM matches WHERE home_1 = player_id) AS at_home, NOT EXISTS (SELECT 1 FROM matches WHERE away_1 = player_id) AS never_away FROM players")

@@ -71,24 +71,35 @@ def latest_by_resource(d: Domain) -> DataFrame:
     return first_of_each(d.events, ["resource_id"], [F.desc("seen_at"), F.desc("event_id")]).select("resource_id", "event_id", "seen_at")
 
 
-@query("s17_incremental_rows", """WITH h AS (SELECT seen_at, event_id FROM log ORDER BY seen_at DESC, event_id DESC LIMIT 1), low AS (SELECT min(seen_at) + (max(seen_at) - min(seen_at)) / 2 AS seen_at FROM log WHERE event_id % 1000 = 0)
-    SELECT l.event_id, l.seen_at FROM log l, h WHERE l.seen_at >= TIMESTAMP '2024-01-10 00:00:00' - INTERVAL 3600 SECOND AND (l.seen_at < h.seen_at OR l.seen_at = h.seen_at AND l.event_id <= h.event_id)""")
+#: Half-way between the log's first and last moment, to the second: where the second run of an export begins.
+MIDDLE_SQL = "cut AS (SELECT make_timestamp((epoch_us(min(seen_at)) // 1000000 + epoch_us(max(seen_at)) // 1000000) // 2 * 1000000) AS cut FROM log)"
+
+
+def middle(log: DataFrame) -> DataFrame:
+    at = F.unix_seconds(F.col("seen_at").cast("timestamp"))
+    return log.agg(F.timestamp_seconds(F.floor((F.min(at) + F.max(at)) / 2)).alias("cut"))
+
+
+@query("s17_incremental_rows", f"""WITH {MIDDLE_SQL}, h AS (SELECT seen_at, event_id FROM log ORDER BY seen_at DESC, event_id DESC LIMIT 1), low AS (SELECT max(seen_at) AS seen_at FROM log, cut WHERE log.seen_at < cut)
+    SELECT l.event_id, l.seen_at FROM log l, h, low WHERE l.seen_at >= low.seen_at - INTERVAL 3600 SECOND AND (l.seen_at < h.seen_at OR l.seen_at = h.seen_at AND l.event_id <= h.event_id)""")
 def incremental_rows(d: Domain) -> DataFrame:
-    """Rows since a watermark with an hour's overlap, up to the high watermark."""
+    """What a second run reads, the first having read the first half of the time: rows from an hour before its watermark up to the present one."""
     e = d.events.select("event_id", "seen_at")
     h = high_watermark(e, "seen_at", "event_id").select(F.col("seen_at").alias("h_at"), F.col("event_id").alias("h_id"))
-    return changed_since(e.crossJoin(F.broadcast(h)), "seen_at", "event_id", F.lit("2024-01-10 00:00:00").cast("timestamp"), F.col("h_at"), F.col("h_id")).select("event_id", "seen_at")
+    early = e.crossJoin(F.broadcast(middle(e))).where(F.col("seen_at") < F.col("cut"))
+    low = high_watermark(early, "seen_at", "event_id").select(F.col("seen_at").alias("low_at"))
+    return changed_since(e.crossJoin(F.broadcast(h)).crossJoin(F.broadcast(low)), "seen_at", "event_id", F.col("low_at"), F.col("h_at"), F.col("h_id")).select("event_id", "seen_at")
 
 
 @query("q105_incremental_merge", """WITH s AS (SELECT *, row_number() OVER (PARTITION BY resource_id, kind ORDER BY seen_at DESC, event_id DESC) AS n FROM log) SELECT resource_id, kind, event_id, seen_at, value FROM s WHERE n = 1""")
 def incremental_merge(d: Domain) -> DataFrame:
-    """Target and stage by key, the latest watermark winning: first half of the log as target, the rest as stage."""
+    """Target and stage by key, the latest watermark winning: the log's first half as target, the rest as stage (`s17_two_runs` is the run over a stored table)."""
     from ..operators.merge import latest_wins
 
     e = d.events.select("resource_id", "kind", "seen_at", "event_id", "value")
     order = [F.desc("seen_at"), F.desc("event_id")]
-    cut = F.lit("2024-01-10 00:00:00").cast("timestamp")
-    old, new = (first_of_each(x, ["resource_id", "kind"], order) for x in (e.where(F.col("seen_at") < cut), e.where(F.col("seen_at") >= cut)))
+    halves = e.crossJoin(F.broadcast(middle(e)))
+    old, new = (first_of_each(halves.where(c).drop("cut"), ["resource_id", "kind"], order) for c in (F.col("seen_at") < F.col("cut"), F.col("seen_at") >= F.col("cut")))
     return latest_wins(old, new, ["resource_id", "kind"]).select("resource_id", "kind", "event_id", "seen_at", "value")
 
 

@@ -196,6 +196,15 @@ def test_a_crash_while_writing_loses_nothing(spark, tmp_path):
         streams.merged_table(spark, out)
 
 
+def test_words_for_comparison(spark):
+    said = {  # fixed values: what the rules make of names
+        "Men's U 15 - Cup 2024": "men s u 15 cup", "Under 15 and under9s Under12": "u15 and under9s u12", "under-15": "under 15", "2 STARS 3-star 4star 12 star 5 - star": "2 star 3 star 4 star 12 star 5 star",
+        "1* Open, 2*Cup *x": "1 star open 2 starcup x", "Open Championships 1999 2100 _2001_": "open championship 2100 2001", "Élan Über": "e lan u ber", "under 2024 7": "u7", "": "", " * ": "", "2 stars 3 stars": "2 star 3 star",
+    }
+    df = spark.createDataFrame([(k,) for k in [*said, None]], "x string").select("x", text.plain_words(F.col("x")).alias("w"))
+    assert {r["x"]: r["w"] for r in df.collect()} == {**said, None: None}
+
+
 def test_event_names_and_decisions_as_in_the_rules(spark):
     """Words that tell events apart stay, generic ones go; marks and years fold; second candidates make a review only when they could be meant."""
     from rallyframe.plans.matching import match_events, match_events_by_meaning
