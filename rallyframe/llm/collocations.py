@@ -10,8 +10,9 @@ salts.  Counts of parts are joined to the candidates afterwards.
 
 A suffix is also cut where a pair of neighbouring words cannot be frequent: pairs are
 first counted in hashed slots, and a slot's count is never less than that of any of its pairs, so a phrase that reaches min_count is never cut.  The slots grow
-with the input up to MOST_SLOTS, which is 2**30 bits, 128 MB, to every task; on inputs far
-beyond 100 GB full slots cut less and more suffixes travel, with the same result.
+with the input up to MOST_SLOTS, which is 2**30 bits, 128 MB, to every task.  Beyond some 17 GB of text
+the slots fill up and cut less and less, until all suffixes travel, some three times as many as are sent
+with empty slots; the result is the same.
 
 Defined cases: a null text has no words, a null language is `und`; texts with one doc_id
 are texts of their own; a piece is what stands between two characters of PIECE_ENDS and
