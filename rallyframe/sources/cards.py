@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from .pages import Mark, elements
 from .staging import written
 
+#: Links, words, tags and class names of the pages.
 PLAYER = "/results/player/statistics/"
 FORFEIT = "(?i)forfeit"
 MARKS = {

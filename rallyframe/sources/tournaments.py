@@ -19,6 +19,7 @@ from .cards import last_part
 from .pages import Mark, elements
 from .staging import written
 
+#: Tags, class names and links of the pages.
 MARKS = {
     "draw": Mark("section", "draw"), "round": Mark("section", "round"), "match": Mark(cls="match--list"), "side": Mark(cls="match__row"),
     "draw_link": Mark("a", href="/draw/"), "round_name": Mark(cls="round__name"), "player": Mark("a", href="/player/"), "points": Mark(cls="points__cell"),

@@ -51,7 +51,7 @@ class Watermark:
 
 @dataclass(frozen=True)
 class TableSpec:
-    """columns: a DDL string, with NOT NULL where nulls are refused."""
+    """columns: a DDL string, with NOT NULL where nulls are refused.  file_rows: the most rows of one file, so that no write is unbounded."""
 
     name: str
     columns: str
@@ -61,6 +61,7 @@ class TableSpec:
     partition: str | None = None
     grain: str = "MONTH"
     cluster: tuple[str, ...] = ()
+    file_rows: int = 5_000_000
 
     @property
     def schema(self) -> T.StructType:
@@ -97,6 +98,8 @@ def violations(specs: Sequence[TableSpec]) -> list[tuple[str, str | None, str]]:
             say(s.partition, "partition column is no date or timestamp")
         if s.grain not in GRAINS:
             say(s.partition, f"unknown grain {s.grain}")
+        if s.file_rows < 1:
+            say(None, "files without rows")
         if s.mode == "incremental-merge" and not s.watermark:
             say(None, "incremental without a watermark")
         if s.watermark:
@@ -145,7 +148,7 @@ def _write(spec: TableSpec, rows: DataFrame, path: str, **options: str) -> None:
     """rows with their part, one set of files a part, in cluster order.  A part that is large is dealt over files by key, not one task."""
     dealt = rows.hint("rebalance", "part")
     order = ["part", *spec.cluster, *(k for k in spec.keys if k not in spec.cluster)]
-    dealt.sortWithinPartitions(*order).write.partitionBy("part").mode("overwrite").options(**options).parquet(path)
+    dealt.sortWithinPartitions(*order).write.partitionBy("part").mode("overwrite").options(maxRecordsPerFile=spec.file_rows, **options).parquet(path)
 
 
 def _stored(spec: TableSpec, spark: SparkSession, path: str) -> DataFrame:

@@ -40,6 +40,7 @@ def held(spec, spark, target):
     [
         ({"name": "Log"}, None, "unsafe table name"),
         ({"mode": "sometimes"}, None, "unknown mode"),
+        ({"file_rows": 0}, None, "files without rows"),
         ({"keys": ()}, None, "no key"),
         ({"keys": ("nokey",)}, "nokey", "key is not a column"),
         ({"cluster": ("gone",)}, "gone", "cluster column is not a column"),
@@ -56,7 +57,7 @@ def held(spec, spark, target):
         ({"columns": "key long, at timestamp, id long, value string, extra array<int>"}, "extra", "unsupported type"),
     ],
 )
-def test_each_violation_names_its_column(change, column, what):
+def test_each_violation_names_its_column(spark, change, column, what):
     found = violations([replace(LOG, **change)])
     assert any(c == column and what in w for _, c, w in found)
     with pytest.raises(ValueError, match=column or LOG.name if "name" not in change else "Log"):
@@ -148,3 +149,12 @@ def test_joins_and_groupings_by_bucket_need_no_exchange(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Exchange" not in plan.split("Initial Plan")[0]
     assert rows == {(k, sum(v for v in range(300) if v % 40 == k), 2 * k) for k in range(40)}
+
+
+def test_files_are_bounded_and_in_cluster_order(spark, tmp_path):
+    spec = replace(LOG, mode="full-replace", watermark=None, file_rows=7)
+    rows = [(i, START + timedelta(days=i), i, "cab"[i % 3]) for i in range(60)]
+    replaced(spec, df_of(spark, rows), f"{tmp_path}/t")
+    files = list((tmp_path / "t/v000000000").glob("part=*/*.parquet"))
+    each = [[r["value"] for r in spark.read.parquet(str(f)).collect()] for f in files]
+    assert sum(map(len, each)) == 60 and max(map(len, each)) == 7 and all(v == sorted(v) for v in each)
