@@ -9,7 +9,7 @@ from ..sources.adapter import Domain
 
 
 def classified(d: Domain) -> DataFrame:
-    """Live rubbers: rubber_id, fixture, competition_id, league_id, effective_day, players, games, status, reason."""
+    """Live rubbers: rubber_id, fixture, competition_id, league_id, effective_day, players, games, status, updated_on, reason."""
     f = d.fixtures.select("fixture_id", "competition_id", "league_id", "season_id", "status", F.when(~F.col("deleted"), F.col("date_played")).alias("date_played"))
     r = d.rubbers.where(~F.col("deleted")).drop("deleted").join(f, "fixture_id", "left")
     ids = d.identity
@@ -32,7 +32,7 @@ def classified(d: Domain) -> DataFrame:
         .when(~F.col("status").eqNullSafe("completed"), "fixture_not_completed")
         .otherwise("eligible")
     )
-    return r.select("rubber_id", "fixture_id", "competition_id", "league_id", "season_id", day.alias("effective_day"), "date_played", "played_on", "home_player", "away_player", "home_games", "away_games", "is_doubles", "outcome", "status", reason.alias("reason"))
+    return r.select("rubber_id", "fixture_id", "competition_id", "league_id", "season_id", day.alias("effective_day"), "date_played", "played_on", "home_player", "away_player", "home_games", "away_games", "is_doubles", "outcome", "status", "updated_on", reason.alias("reason"))
 
 
 CLASSIFIED_SQL = """classified AS (
