@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import cosine, date_score, dice, event_name, plain_words
+from ..functions.text import cosine, date_score, event_name, plain_words
 from ..sources.adapter import Domain
+from ..sources.staging import written
 from .catalog import query
 from .players import n_if
 
@@ -27,11 +30,43 @@ def _parts(d: Domain) -> DataFrame:
     return d.table("part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", F.lower("p_type")).alias("name"), F.col("p_brand").alias("venue"), F.col("p_type").alias("category"), day.alias("start_day"), F.expr("date_add(date_add(date'2024-01-01', p_size), cast(p_partkey % 3 as int))").alias("end_day"))
 
 
+def _forms(texts: DataFrame, column: str, form) -> DataFrame:
+    """Each different text of a column with its words for comparison, sorted: texts repeat, and a form costs far more than a join."""
+    raw = texts.select(F.coalesce(column, F.lit("")).alias("_raw")).distinct()
+    return raw.select("_raw", F.sort_array(F.array_distinct(F.filter(F.split(form(F.col("_raw")), " "), lambda w: w != ""))).alias("_set"))
+
+
 def _sided(x: DataFrame, p: str) -> DataFrame:
-    """Columns by side, with compared forms of name, venue and category."""
-    words = [event_name(F.col("name")).alias("words"), plain_words(F.coalesce("venue", F.lit(""))).alias("place"), event_name(F.coalesce("category", F.lit(""))).alias("kind")]
-    y = x.select("*", *words).withColumn("end_day", F.coalesce("end_day", "start_day"))
-    return y.select(*(F.col(c).alias(f"{p}_{c}") for c in y.columns))
+    """Columns by side, with the compared words of name, venue and category as sets; written, as several joins read them."""
+    for column, name, form in (("name", "words", event_name), ("venue", "place", plain_words), ("category", "kind", event_name)):
+        x = x.withColumn("_raw", F.coalesce(column, F.lit(""))).join(_forms(x, column, form).withColumnRenamed("_set", name), "_raw").drop("_raw")
+    y = x.withColumn("end_day", F.coalesce("end_day", "start_day"))
+    return written(y.select(*(F.col(c).alias(f"{p}_{c}") for c in y.columns)))
+
+
+def _overlap(a: str, b: str) -> Column:
+    """Token Dice of two sets; 0 where one is empty."""
+    x, y = F.col(a), F.col(b)
+    return F.when((F.size(x) > 0) & (F.size(y) > 0), 2.0 * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y))).otherwise(0.0)
+
+
+def similar_names(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(r_words, c_words, name_score) of the pairs of different sets whose Dice is at least `least`, which is above 0.
+
+    Two such sets of m and n words share at least m * least / (2 - least) words, so they share one of
+    the first m - that + 1 when words are taken from the rarest on: only those make
+    candidates, and frequent words hardly ever do.
+    """
+    sets = [side.select(F.col(f"{p}_words").alias("s")).distinct().where(F.size("s") > 0) for side, p in ((left, "r"), (right, "c"))]
+    count = sets[0].unionByName(sets[1]).select(F.explode("s").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+    def rarest(x: DataFrame, name: str) -> DataFrame:
+        words = x.select("s", F.explode("s").alias("word")).join(count, "word").groupBy("s").agg(F.sort_array(F.collect_list(F.struct("n", "word"))).alias("w"))
+        shared = F.ceil(F.size("w") * (least / (2 - least)) - 1e-9)
+        return words.select(F.col("s").alias(name), F.explode(F.slice("w", F.lit(1), (F.size("w") - shared + 1).cast("int"))["word"]).alias("word"))
+
+    met = rarest(sets[0], "r_words").join(rarest(sets[1], "c_words"), "word").select("r_words", "c_words").distinct()
+    return met.withColumn("name_score", _overlap("r_words", "c_words")).where(F.col("name_score") >= least)
 
 
 def _near(results: DataFrame, calendar: DataFrame, keys: list[str]) -> DataFrame:
@@ -65,31 +100,83 @@ def match_events(calendar: DataFrame, results: DataFrame) -> DataFrame:
     """Each result with its best calendar event, the decision (automatic, review or none) and its reason.
 
     A total that is not "none" needs a name score of at least (REVIEW - DATE - VENUE - CATEGORY) / NAME,
-    so pairs of different names are scored first, over their words, and only events with names
-    that can be meant are joined, by name and days.
+    so pairs of different names are scored first, over their rarest words, and only events with names
+    that can be meant are joined, by name and days.  Of those, venue and category are compared where
+    name and days leave a total of REVIEW in reach.  Ids are unique in either table.
     """
     r, c = _sided(results, "r"), _sided(calendar, "c")
-    words = lambda x, p: x.select(f"{p}_words").distinct().withColumn(f"{p}_set", F.array_distinct(F.split(f"{p}_words", " ")))
-    each = lambda x, p: x.select(f"{p}_words", F.size(f"{p}_set").alias(f"{p}_n"), F.explode(f"{p}_set").alias("word")).where("word <> ''")
-    common = each(words(r, "r"), "r").join(each(words(c, "c"), "c"), "word").groupBy("r_words", "c_words", "r_n", "c_n").agg(F.count("*").alias("common"))
-    least = (REVIEW - DATE - VENUE - CATEGORY) / NAME - 1e-9
-    names = common.select("r_words", "c_words", (2.0 * F.col("common") / (F.col("r_n") + F.col("c_n"))).alias("name_score")).where(F.col("name_score") >= least)
-    near = _near(r.join(names, "r_words"), c, ["c_words"])
+    names = written(similar_names(r, c, (REVIEW - DATE - VENUE - CATEGORY) / NAME - 1e-9))
     days = date_score(F.col("r_start_day"), F.col("r_end_day"), F.col("c_start_day"), F.col("c_end_day"))
-    score = F.round(F.col("name_score") * NAME + days * DATE + dice(F.col("r_place"), F.col("c_place")) * VENUE + dice(F.col("r_kind"), F.col("c_kind")) * CATEGORY, 4)
-    best = _choice(near.select(F.col("r_id").alias("result_id"), F.col("c_id").alias("calendar_id"), score.alias("score")), REVIEW)
-    return _decided(results, best.withColumn("decision", F.when(F.col("score") >= AUTO, "automatic").when(F.col("score") >= REVIEW, "review").otherwise("none")))
+    near = _near(r.join(names, "r_words"), c, ["c_words"]).withColumn("sure", F.col("name_score") * NAME + days * DATE).where(F.col("sure") >= REVIEW - VENUE - CATEGORY - 1e-4)
+    score = F.round(F.col("sure") + _overlap("r_place", "c_place") * VENUE + _overlap("r_kind", "c_kind") * CATEGORY, 4)
+    best = _choice(near.select(F.col("r_id").alias("result_id"), F.col("c_id").alias("calendar_id"), score.alias("score")).where(F.col("score") >= REVIEW), REVIEW)
+    return _decided(results, best.withColumn("decision", F.when(F.col("score") >= AUTO, "automatic").otherwise("review")))
+
+
+#: Rows of a side that are compared with as many of the other in one task.
+BLOCK = 2048
+#: No pair below this total is decided on, nor can it stand before one that is.
+LEAST_TOTAL = min(SEMANTIC_REVIEW, (SEMANTIC_AUTO * SEMANTIC_SHARE + SEMANTIC_NAME * (1 - SEMANTIC_SHARE)) * HYBRID_NAME + SEMANTIC_DATE * HYBRID_DATE)
+
+
+def least_semantic() -> float:
+    """The semantic score that a total of LEAST_TOTAL needs where all else is 1, whichever of venue and category both sides have."""
+    totals = [HYBRID_NAME + HYBRID_DATE + kind + place for kind in (0.0, HYBRID_CATEGORY) for place in (0.0, HYBRID_VENUE)]
+    return min((LEAST_TOTAL * t - (t - HYBRID_NAME) - HYBRID_NAME * (1 - SEMANTIC_SHARE)) / (HYBRID_NAME * SEMANTIC_SHARE) for t in totals) - 1e-3
+
+
+def _unit(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows of length 1; those without a direction, or with a number that isn't finite, are zeros."""
+    flat = vectors.combine_chunks()
+    x = np.asarray(flat.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)).reshape(len(flat), -1)
+    length = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    ok = np.isfinite(length) & (length > 0)
+    return np.where(ok, np.nan_to_num(x) / np.where(ok, length, 1.0), 0.0)
+
+
+def close_pairs(results: DataFrame, calendar: DataFrame, least: float) -> DataFrame:
+    """(r_id, c_id) of pairs at most WINDOW days apart whose vectors' cosine is at least `least`.
+
+    Each bucket of days is cut into blocks of some BLOCK rows a side; a task multiplies two blocks and hands on
+    what reaches the bound.  So no task grows with a bucket, and pairs below the bound are never rows.
+    """
+    size = "size({0}) > 0 and not exists({0}, x -> x is null)"
+    r, c = (x.where(size.format(f"{p}_vector")) for x, p in ((results, "r"), (calendar, "c")))
+    bucket = lambda day, add: F.floor((F.datediff(day, F.lit("2000-01-01")) + add) / WINDOW)
+    row = lambda p, first, last: (f"{p}_id", F.size(f"{p}_vector").alias("dim"), F.datediff(f"{p}_start_day", F.lit("2000-01-01")).alias(f"{p}_from"), F.datediff(f"{p}_end_day", F.lit("2000-01-01")).alias(f"{p}_to"), F.col(f"{p}_vector").cast("array<double>").alias(f"{p}_vector"), F.explode(F.sequence(first, last)).alias("bucket"))
+    r = r.select(*row("r", bucket("r_start_day", -WINDOW), bucket("r_end_day", WINDOW)))
+    c = c.select(*row("c", bucket("c_start_day", 0), bucket("c_end_day", 0)))
+    blocks = lambda x, name: x.groupBy("bucket", "dim").agg(F.ceil(F.count("*") / BLOCK).alias(name))
+    each = written(blocks(r, "r_blocks").join(blocks(c, "c_blocks"), ["bucket", "dim"]))  # a row a week and length of vectors
+    deal = lambda x, p, other: x.join(each, ["bucket", "dim"]).withColumns({f"{p}_block": F.pmod(F.xxhash64(f"{p}_id"), F.col(f"{p}_blocks")), f"{other}_block": F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"{other}_blocks") - 1))}).drop("r_blocks", "c_blocks")
+    keys = ["bucket", "dim", "r_block", "c_block"]
+
+    def near(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not len(a) or not len(b):
+            return pa.table({"r_id": pa.array([], pa.int64()), "c_id": pa.array([], pa.int64())})
+        close = _unit(a["r_vector"]) @ _unit(b["c_vector"]).T >= least
+        day = lambda t, name: t[name].to_numpy()
+        start, first = day(a, "r_from")[:, None], day(b, "c_from")[None, :]
+        close &= np.maximum(first - day(a, "r_to")[:, None], start - day(b, "c_to")[None, :]) <= WINDOW
+        # of several buckets that a pair shares, the first one counts
+        close &= np.maximum((start - WINDOW) // WINDOW, first // WINDOW) == a["bucket"][0].as_py()
+        at, of = np.nonzero(close)
+        return pa.table({"r_id": a["r_id"].take(pa.array(at)).cast(pa.int64()), "c_id": b["c_id"].take(pa.array(of)).cast(pa.int64())})
+
+    return deal(r, "r", "c").groupBy(*keys).cogroup(deal(c, "c", "r").groupBy(*keys)).applyInArrow(near, "r_id long, c_id long")
 
 
 def match_events_by_meaning(calendar: DataFrame, results: DataFrame) -> DataFrame:
     """The same over a hybrid of name words and embeddings (column vector on both sides), dates, category and venue where both have them.
 
-    Every decision but none needs dates within WINDOW days, so only such pairs are compared.
+    Every decision but none needs dates within WINDOW days and a total of LEAST_TOTAL, which needs vectors
+    as close as `least_semantic`: `close_pairs` finds those, and only they are scored.  Ids (whole numbers) are unique in either table.
     """
-    both = _near(_sided(results, "r"), _sided(calendar, "c"), [])
+    r, c = _sided(results, "r"), _sided(calendar, "c")
+    both = close_pairs(r, c, least_semantic()).join(r, "r_id").join(c, "c_id")
     semantic = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine(F.col("r_vector"), F.col("c_vector"))))
-    name, days = dice(F.col("r_words"), F.col("c_words")), date_score(F.col("r_start_day"), F.col("r_end_day"), F.col("c_start_day"), F.col("c_end_day"))
-    s = both.where("r_vector is not null and c_vector is not null").select(F.col("r_id").alias("result_id"), F.col("c_id").alias("calendar_id"), semantic.alias("semantic"), F.round(name, 4).alias("name"), days.alias("days"), F.round(dice(F.col("r_place"), F.col("c_place")), 4).alias("venue"), F.round(dice(F.col("r_kind"), F.col("c_kind")), 4).alias("category"), ((F.trim("r_category") != "") & (F.trim("c_category") != "")).alias("kinds"), ((F.trim("r_venue") != "") & (F.trim("c_venue") != "")).alias("places"))
+    name, days = _overlap("r_words", "c_words"), date_score(F.col("r_start_day"), F.col("r_end_day"), F.col("c_start_day"), F.col("c_end_day"))
+    s = both.select(F.col("r_id").alias("result_id"), F.col("c_id").alias("calendar_id"), semantic.alias("semantic"), F.round(name, 4).alias("name"), days.alias("days"), F.round(_overlap("r_place", "c_place"), 4).alias("venue"), F.round(_overlap("r_kind", "c_kind"), 4).alias("category"), ((F.trim("r_category") != "") & (F.trim("c_category") != "")).alias("kinds"), ((F.trim("r_venue") != "") & (F.trim("c_venue") != "")).alias("places"))
     part = lambda ok, weight, score: (F.when(ok, F.col(score) * weight).otherwise(0.0), F.when(ok, F.lit(weight)).otherwise(0.0))
     kinds, places = part(F.col("kinds"), HYBRID_CATEGORY, "category"), part(F.col("places"), HYBRID_VENUE, "venue")
     total = (F.col("semantic") * SEMANTIC_SHARE + F.col("name") * (1 - SEMANTIC_SHARE)) * HYBRID_NAME + F.col("days") * HYBRID_DATE + kinds[0] + places[0]
