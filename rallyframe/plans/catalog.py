@@ -11,7 +11,7 @@ from ..sources.adapter import DOMAIN_SQL, Domain
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("players", "rivalry", "leagues", "ratings", "audit", "identity", "operations", "matching", "details", "warehouse", "pages", "insights", "texts", "quality")
+MODULES = ("players", "rivalry", "leagues", "ratings", "audit", "identity", "operations", "matching", "details", "warehouse", "pages", "insights", "texts", "quality", "records")
 
 
 def query(name: str, sql: str | None = None, domain: bool = True):

@@ -8,7 +8,7 @@ from rallyframe.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="shared tables are not here")
-SOME = ["q03_leaders_combined", "q07_profile", "q12_current_streak", "q17_match_list", "q22_rivals", "q25_rating_twelve_weeks", "q38_standings", "q48_classification", "q56_current_rankings", "q67_player_coverage", "q85_flatten_chains", "q89_graph_edges", "q94_event_matching", "q103_retention", "q105_incremental_merge", "s13_upsert", "q14_insight_rivals", "q18_matches_by_team", "q47_event_results", "q54_input_fingerprint", "q61_league_ranking", "q74_issue_lifecycle", "q81_source_snapshot", "q95_embedding_matching", "a11_ordered_json", "f13_months", "s09_turned_away", "s12_event_fixtures", "s16_full_replace", "s17_two_runs", "s21_pruned_months", "s22_manifest_checks", "u15_event_status", "q13_peaks", "q16_milestones", "w13_momentum", "q77_ranking_quality", "q99_overall_state", "t05_exact_page", "q74_issue_refresh", "q75_issue_list", "q76_sources", "q76_competitions", "q78_identity_health", "q78_network_health"]
+SOME = ["q03_leaders_combined", "q07_profile", "q12_current_streak", "q17_match_list", "q22_rivals", "q25_rating_twelve_weeks", "q38_standings", "q48_classification", "q56_current_rankings", "q67_player_coverage", "q85_flatten_chains", "q89_graph_edges", "q94_event_matching", "q103_retention", "q105_incremental_merge", "s13_upsert", "q14_insight_rivals", "q18_matches_by_team", "q47_event_results", "q54_input_fingerprint", "q61_league_ranking", "q74_issue_lifecycle", "q81_source_snapshot", "q95_embedding_matching", "a11_ordered_json", "f13_months", "s09_turned_away", "s12_event_fixtures", "s16_full_replace", "s17_two_runs", "s21_pruned_months", "s22_manifest_checks", "u15_event_status", "q13_peaks", "q16_milestones", "w13_momentum", "q77_ranking_quality", "q99_overall_state", "t05_exact_page", "q74_issue_refresh", "q75_issue_list", "q76_sources", "q76_competitions", "q78_identity_health", "q78_network_health", "q17_matches_league", "q27_evidence", "q36_season_history", "q97_queue_tasks"]
 
 
 @needs_data
