@@ -14,6 +14,7 @@ from .catalog import query
 from .details import PERCENT_SQL
 from .leagues import RESULTS_SQL, standings
 from .ratings import eligible
+from .rivalry import COMMON_SQL, HISTORY_SQL, common_opponents, weekly
 
 #: The division whose competitions stand for tournaments; the others are leagues'.
 TOURNAMENTS = 5
@@ -198,3 +199,69 @@ def queue_jobs(d: Domain) -> DataFrame:
     error = F.nullif(F.left(F.coalesce("last_error", F.lit("")), F.lit(500)), F.lit(""))
     page = s.orderBy(place, F.desc("updated_at"), "job_id").limit(50)
     return page.select("job_id", "task", "state", F.col("attempts").cast("bigint").alias("attempts"), F.col("max_attempts").cast("bigint").alias("max_attempts"), "created_at", "updated_at", "run_at", error.alias("last_error"))
+
+
+# Where a source shows a competition's table and a fixture's card; kinds of sources without such pages give no address.
+ADDRESSES = {
+    ("api", "competition"): "{base}/api/divisions/{competition}/standings",
+    ("api", "fixture"): "{base}/api/matches/{fixture}/sets",
+    ("site", "competition"): "{base}/{league}/Tables/{season}/{competition}",
+    ("site", "fixture"): "{base}/{league}/Results/MatchCard/{season}/{fixture}",
+}
+
+
+def source_address(kind: Column, page: str, **parts: Column) -> Column:
+    """A page's address at its source: the template of the source's kind with its parts filled in; null for other kinds and where a part is missing."""
+    out = F.lit(None).cast("string")
+    for (k, p), template in ADDRESSES.items():
+        if p == page:
+            pieces = [parts[x[1:]].cast("string") if x.startswith("{") else F.lit(x) for x in template.replace("{", "\0{").replace("}", "\0").split("\0") if x]
+            out = F.when(kind == k, F.concat(*pieces)).otherwise(out)
+    return out
+
+
+_SITE_SQL = "'https://s' || league_id || '.example'"
+
+
+@query("f19_source_addresses", f"""WITH p AS (SELECT *, CASE league_id % 3 WHEN 0 THEN 'api' WHEN 1 THEN 'site' END AS kind, {_SITE_SQL} AS base FROM fixtures WHERE NOT deleted)
+    SELECT fixture_id, CASE kind WHEN 'api' THEN base || '/api/divisions/' || competition_id || '/standings' WHEN 'site' THEN base || '/' || league_id || '/Tables/' || season_id || '/' || competition_id END AS competition_url, CASE kind WHEN 'api' THEN base || '/api/matches/' || fixture_id || '/sets' WHEN 'site' THEN base || '/' || league_id || '/Results/MatchCard/' || season_id || '/' || fixture_id END AS fixture_url FROM p""")
+def source_addresses(d: Domain) -> DataFrame:
+    """Where each fixture and its competition can be seen: leagues' sources are of two kinds by turns, or of one without pages."""
+    league = F.col("league_id")
+    kind = F.when(league % 3 == 0, "api").when(league % 3 == 1, "site")
+    parts = {"base": F.concat(F.lit("https://s"), league.cast("string"), F.lit(".example")), "league": league, "season": F.col("season_id"), "competition": F.col("competition_id"), "fixture": F.col("fixture_id")}
+    return d.fixtures.where("not deleted").select("fixture_id", source_address(kind, "competition", **parts).alias("competition_url"), source_address(kind, "fixture", **parts).alias("fixture_url"))
+
+
+# How much both must have played, against how many, for more than a low confidence.
+HIGH_SAMPLE, HIGH_SHARED, MEDIUM_SAMPLE = 30, 5, 14
+
+
+def shared_confidence(sample: Column, shared: Column) -> Column:
+    return F.when((sample >= HIGH_SAMPLE) & (shared >= HIGH_SHARED), "high").when(sample >= MEDIUM_SAMPLE, "medium").otherwise("low")
+
+
+@query("u10_shared_confidence", COMMON_SQL + f", s AS (SELECT count(*) AS shared, CAST(coalesce(sum(least(played_1, played_2)), 0) AS BIGINT) AS sample FROM c) SELECT shared, sample, CASE WHEN sample >= {HIGH_SAMPLE} AND shared >= {HIGH_SHARED} THEN 'high' WHEN sample >= {MEDIUM_SAMPLE} THEN 'medium' ELSE 'low' END AS confidence FROM s")
+def common_confidence(d: Domain) -> DataFrame:
+    """How far the common opponents of the two busiest players can be trusted."""
+    s = common_opponents(d).agg(F.count("*").alias("shared"), F.coalesce(F.sum(F.least("played_1", "played_2")), F.lit(0)).alias("sample"))
+    return s.withColumn("confidence", shared_confidence(F.col("sample"), F.col("shared")))
+
+
+@query("q28_leaders_version", "SELECT greatest((SELECT max(updated_on) FROM rubbers WHERE NOT deleted), (SELECT max(created_on) FROM fixtures WHERE NOT deleted)) AS data_version")
+def leaders_version(d: Domain) -> DataFrame:
+    """The latest change in any table that the leader boards depend on; a table without rows doesn't count."""
+    tables = ((d.rubbers, "updated_on"), (d.fixtures, "created_on"))
+    rows = [t.where("not deleted").agg(F.max(c).alias("v")) for t, c in tables]
+    return rows[0].unionByName(rows[1]).agg(F.max("v").alias("data_version"))
+
+
+@query("q28_pair_version", f"""WITH {HISTORY_SQL}, p AS (SELECT player_id FROM focus WHERE k <= 2), r AS (SELECT max(greatest(updated_on, created_on)) AS rubbers_at, count(DISTINCT opponent_id) AS opponents FROM singles JOIN p USING (player_id)), h AS (SELECT max(week) AS history_at FROM hist JOIN p USING (player_id))
+    SELECT rubbers_at, history_at, opponents, greatest(rubbers_at, history_at) AS data_version FROM r, h""")
+def pair_version(d: Domain) -> DataFrame:
+    """The latest change in all that a comparison of the two busiest players depends on: their matches with the fixtures, and their rating history."""
+    two = F.broadcast(focus(d).select("player_id"))
+    s = singles(d).join(two, "player_id", "left_semi")
+    r = s.agg(F.max(F.greatest("updated_on", "created_on")).alias("rubbers_at"), F.countDistinct("opponent_id").alias("opponents"))
+    h = weekly(s).agg(F.max("week").alias("history_at"))
+    return r.crossJoin(F.broadcast(h)).withColumn("data_version", F.greatest("rubbers_at", "history_at"))

@@ -53,3 +53,20 @@ def test_states_of_jobs(spark):
 def test_sources_of_a_list():
     with pytest.raises(ValueError):
         matches_of(None, None, "friendly")
+
+
+def test_addresses_of_sources(spark):
+    from pyspark.sql import functions as F
+
+    from rallyframe.plans.records import shared_confidence, source_address
+
+    rows = spark.createDataFrame([("api", 7), ("site", 7), ("other", 7), (None, 7), ("site", None)], "kind string, fixture long")
+    parts = {"base": F.lit("https://a.example"), "league": F.lit("north"), "season": F.lit(3), "competition": F.lit(4), "fixture": F.col("fixture")}
+    got = rows.select(source_address(F.col("kind"), "competition", **parts).alias("c"), source_address(F.col("kind"), "fixture", **parts).alias("f")).collect()
+    assert [tuple(r) for r in got] == [
+        ("https://a.example/api/divisions/4/standings", "https://a.example/api/matches/7/sets"),
+        ("https://a.example/north/Tables/3/4", "https://a.example/north/Results/MatchCard/3/7"),
+        (None, None), (None, None), ("https://a.example/north/Tables/3/4", None),
+    ]
+    samples = spark.createDataFrame([(30, 5, "high"), (30, 4, "medium"), (29, 9, "medium"), (14, 0, "medium"), (13, 9, "low")], "n long, m long, want string")
+    assert samples.where(shared_confidence(F.col("n"), F.col("m")) != F.col("want")).count() == 0
