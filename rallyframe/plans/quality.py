@@ -13,7 +13,7 @@ from ..operators.classify import CLASSIFIED_SQL, classified
 from ..operators.paging import exact_page
 from ..operators.rating_fold import latest, rating_periods
 from ..sources.adapter import Domain
-from ..sources.staging import written
+from ..sources.staging import dropped, written
 from .audit import BAD_DAY
 from .catalog import query
 from .players import n_if
@@ -24,14 +24,18 @@ FIRST_DAY, LAST_DAY, WINDOW_MONTHS = date(1992, 6, 1), date(2001, 6, 1), 36
 
 
 def run_dates(d: Domain, runs: int) -> list[date]:
-    """The last day of the data, and the same day of the years before it, oldest first."""
+    """The last day of the data, and the same day of the years before it, oldest first; none where there are no rubbers."""
     ends = [F.add_months(F.max("updated_on"), -12 * i).alias(f"d{i}") for i in reversed(range(runs))]
     return [x for x in d.rubbers.where("not deleted").agg(*ends).first() if x is not None]
 
 
-def findings(d: Domain, at: date) -> DataFrame:
+def known(d: Domain, at: date) -> DataFrame:
+    """The classified rubbers as known at a date, written, as an audit reads them several times."""
+    return written(classified(d).where(F.col("updated_on") <= F.lit(at)))
+
+
+def findings(d: Domain, c: DataFrame, at: date) -> DataFrame:
     """All that an audit at a date finds in the rubbers known by then; ratings are those of the calculation up to the month before."""
-    c = written(classified(d).where(F.col("updated_on") <= F.lit(at)))
     players = d.players.where("not deleted and coalesce(canonical_id, player_id) = player_id")
     rated = c.where("reason = 'eligible'").where(F.col("effective_day") < F.date_trunc("month", F.lit(at)))
     rated = issues.player_sides(rated).groupBy("player_id").agg(F.count("*").alias("rated_matches"))
@@ -78,9 +82,14 @@ def _runs_sql(runs: int) -> str:
     FROM span s JOIN found f ON f.issue_type = s.issue_type AND f.entity_type = s.entity_type AND f.entity_id = s.entity_id AND f.run_at = s.last_seen""")
 def issue_refresh(d: Domain) -> DataFrame:
     """Three audits a year apart into one table: what is open, since when, and what went away at which of them."""
-    stored = d.spark.createDataFrame([], issues.STORED)
+    stored, last = d.spark.createDataFrame([], issues.STORED), None
     for at in run_dates(d, 3):
-        stored = written(issues.refreshed(stored, findings(d, at), at))
+        c = known(d, at)
+        stored = written(issues.refreshed(stored, findings(d, c, at), at))
+        for old in (c, last):
+            if old is not None:
+                dropped(old)
+        last = stored
     return stored
 
 
@@ -91,7 +100,8 @@ def coverage_issues(d: Domain) -> DataFrame:
 
 
 def _open(d: Domain) -> DataFrame:
-    return findings(d, run_dates(d, 1)[-1])
+    at = (run_dates(d, 1) or [LAST_DAY])[-1]
+    return findings(d, known(d, at), at)
 
 
 LEVEL_SQL = "CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END"
