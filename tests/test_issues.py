@@ -117,3 +117,20 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "player_id long, rated_matches long")
     assert issues.player_findings(c, issues.player_coverage(c, none, none, DAY(2024, 1, 1))).count() == 0
     assert issues.duplicate_candidates(c).count() == 0 and issues.rubber_findings(c, DAY(1950, 1, 1), DAY(2025, 1, 1)).count() == 0
+
+
+def test_model_and_network_agree(spark):
+    """The fold rates each match and player of the network once, and every rated player is established or provisional."""
+    import os
+
+    import pytest
+
+    from rallyframe.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("shared tables are not here")
+    model, network = (catalog.queries()[q](spark, sf).first() for q in ("q78_model_health", "q78_network_health"))
+    assert (model["processed_matches"], model["rated_players"]) == (network["eligible_matches"], network["connected_players"]) and model["rated_players"] > 0
+    assert (model["first_rated_date"], model["last_processed_date"]) == (network["first_match_date"], network["last_match_date"])
+    assert model["established_players"] + model["provisional_players"] == model["rated_players"]
