@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from rallyframe.llm import urls
+from rallyframe.llm import queries, urls
 
 RULES = "host string, path string, verdict string"
 
@@ -40,3 +40,12 @@ def test_no_rules_no_pages(spark):
     page = spark.createDataFrame([(1, "http://a.b/c")], "page_id long, url string")
     assert [tuple(r) for r in urls.filter_urls(page, none, "block").collect()] == [(1, "a.b", "/c", None, "block")]
     assert urls.filter_urls(page.limit(0), none).count() == 0
+
+
+def test_rules_of_the_query(spark, tmp_path):
+    """The query's rules as its contract lists them: a page for each, a longer and a foreign one beside them."""
+    urls_of = ["http://a.com/en/1", "http://example.com/en/7", "http://b.net/de/8", "http://example.net/de/7", "http://www.example.net/de/81", "http://c.org/es/", "http://c.org/en/"]
+    spark.createDataFrame(list(enumerate(urls_of)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = queries.op8_url_filter(spark, str(tmp_path)).orderBy("page_id").select("rule", "verdict").collect()
+    want = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"), (None, "allow")]
+    assert list(map(tuple, got)) == want
