@@ -3,6 +3,7 @@
 import random
 from datetime import date, datetime, timedelta
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -58,6 +59,33 @@ def test_fold_by_runs_of_days_equals_one_fold(spark, block):
     assert rating_fold.rating_periods(spark.createDataFrame([], ROWS)).count() == 0
 
 
+def test_runs_write_no_states_of_players_that_they_do_not_rate(spark, monkeypatch):
+    """Thirteen runs of one match each, twelve of them of new players: rows written between runs grow with the matches, not with runs times players."""
+    rows = [(date(2024, 1, 1) + timedelta(days=i), 2 * i, 2 * i + 1, i % 3 > 0) for i in range(12)] + [(date(2024, 2, 1), 0, 23, True)]
+    real, sizes = rating_fold.written, []
+
+    def counted(df):
+        out = real(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(rating_fold, "written", counted)
+    got = {(r["player_id"], r["day"]): r["rating"] for r in rating_fold.rating_periods(spark.createDataFrame(rows, ROWS), 1).collect()}
+    want = rating_fold.fold(pd.DataFrame(rows, columns=["day", "home", "away", "home_won"]))[0]
+    assert got == pytest.approx({(p, d): r for p, d, r in zip(want["player_id"], want["day"], want["rating"])})
+    assert sum(sizes) <= 2 * len(rows)
+
+
+def test_many_updates_at_once_equal_the_single_one():
+    rng = random.Random(8)
+    seen = [(rng.uniform(900, 2200), rng.uniform(30, 350), rng.uniform(0.03, 0.09), rng.uniform(0.01, 6), rng.uniform(-9, 9)) for _ in range(400)]
+    got = glicko.settled_all(*(np.array(c) for c in zip(*seen)))
+    want = [glicko.settled(glicko.State(r, d, v), i, g) for r, d, v, i, g in seen]
+    for c, new in zip(("rating", "deviation", "volatility"), got):
+        assert new.tolist() == pytest.approx([getattr(s, c) for s in want], rel=1e-9)
+    assert all(len(c) == 0 for c in glicko.settled_all(*(np.array([]),) * 5))
+
+
 def test_weeks_ranks_and_asof_equal_brute_force(spark):
     rows = played(80)
     p = rating_fold.rating_periods(spark.createDataFrame(rows, ROWS), 25)
