@@ -120,9 +120,17 @@ def by_header(cells: DataFrame, columns: list[str]) -> DataFrame:
     return named.groupBy("page_id", "table", "row").agg(*(F.max(F.when(F.col("head") == c, F.col("text"))).alias(c) for c in columns)).drop("table")
 
 
+#: Matches of a round on one page, about: longer rounds are listed over several pages.
+PAGE_MATCHES = 200
+
+
 def tournament_pages(d: Domain) -> DataFrame:
-    """page_id (a competition), html: its singles by division as draws and by month as rounds, with games to 11; some rows are no matches."""
+    """page_id (a competition and the page's number), html: its singles by division as draws and by month as rounds, with games to 11; some rows are no matches."""
     m = d.matches.where("not is_doubles").select("rubber_id", "competition_id", "division", F.date_format("updated_on", "yyyy-MM").alias("month"), "home_1", "away_1", F.col("home_games").cast("int").alias("h"), F.col("away_games").cast("int").alias("a"), "outcome", F.date_format("updated_on", "yyyy-MM-dd").alias("on"))
+    m = written(m)
+    of_round = ["competition_id", "division", "month"]
+    long = m.groupBy(*of_round).agg(F.ceil(F.count("*") / PAGE_MATCHES).alias("pages"))
+    m = m.join(long, of_round).withColumn("page", F.pmod(F.xxhash64("rubber_id"), F.col("pages")))
     cell = lambda n: f'<li class="points__cell">{n}</li>'
     points = lambda own, opp: _cat(F.repeat(F.lit(cell(11)), F.col(own)), F.repeat(F.lit(cell(6)), F.col(opp)))
     # points of games that the other side won come second on both sides, so that games are told apart by place
@@ -133,10 +141,10 @@ def tournament_pages(d: Domain) -> DataFrame:
     said = F.when(F.col("outcome") == "walkover", "Walkover").when(F.col("outcome") == "retired", "retired").when(F.col("rubber_id") % 31 == 0, "cancelled").otherwise("")
     row = _cat('<div class="match match--list">', "<span>", said, "</span>", side("home_1", home, F.col("h") > F.col("a")), side("away_1", away, F.col("a") > F.col("h")), F.when(F.col("rubber_id") % 2 == 0, _cat('<a href="/match-info/', F.col("rubber_id").cast("string"), '">i</a>')).otherwise(""), '<time datetime="', F.col("on"), '"></time></div>')
     joined = lambda c, by: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(by, c))), lambda s: s[c]), "")
-    rounds = m.withColumn("row", row).groupBy("competition_id", "division", "month").agg(joined("row", "rubber_id").alias("rows"))
+    rounds = m.withColumn("row", row).groupBy(*of_round, "page").agg(joined("row", "rubber_id").alias("rows"))
     rounds = rounds.withColumn("html", _cat('<section class="round"><h4 class="round__name">', F.col("month"), "</h4>", F.col("rows"), "</section>"))
-    pages = rounds.groupBy("competition_id", "division").agg(joined("html", "month").alias("rounds"))
-    return pages.select(F.col("competition_id").alias("page_id"), _cat('<main><section class="draw"><a href="/draw/', F.col("division").cast("string"), '">Draw ', F.col("division").cast("string"), "</a>", F.col("rounds"), "</section></main>").alias("html"))
+    pages = rounds.groupBy("competition_id", "division", "page").agg(joined("html", "month").alias("rounds"))
+    return pages.select(_cat(F.col("competition_id").cast("string"), "/", F.col("page").cast("string")).alias("page_id"), _cat('<main><section class="draw"><a href="/draw/', F.col("division").cast("string"), '">Draw ', F.col("division").cast("string"), "</a>", F.col("rounds"), "</section></main>").alias("html"))
 
 
 TOURNAMENT_SQL = """t0 AS (
@@ -150,18 +158,22 @@ TOURNAMENT_SQL = """t0 AS (
     )"""
 
 
+def _competition() -> Column:
+    return F.substring_index("page_id", "/", 1).cast("bigint").alias("page_id")
+
+
 @query("s09_tournament_matches", f"WITH {TOURNAMENT_SQL} SELECT page_id, CAST(division AS VARCHAR) AS draw_id, round_name, CAST(hp AS VARCHAR) AS home_player, CAST(ap AS VARCHAR) AS away_player, outcome, CASE WHEN h > a THEN 'home' ELSE 'away' END AS winner, CASE WHEN h + a > 0 THEN 'games' ELSE 'win_loss_only' END AS score_source, count(*) AS matches, CAST(sum(h) AS BIGINT) AS home_games, CAST(sum(a) AS BIGINT) AS away_games, count(CASE WHEN rubber_id % 2 = 0 THEN 1 END) AS with_id FROM t WHERE reason IS NULL GROUP BY ALL")
 def tournaments(d: Domain) -> DataFrame:
     """The matches of all tournament pages by draw, round, players and result."""
     m, _ = tournament_matches(tournament_pages(d))
-    by = ["page_id", "draw_id", "round_name", F.col("home_players")[0].alias("home_player"), F.col("away_players")[0].alias("away_player"), "outcome", "winner", "score_source"]
+    by = [_competition(), "draw_id", "round_name", F.col("home_players")[0].alias("home_player"), F.col("away_players")[0].alias("away_player"), "outcome", "winner", "score_source"]
     return m.groupBy(*by).agg(F.count("*").alias("matches"), F.sum("home_games").alias("home_games"), F.sum("away_games").alias("away_games"), F.count_if(F.length("match_id") < 64).alias("with_id"))
 
 
 @query("s09_turned_away", f"WITH {TOURNAMENT_SQL} SELECT page_id, reason, count(*) AS matches FROM t WHERE reason IS NOT NULL GROUP BY ALL")
 def turned_away(d: Domain) -> DataFrame:
     """What tournament pages hold that is no match, by reason."""
-    return tournament_matches(tournament_pages(d))[1].groupBy("page_id", "reason").agg(F.count("*").alias("matches"))
+    return tournament_matches(tournament_pages(d))[1].groupBy(_competition(), "reason").agg(F.count("*").alias("matches"))
 
 
 RESULTS_SQL = """r AS (

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from rallyframe.functions.text import dated_event, outcome_of, player_cell
 from rallyframe.operators.events import event_results, lifecycle
 from rallyframe.operators.paging import exact_page, fast_page
+from rallyframe.plans import pages as plans
+from rallyframe.sources.adapter import Domain
 from rallyframe.sources.cards import card_violations, game_counts, match_cards
 from rallyframe.sources.pages import Mark, elements, grid_cells
 from rallyframe.sources.tournaments import tournament_matches
@@ -171,3 +173,15 @@ def test_evidence_is_kept_once(spark, tmp_path):
             (tmp_path / "c/commits/.1.crc").unlink(missing_ok=True)
     rows = {(r["scope"], r["fingerprint"], r["payload"]): (r["first_at"], r["last_at"], r["http_status"]) for r in evidence(spark, f"{tmp_path}/t").collect()}
     assert rows == {("s", "f", "one"): (at(1), at(5), 500), ("s", "g", ""): (at(1), at(1), 200), ("s", "f", "two"): (at(5), at(5), 200), ("", "f", "one"): (at(6), at(6), 200)}
+
+
+def test_long_rounds_are_listed_over_several_pages(spark, monkeypatch):
+    """No page grows with the matches of a round, and all matches stand on some page."""
+    monkeypatch.setattr(plans, "PAGE_MATCHES", 1)
+    d = Domain(spark, "/root/testdata/sf0.001")
+    html = [(r["page_id"], r["html"]) for r in plans.tournament_pages(d).collect()]
+    singles = d.matches.where("not is_doubles")
+    assert sum(h.count("match--list") for _, h in html) == singles.count()
+    assert len({p for p, _ in html}) == len(html)
+    assert max(h.count("match--list") for _, h in html) < singles.groupBy("competition_id").count().agg(F.max("count")).first()[0]
+    assert {int(p.split("/")[0]) for p, _ in html} == {r[0] for r in singles.select("competition_id").distinct().collect()}
