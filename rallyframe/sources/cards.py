@@ -139,7 +139,7 @@ def _table_rubbers(e: DataFrame) -> DataFrame:
 
 def match_cards(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """page_id, html -> (RUBBER, a row for each rubber; page_id, home_rubbers, away_rubbers: the card's final score, where it has one)."""
-    e = written(elements(pages, MARKS))
+    e = written(elements(pages, MARKS), "mark")
     every = _grid_rubbers(e).unionByName(_card_rubbers(e)).unionByName(_table_rubbers(e))
     first = F.min("layout").over(Window.partitionBy("page_id"))
     rubbers = every.withColumn("first", first).where("layout = first").select(*RUBBER)

@@ -41,7 +41,7 @@ def _nearest(e: DataFrame, mark: str, value, name: str) -> DataFrame:
 
 def tournament_matches(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """page_id, html -> (MATCH, a row a match; page_id, at, reason, text: matches turned away)."""
-    e = written(elements(pages, MARKS))
+    e = written(elements(pages, MARKS), "mark")
     inside = lambda k: F.col("inside").getItem(k).alias(k)
     listed = lambda v: F.transform(F.sort_array(F.collect_list(F.struct("at", v.alias("v")))), lambda s: s["v"])
     players = e.where("mark = 'player'").groupBy("page_id", inside("side")).agg(listed(last_part(F.col("href"))).alias("ids"))
