@@ -145,6 +145,24 @@ def test_components_and_gains_over_the_whole_graph(spark):
     assert best > 0.3 and all(q(got | {n: c}) <= best + 1e-9 for n in got for c in set(got.values()))
 
 
+def test_communities_take_few_steps_and_whole_groups(spark, monkeypatch):
+    """A network without clear pools: few tables are written, and no single move betters what one group or several groups find."""
+    rng = random.Random(9)
+    e = [(a, b, 1, round(rng.random(), 3)) for a in range(80) for b in range(a + 1, 80) if rng.random() < 0.4]
+    frame = spark.createDataFrame(e, "a long, b long, matches int, weight double")
+    two_m, degree, steps, write = 2 * sum(x[3] for x in e), dict.fromkeys(range(80), 0.0), [], graph.written
+    for a, b, _, w in e:
+        degree[a], degree[b] = degree[a] + w, degree[b] + w
+    monkeypatch.setattr(graph, "written", lambda *x: steps.append(1) or write(*x))
+    for block, most in ((None, 12), (1000, 60)):
+        steps.clear()
+        label = {r["player_id"]: r["community"] for r in graph.communities(frame, *([block] if block else [])).collect()}
+        assert len(steps) <= most
+        for n in label:
+            gain = lambda c: sum(x[3] for x in e if n in x[:2] and label[x[0] + x[1] - n] == c) - sum(degree[m] for m in label if m != n and label[m] == c) * degree[n] / two_m  # noqa: B023, E731
+            assert max(map(gain, set(label.values()))) <= gain(label[n]) + 1e-6
+
+
 def test_edges_decay_by_half_life(spark):
     rows = [(1, 2, date(2024, 1, 1)), (2, 1, date(2024, 1, 1) - timedelta(days=730)), (1, 2, date(2019, 1, 1)), (3, 3, date(2024, 1, 1))]
     (r,) = graph.decayed_edges(spark.createDataFrame(rows, "home long, away long, day date")).collect()
