@@ -201,10 +201,16 @@ def best_partner(d: Domain) -> DataFrame:
 
 
 def runs(s: DataFrame) -> DataFrame:
-    """Runs of like results by the difference of two row numbers: player_id, won, from_k, length (k counts from the first match)."""
-    by = [F.col("day"), F.col("rubber_id"), F.col("side")]
-    a = s.withColumn("k", F.row_number().over(Window.partitionBy("player_id").orderBy(*by))).withColumn("j", F.row_number().over(Window.partitionBy("player_id", "won").orderBy(*by)))
-    return a.groupBy("player_id", "won", (F.col("k") - F.col("j")).alias("island")).agg(F.min("k").alias("from_k"), F.count("*").alias("length"), F.max("day").alias("to_day"))
+    """Runs of like results: player_id, won, from_k, length (k counts from the first match), to_day.  Numbers of changes and of matches over one order, so rows are sorted once."""
+    so_far = Window.partitionBy("player_id").orderBy("day", "rubber_id", "side")
+    changed = ~F.col("won").eqNullSafe(F.lag("won").over(so_far)) | (F.row_number().over(so_far) == 1)
+    a = s.withColumns({"k": F.row_number().over(so_far), "changed": changed}).withColumn("island", F.count_if("changed").over(so_far))
+    return a.groupBy("player_id", "won", "island").agg(F.min("k").alias("from_k"), F.count("*").alias("length"), F.max("day").alias("to_day"))
+
+
+def player_rows(d: Domain) -> DataFrame:
+    """What runs are made of: the singles of a player in one task, in as many shares as the rubbers ask for."""
+    return singles(d).select("player_id", "day", "rubber_id", "side", "won").repartition(d.shares, "player_id")
 
 
 RUNS_SQL = """WITH a AS (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY day, rubber_id, side) AS k, row_number() OVER (PARTITION BY player_id, won ORDER BY day, rubber_id, side) AS j FROM singles),
@@ -214,13 +220,13 @@ RUNS_SQL = """WITH a AS (SELECT *, row_number() OVER (PARTITION BY player_id ORD
 @query("q12_current_streak", RUNS_SQL + " SELECT player_id, won, least(length, 10) AS length FROM (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY from_k DESC) AS n FROM r) WHERE n = 1")
 def current_streak(d: Domain) -> DataFrame:
     """The run that each player is on, counted to ten; a tie counts as not won."""
-    return runs(singles(d)).groupBy("player_id").agg(F.max_by(F.struct("won", "length"), "from_k").alias("r")).select("player_id", "r.won", F.least("r.length", F.lit(10)).alias("length"))
+    return runs(player_rows(d)).groupBy("player_id").agg(F.max_by("won", "from_k").alias("won"), F.least(F.max_by("length", "from_k"), F.lit(10)).alias("length"))
 
 
 @query("q16_longest_runs", RUNS_SQL + " SELECT player_id, coalesce(max(length) FILTER (WHERE won), 0) AS longest_win_run, coalesce(max(length) FILTER (WHERE NOT won), 0) AS longest_other_run, max(to_day) AS last_day FROM r GROUP BY player_id")
 def longest_runs(d: Domain) -> DataFrame:
     longest = lambda c: F.coalesce(F.max(F.when(F.expr(c), F.col("length"))), F.lit(0))
-    return runs(singles(d)).groupBy("player_id").agg(longest("won").alias("longest_win_run"), longest("not won").alias("longest_other_run"), F.max("to_day").alias("last_day"))
+    return runs(player_rows(d)).groupBy("player_id").agg(longest("won").alias("longest_win_run"), longest("not won").alias("longest_other_run"), F.max("to_day").alias("last_day"))
 
 
 @query("q13_career_years", f"""WITH y AS (SELECT player_id, year(day) AS year, count(*) AS played, count(*) FILTER (WHERE won) AS wins FROM singles GROUP BY ALL),

@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Rubbers of a share; a task that sorts both their sides several times takes some 200 MB.
+SHARE = 500_000
+
+
 @dataclass(frozen=True)
 class Domain:
     """Domain tables of one data folder."""
@@ -23,6 +27,11 @@ class Domain:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @cached_property
+    def shares(self) -> int:
+        """Into how many parts all sides are cut by player, so that a task's part doesn't grow with the tables."""
+        return max(self.spark.sparkContext.defaultParallelism, -(-self.table("lineitem").count() // SHARE))
+
     @cached_property
     def players(self) -> DataFrame:
         """player_id, name, platform_id, external_id, canonical_id (null: its own), deleted, updated_at."""
