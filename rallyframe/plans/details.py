@@ -28,7 +28,8 @@ def _percent(part, whole):
 def insight_rivals(d: Domain) -> DataFrame:
     """Each player's hardest and easiest opponent of three matches or more, and the one they improved against most."""
     pair = Window.partitionBy("player_id", "opponent_id")
-    m = singles(d).where("opponent_id is not null").select("player_id", "opponent_id", "won", F.row_number().over(pair.orderBy("day", "rubber_id", "side")).alias("n"), F.count("*").over(pair).alias("played"))
+    s = singles(d).where("opponent_id is not null").select("player_id", "opponent_id", "day", "rubber_id", "side", "won").repartition(d.shares, "player_id")  # serves all that follows
+    m = s.select("player_id", "opponent_id", "won", F.row_number().over(pair.orderBy("day", "rubber_id", "side")).alias("n"), F.count("*").over(pair).alias("played"))
     half = F.floor(F.col("played") / 2)
     a = m.groupBy("player_id", "opponent_id", "played").agg(n_if("won").alias("wins"), n_if(F.col("won") & (F.col("n") <= half)).alias("early"), n_if(F.col("won") & (F.col("n") > half)).alias("late"))
     delta = F.when(F.col("played") >= 4, _percent(F.col("late"), F.col("played") - half) - _percent(F.col("early"), half))
