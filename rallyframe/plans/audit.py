@@ -52,7 +52,8 @@ def q68(d: Domain) -> DataFrame:
 @query("q69_same_day_leagues", f"WITH {PLAYER_ROWS_SQL}, day_rows AS (SELECT player_id, effective_day, count(DISTINCT league_id) AS leagues, count(*) AS matches FROM player_rows WHERE effective_day IS NOT NULL GROUP BY ALL) SELECT player_id, count(*) AS busy_days, max(leagues) AS most_leagues, max(matches) AS most_matches FROM day_rows WHERE leagues > 1 GROUP BY player_id")
 def same_day_leagues(d: Domain) -> DataFrame:
     """Players seen in several leagues on one day: by day first, then by player."""
-    day = _player_rows(d).where("effective_day is not null").groupBy("player_id", "effective_day").agg(F.countDistinct("league_id").alias("leagues"), F.count("*").alias("matches"))
+    rows = _player_rows(d).where("effective_day is not null").select("player_id", "effective_day", "league_id").repartition(d.shares, "player_id")  # serves both groupings
+    day = rows.groupBy("player_id", "effective_day").agg(F.countDistinct("league_id").alias("leagues"), F.count("*").alias("matches"))
     return day.where("leagues > 1").groupBy("player_id").agg(F.count("*").alias("busy_days"), F.max("leagues").alias("most_leagues"), F.max("matches").alias("most_matches"))
 
 

@@ -5,13 +5,13 @@ from itertools import groupby
 
 import pytest
 
-from rallyframe.plans import details, players
+from rallyframe.plans import audit, details, players
 from rallyframe.sources import adapter
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("query", [players.current_streak, players.longest_runs, details.insight_rivals])
+@pytest.mark.parametrize("query", [players.current_streak, players.longest_runs, details.insight_rivals, audit.same_day_leagues])
 def test_parts_grow_with_the_rubbers(spark, monkeypatch, query):
     monkeypatch.setattr(adapter, "SHARE", 500)
     d = adapter.Domain(spark, SF)
