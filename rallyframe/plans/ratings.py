@@ -18,7 +18,9 @@ from .rivalry import HISTORY_SQL, weekly
 
 
 def eligible(d: Domain) -> DataFrame:
-    return classified(d).where("reason = 'eligible'").select(F.col("effective_day").alias("day"), F.col("home_player").alias("home"), F.col("away_player").alias("away"), (F.col("home_games") > F.col("away_games")).alias("home_won"), "rubber_id", "home_games", "away_games")
+    """Rated rubbers.  What the reason implies is asked for in plain conditions too, as these are applied before the rubbers are shuffled and joined."""
+    implied = "not is_doubles and outcome = 'normal' and status = 'completed' and home_player is not null and away_player is not null"
+    return classified(d).where(implied).where("reason = 'eligible'").select(F.col("effective_day").alias("day"), F.col("home_player").alias("home"), F.col("away_player").alias("away"), (F.col("home_games") > F.col("away_games")).alias("home_won"), "rubber_id", "home_games", "away_games")
 
 
 @query("q48_classification", f"WITH {CLASSIFIED_SQL} SELECT rubber_id, effective_day, home_player, away_player, reason FROM classified")

@@ -1,11 +1,12 @@
-"""What is cut by player grows in number and not in size."""
+"""What is cut by player grows in number and not in size, and what is asked for early is what the reason implies."""
 
 import random
 from itertools import groupby
 
 import pytest
 
-from rallyframe.plans import audit, details, players
+from rallyframe.operators.classify import classified
+from rallyframe.plans import audit, details, players, ratings
 from rallyframe.sources import adapter
 
 SF = "/root/testdata/sf0.001"
@@ -32,3 +33,11 @@ def test_runs_of_any_results_sort_once(spark):
             k += n
     assert {(r["player_id"], r["won"], r["from_k"], r["length"]) for r in out.collect()} == want
     assert len({line.split("Sort ")[1] for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Sort [" in line}) == 1
+
+
+def test_rated_rubbers_are_chosen_before_joins(spark):
+    d = adapter.Domain(spark, SF)
+    plain = classified(d).where("reason = 'eligible'").select("rubber_id")
+    mine = ratings.eligible(d).select("rubber_id")
+    assert sorted(r[0] for r in mine.collect()) == sorted(r[0] for r in plain.collect())
+    assert "LeftOuter" not in mine._jdf.queryExecution().optimizedPlan().toString()
