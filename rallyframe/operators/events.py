@@ -22,7 +22,7 @@ def event_results(rows: DataFrame) -> dict[str, DataFrame]:
     row in the order of row_id, or the day in the event's name.  Rows with one id: the least row counts and the others are quarantined as repeated.
     """
     day = lambda c: F.expr(f"try_cast(nullif(regexp_extract({c}, '^([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})', 1), '') as date)")
-    r = rows.select("row_id", "event_id", dated_event(F.col("event_name")).alias("e"), player_cell(F.col("home")).alias("h"), player_cell(F.col("away")).alias("a"), F.when(F.trim("round") == "unset", "group").otherwise(F.nullif(F.trim("round"), F.lit(""))).alias("round_name"), "played_at")
+    r = rows.select("row_id", "event_id", dated_event(F.col("event_name"))["day"].alias("event_day"), player_cell(F.col("home")).alias("h"), player_cell(F.col("away")).alias("a"), F.when(F.trim("round") == "unset", "group").otherwise(F.nullif(F.trim("round"), F.lit(""))).alias("round_name"), "played_at")
     nth = F.row_number().over(Window.partitionBy("row_id").orderBy("event_id", "h", "a", "round_name", "played_at"))
     winners = F.coalesce(F.col("h.won"), F.lit(False)).cast("int") + F.coalesce(F.col("a.won"), F.lit(False)).cast("int")
     reason = F.when(F.col("row_id").isNull(), "no id").when(F.col("nth") > 1, "repeated id").when(winners == 0, "no winner").when(winners == 2, "two winners").when(F.coalesce(F.col("h.name"), F.lit("")).eqNullSafe("") | F.coalesce(F.col("a.name"), F.lit("")).eqNullSafe(""), "no player")
@@ -30,7 +30,7 @@ def event_results(rows: DataFrame) -> dict[str, DataFrame]:
     good = one.where("reason is null").withColumn("fixture_id", F.concat_ws(":", F.lit("event"), F.col("event_id").cast("string"), F.lit("round"), F.coalesce("round_name", F.lit("unknown"))))
     known = lambda c: F.coalesce(f"{c}.id", F.lower(F.regexp_replace(f"{c}.name", r"\s+", " ")))
     rubbers = good.select(F.col("row_id"), "fixture_id", known("h").alias("home_player"), known("a").alias("away_player"), F.col("h.won").cast("int").alias("home_games"), F.col("a.won").cast("int").alias("away_games"), F.lit("win_loss_only").alias("score_source"), day("played_at").alias("played_on"))
-    first = good.groupBy("fixture_id", "event_id", "round_name").agg(F.min_by(F.struct(F.coalesce(day("played_at"), "e.day").alias("d")), "row_id").alias("f"), F.count("*").alias("rubbers"))
+    first = good.groupBy("fixture_id", "event_id", "round_name").agg(F.min_by(F.struct(F.coalesce(day("played_at"), "event_day").alias("d")), "row_id").alias("f"), F.count("*").alias("rubbers"))
     order = F.get(F.array(*map(F.lit, ROUNDS.values())), F.nullif(F.array_position(F.array(*map(F.lit, ROUNDS)), F.col("round_name")), F.lit(0).cast("bigint")).cast("int") - 1)
     fixtures = first.select("fixture_id", "event_id", "round_name", order.alias("round_order"), F.col("f.d").alias("date_played"), "rubbers")
     return {"rubbers": rubbers, "fixtures": fixtures, "quarantined": one.where("reason is not null").select("row_id", "event_id", "reason")}

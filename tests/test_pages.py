@@ -1,5 +1,6 @@
 """Raw pages: elements, grids, match cards, tournaments, results, status, pages of lists, evidence."""
 
+import random
 from datetime import date, datetime
 
 from pyspark.sql import functions as F
@@ -185,3 +186,19 @@ def test_long_rounds_are_listed_over_several_pages(spark, monkeypatch):
     assert len({p for p, _ in html}) == len(html)
     assert max(h.count("match--list") for _, h in html) < singles.groupBy("competition_id").count().agg(F.max("count")).first()[0]
     assert {int(p.split("/")[0]) for p, _ in html} == {r[0] for r in singles.select("competition_id").distinct().collect()}
+
+
+def test_cells_are_read_by_plain_searches_first_as_by_patterns_alone(spark):
+    draw = random.Random(3)
+    parts = ["A", "b-", "-", " - ", " ", "  ", "(1)", "(", ")", "(x2)", "12", "WINNER", " - Winner", "\t", "\n", "\u2028", "\u0085", "\r", "é", "\u212a", "winn", "(07) "]
+    texts = {"".join(draw.choice(parts) for _ in range(draw.randrange(7))) for _ in range(20_000)} | {"Open - Ann (1) - WINNER", "A - B - C (3)"}
+    df = spark.createDataFrame([(t,) for t in sorted(texts)] + [(None,)], "t string")
+    won, c = r"(?i)(\s*-\s*)?WINNER\s*$", F.col("t")
+    text = F.trim(F.regexp_replace(F.regexp_replace(c, r"\s+", " "), won, ""))
+    category = F.nullif(F.regexp_extract(text, r"^([^-]+?)\s+-\s+.+$", 1), F.lit(""))
+    named = F.when(category.isNotNull(), F.regexp_extract(text, r"^[^-]+?\s+-\s+(.+)$", 1)).otherwise(text)
+    by_patterns = F.struct(category.alias("category"), F.trim(F.regexp_replace(named, r"\s*\(\d+\)\s*$", "")).alias("name"), F.nullif(F.regexp_extract(named, r"\((\d+)\)\s*$", 1), F.lit("")).alias("id"), c.rlike(won).alias("won"))
+    read = df.select("t", player_cell(c).alias("c"))
+    rows = read.join(df.select("t", by_patterns.alias("want")), "t").collect()
+    assert len(rows) == len(texts) and not [(r["t"], r["c"], r["want"]) for r in rows if r["c"] != r["want"]][:3]
+    assert tuple(read.where("t is null").first()["c"]) == (None, None, None, None)
