@@ -4,7 +4,9 @@ Days follow each other, but within a day players are independent, as all are rat
 against states from before it.  The fold goes over runs of days.  Every row of a match and
 side is told beforehand the next run that its player takes part in, so a run hands each
 player's state to that run's folder and no run reads or rewrites the states of players
-that it doesn't rate: what is read and written grows with the matches alone.
+that it doesn't rate: what is read and written grows with the matches alone.  Between runs
+rows are packed (`packed`), as a run's one task would else spend most of its time on moving
+single rows; packing and unpacking is done by many tasks.
 
 A day with more than BLOCK matches is one step of joins and groupings: its matches meet
 both players' states, what each match tells is summed by player (partly before the
@@ -16,16 +18,19 @@ group grows with the data, and the number of steps is at most that of the dates.
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections.abc import Iterator
 from datetime import date
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.glicko import INITIAL_DEVIATION, INITIAL_RATING, INITIAL_VOLATILITY, PERIOD_DAYS, SCALE, State, expected_score, g_of, inflate, inflated_deviation, predicted, settled_all, update
-from ..sources.staging import dropped, found, new_folder, removed, written
+from ..sources.staging import dropped, found, new_folder, parts_of, removed, written
 
 #: Matches of a run of days that are folded as one group; bounds a task's memory (by estimate some 300 MB, not measured).
 BLOCK = 500_000
@@ -35,6 +40,9 @@ STATES = "window int, player_id long, rating double, deviation double, volatilit
 SIDES = "window int, day date, player_id long, other long, won boolean, next int"
 #: In a written run: no run rates the player again; the player has a later row in the same run.
 NO_RUN, SAME_RUN = 0, -1
+#: Rows that are packed as one, at most, and what packed rows of a run hold.
+PACK = 65_536
+PACKED_SIDES, PACKED_PERIODS = f"{SIDES}, run int", f"window int, {PERIODS}, next int"
 
 
 def fold(rows: pd.DataFrame, state: dict | None = None) -> tuple[pd.DataFrame, dict]:
@@ -72,50 +80,109 @@ EPOCH = date(1970, 1, 1)
 _RUN_COLUMNS = ["player_id", "day", "matches", "wins", "losses", "rating_before", "deviation_before", "rating", "deviation", "volatility", "total_matches", "total_wins", "next"]
 
 
-def fold_sides(rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
-    """Both sides of every match of a run (day and last day in days since 1970), and states from before it -> PERIODS with the next run of each row."""
-    ids, me = np.unique(rows["player_id"].to_numpy(), return_inverse=True)
-    day, other, won, coming = rows["day"].to_numpy(), np.searchsorted(ids, rows["other"].to_numpy()), rows["won"].to_numpy().astype(float), rows["next"].to_numpy()
-    rating, deviation, volatility = np.full(len(ids), INITIAL_RATING), np.full(len(ids), INITIAL_DEVIATION), np.full(len(ids), INITIAL_VOLATILITY)
-    last, n, w = np.full(len(ids), -1 << 30), np.zeros(len(ids), "int64"), np.zeros(len(ids), "int64")
-    at = np.searchsorted(ids, before["player_id"].to_numpy())
-    for mine, c in ((rating, "rating"), (deviation, "deviation"), (volatility, "volatility"), (last, "day"), (n, "total_matches"), (w, "total_wins")):
-        mine[at] = before[c].to_numpy()
-    order = np.lexsort((won, other, me, day))  # sums don't depend on the order of rows
-    day, me, other, won, coming = day[order], me[order], other[order], won[order], coming[order]
-    cuts = [*np.unique(day, return_index=True)[1], len(day)]
-    out, latest = [], np.full(len(ids), -1)
-    for a, b in zip(cuts, cuts[1:]):
-        today, c, o, y = day[a], me[a:b], other[a:b], won[a:b]
-        starts = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
-        p = c[starts]
+def fold_sides(sides: dict[str, np.ndarray], before: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Both sides of every match of a run (day and last day in days since 1970), and states from before it -> the columns of PERIODS with the next run of each row."""
+    me, ids = pd.factorize(sides["player_id"], sort=True)
+    on, days = pd.factorize(sides["day"], sort=True)
+    n = len(ids)
+    coming = np.empty(n, "int64")
+    coming[me] = sides["next"]  # all rows of a player tell the same
+    # one number tells day, player, opponent and result: sorted by it, sums don't depend on the order of rows
+    key = np.sort(((on * n + me) * n + pd.Index(ids).get_indexer(sides["other"])) * 2 + sides["won"])
+    won, other, period = (key % 2).astype(float), key // 2 % n, key // (2 * n)
+    starts = np.flatnonzero(np.r_[True, period[1:] != period[:-1]])
+    on, who = np.divmod(period[starts], n)
+    played = np.diff(np.r_[starts, len(key)])
+    wins = np.add.reduceat(won, starts).astype("int64")
+    me = period % n
+    rating, deviation, volatility, g_now = np.full(n, INITIAL_RATING), np.full(n, INITIAL_DEVIATION), np.full(n, INITIAL_VOLATILITY), np.empty(n)
+    last, matches, won_by = np.full(n, -1 << 30), np.zeros(n, "int64"), np.zeros(n, "int64")
+    at = np.searchsorted(ids, before["player_id"])
+    for mine, c in ((rating, "rating"), (deviation, "deviation"), (volatility, "volatility"), (last, "day"), (matches, "total_matches"), (won_by, "total_wins")):
+        mine[at] = before[c]
+    out = {c: np.empty(len(starts)) for c in ("rating_before", "deviation_before", "rating", "deviation", "volatility")} | {c: np.empty(len(starts), "int64") for c in ("total_matches", "total_wins")}
+    cuts = np.searchsorted(on, np.arange(len(days) + 1))  # of periods by day
+    ends = np.r_[starts, len(key)]
+    for today, i, j in zip(days.tolist(), cuts, cuts[1:]):
+        a, b, p = ends[i], ends[j], who[i:j]
+        c, o, y, s = me[a:b], other[a:b], won[a:b], starts[i:j] - a
         idle = np.where(last[p] == -1 << 30, 0, today - last[p] - 1)
-        deviation[p] = SCALE * np.minimum(INITIAL_DEVIATION / SCALE, np.sqrt((deviation[p] / SCALE) ** 2 + volatility[p] ** 2 * np.maximum(0, idle) / PERIOD_DAYS))
-        g = 1 / np.sqrt(1 + 3 * (deviation[o] / SCALE) ** 2 / np.pi**2)  # opponents are rated today too
+        wide = SCALE * np.minimum(INITIAL_DEVIATION / SCALE, np.sqrt((deviation[p] / SCALE) ** 2 + volatility[p] ** 2 * np.maximum(0, idle) / PERIOD_DAYS))
+        was, g_now[p] = rating[p], 1 / np.sqrt(1 + 3 * (wide / SCALE) ** 2 / np.pi**2)
+        g = g_now[o]  # opponents are rated today too
         e = 1 / (1 + np.exp(-g * (rating[c] - rating[o]) / SCALE))
-        was, wide = rating[p], deviation[p]
-        new = settled_all(was, wide, volatility[p], np.add.reduceat(g * g * e * (1 - e), starts), np.add.reduceat(g * (y - e), starts))
+        new = settled_all(was, wide, volatility[p], np.add.reduceat(g * g * e * (1 - e), s), np.add.reduceat(g * (y - e), s))
         rating[p], deviation[p], volatility[p] = new
-        played, wins = np.diff(np.r_[starts, len(c)]), np.add.reduceat(y, starts).astype("int64")
-        last[p], n[p], w[p] = today, n[p] + played, w[p] + wins
-        out.append((ids[p], np.full(len(p), today), played, wins, played - wins, was, wide, *new, n[p], w[p], coming[a:b][starts], p))
-    *columns, who = (np.concatenate(x) for x in zip(*out))
+        last[p] = today
+        matches[p] += played[i:j]
+        won_by[p] += wins[i:j]
+        for column, x in zip(out.values(), (was, wide, *new, matches[p], won_by[p])):
+            column[i:j] = x
+    latest = np.empty(n, "int64")
     latest[who] = np.arange(len(who))
-    columns[-1] = np.where(latest[who] == np.arange(len(who)), columns[-1], SAME_RUN)
-    return pd.DataFrame(dict(zip(_RUN_COLUMNS, columns)))
+    out |= {"player_id": ids[who], "day": days[on], "matches": played, "wins": wins, "losses": played - wins}
+    out["next"] = np.where(latest[who] == np.arange(len(who)), coming[who], SAME_RUN)
+    return {c: out[c] for c in _RUN_COLUMNS}
+
+
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "date": pa.date32(), "boolean": pa.bool_()}
+
+
+def _packed_rows(rows: pa.Table, by: list[str]) -> Iterator[pa.RecordBatch]:
+    """A row for each value of `by` and at most PACK rows that have it: the values and those rows as one Arrow stream."""
+    keys = np.stack([rows[c].to_numpy() for c in by])
+    if (keys != keys[:, :1]).any():
+        order = np.lexsort(keys[::-1])
+        rows, keys = rows.take(pa.array(order)), keys[:, order]
+    cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), len(rows)]
+    for a, b in zip(cuts, cuts[1:]):
+        for i in range(a, b, PACK):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
+                out.write_table(rows.slice(i, min(PACK, b - i)).combine_chunks())
+            yield pa.record_batch([rows[c].slice(i, 1).combine_chunks() for c in by] + [pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=[*by, "rows"])
+
+
+def _unpacked_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for rows in batch["rows"]:
+            yield from pa.ipc.open_stream(rows.as_buffer())
 
 
-def _folded(sides: DataFrame, before: DataFrame) -> DataFrame:
-    """A short run of days: one group for each window."""
+def packed(df: DataFrame, *by: str) -> DataFrame:
+    """df in few rows (see _packed_rows), so that a single task has little to do with each of its rows."""
 
-    def run(rows: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows):
-            return pd.DataFrame(columns=["window", *_RUN_COLUMNS])
-        return fold_sides(rows, states).assign(window=rows["window"].iloc[0])
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield from _packed_rows(pa.Table.from_batches([batch]), list(by))
 
-    number, schema = F.datediff("day", F.lit(EPOCH)), f"window int, {PERIODS}, next int"
-    new = sides.withColumn("day", number).groupBy("window").cogroup(before.withColumn("day", number).groupBy("window")).applyInPandas(run, schema.replace("day date", "day int"))
-    return new.withColumn("day", F.date_add(F.lit(EPOCH), F.col("day"))).select(*(c.split()[0] for c in schema.split(", ")))
+    return df.mapInArrow(pack, ", ".join([f"{c} int" for c in by] + ["rows binary"]))
+
+
+def unpacked(df: DataFrame, schema: str) -> DataFrame:
+    return df.select("rows").mapInArrow(_unpacked_rows, schema)
+
+
+def _folded(sides: DataFrame, before: DataFrame, windows: int) -> DataFrame:
+    """A short run of days: one group for each window, of its packed sides and states.  Packed rows by window and next run."""
+    names = pa.schema([(c, _KINDS[t]) for c, t in (x.split() for x in PACKED_PERIODS.split(", "))])
+
+    def run(held: pa.Table) -> pa.Table:
+        def of(is_state: bool, *columns: str) -> dict[str, np.ndarray]:
+            rows = list(_unpacked_rows(held.filter(held["is_state"] if is_state else pc.invert(held["is_state"])).to_batches()))
+            rows = pa.Table.from_batches(rows) if rows else names.empty_table()
+            return {c: (rows[c].cast(pa.int32()) if c == "day" else rows[c]).to_numpy() for c in columns if c in rows.column_names}
+
+        sides = of(False, "player_id", "day", "other", "won", "next")
+        if not len(sides["day"]):
+            return pa.schema([("window", pa.int32()), ("next", pa.int32()), ("rows", pa.binary())]).empty_table()
+        out = fold_sides(sides, of(True, "player_id", "day", "rating", "deviation", "volatility", "total_matches", "total_wins"))
+        out |= {"day": out["day"].astype("int32"), "window": np.full(len(out["day"]), held["window"][0].as_py())}
+        return pa.Table.from_batches(_packed_rows(pa.table([pa.array(out[f.name]).cast(f.type) for f in names], schema=names), ["window", "next"]))
+
+    both = sides.select("window", F.lit(False).alias("is_state"), "rows").union(before.select("window", F.lit(True), "rows"))
+    return both.repartition(windows, "window").groupBy("window").applyInArrow(run, "window int, next int, rows binary")
 
 
 @F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("rating", "deviation", "volatility")]))
@@ -152,39 +219,43 @@ def window_periods(matches: DataFrame, states: DataFrame | None = None, block: i
     runs = _runs(days, block)
     starts = [first for first, *_ in runs]
     run_of = spark.createDataFrame([(day, bisect_right(starts, day)) for day, _ in days], "day date, run int")
-    sides = _sides(matches, run_of, -(-max((n for *_, n in runs), default=0) // block))
-    path, schema = new_folder(spark, "periods"), f"window int, {PERIODS}, next int"
-    plain = schema.rsplit(", ", 1)[0]
-    spark.createDataFrame([], plain).write.parquet(f"{path}/run=0/next={NO_RUN}")
+    sides = _sides(matches, run_of, max(1, len(runs)), max(4, -(-max((n for *_, n in runs), default=0) // block)))
+    path, stored = new_folder(spark, "periods"), "window int, rows binary"
+    columns = [x.split() for x in PACKED_PERIODS.split(", ")]
+    write = lambda rows, no: packed(rows.select(*(F.col(c).cast(t).alias(c) for c, t in columns)), "window", "next").write.partitionBy("next").mode("append").parquet(f"{path}/run={no}")
+    spark.createDataFrame([], stored).write.parquet(f"{path}/run=0/next={NO_RUN}")
     if states is not None:  # states from before the first run go to the first one of their player, too
         first = matches.select("window", F.explode(F.array("home", "away")).alias("player_id"), "day").groupBy("window", "player_id").agg(F.min("day").alias("on"))
         first = first.join(F.broadcast(run_of.withColumnRenamed("day", "on")), "on").select("window", "player_id", F.col("run").alias("next"))
         given = states.join(first, ["window", "player_id"], "left").withColumn("next", F.coalesce("next", F.lit(NO_RUN)))
-        columns = [x.split() for x in schema.split(", ")]
-        given.select(*(F.col(c) if c in given.columns else F.lit(None).cast(t).alias(c) for c, t in columns)).write.partitionBy("next").mode("append").parquet(f"{path}/run=0")
+        write(given.select(*(F.col(c) if c in given.columns else F.lit(None).cast(t).alias(c) for c, t in columns)), 0)
     for no, (_, _, n) in enumerate(runs, 1):
-        part = spark.read.schema(SIDES).parquet(f"{sides}/run={no}")
+        at = f"{sides}/run={no}"
         handed = found(spark, f"{path}/run=*/next={no}")
-        before = spark.read.schema(plain).parquet(*handed) if handed else spark.createDataFrame([], plain)
-        before = before.select(*(c.split()[0] for c in STATES.split(", ")))
-        out, used = (_folded(part, before), None) if n <= block else _one_day(part, before)
-        out.write.partitionBy("next").parquet(f"{path}/run={no}")
-        if used is not None:
+        before = spark.read.schema(stored).parquet(*handed) if handed else spark.createDataFrame([], stored)
+        part = spark.read.schema(stored).parquet(at)
+        if n <= block:
+            _folded(part, before, len(parts_of(spark, at, "window"))).write.partitionBy("next").parquet(f"{path}/run={no}")
+        else:
+            state = unpacked(before, PACKED_PERIODS).select(*(c.split()[0] for c in STATES.split(", ")))
+            out, used = _one_day(unpacked(part, PACKED_SIDES), state)
+            write(out, no)
             dropped(used)
     removed(spark, sides)
     dropped(matches)
-    rows = spark.read.schema(f"{schema}, run int").parquet(path)
-    return rows.where("run > 0").drop("run", "next"), rows.where(F.col("next") == NO_RUN).select(*(c.split()[0] for c in STATES.split(", ")))
+    rows = spark.read.schema(f"{stored}, next int, run int").parquet(path)
+    return unpacked(rows.where("run > 0"), PACKED_PERIODS).drop("next"), unpacked(rows.where(F.col("next") == NO_RUN), PACKED_PERIODS).select(*(c.split()[0] for c in STATES.split(", ")))
 
 
-def _sides(matches: DataFrame, run_of: DataFrame, tasks: int) -> str:
-    """Writes SIDES by run, each row with the next run of its player; the folder.  tasks: how many write the longest run."""
+def _sides(matches: DataFrame, run_of: DataFrame, runs: int, tasks: int) -> str:
+    """Writes SIDES by run and window, each row with the next run of its player; the folder.  runs: how many there are; tasks: into how many parts each is cut, by player."""
     path = new_folder(matches.sparkSession, "sides")
     row = lambda me, other, won: F.struct(F.col(me).alias("player_id"), F.col(other).alias("other"), won.alias("won"))
     both = matches.join(F.broadcast(run_of), "day").select("run", "window", "day", F.explode(F.array(row("home", "away", F.col("home_won")), row("away", "home", ~F.col("home_won")))).alias("s")).select("run", "window", "day", "s.*")
     later = Window.partitionBy("window", "player_id").orderBy(F.desc("run")).rangeBetween(Window.unboundedPreceding, -1)
     told = both.withColumn("next", F.coalesce(F.min("run").over(later), F.lit(NO_RUN)))
-    told.repartition("run", F.pmod(F.xxhash64("player_id"), F.lit(max(1, tasks)))).write.partitionBy("run").parquet(path)
+    told = told.select(*(c.split()[0] for c in PACKED_SIDES.split(", "))).repartition(runs * tasks, "run", "window", F.pmod(F.xxhash64("player_id"), F.lit(tasks))).sortWithinPartitions("run", "window")
+    packed(told, "run", "window").write.partitionBy("run", "window").parquet(path)
     return path
 
 

@@ -5,6 +5,7 @@ from datetime import date, datetime, timedelta
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +77,29 @@ def test_runs_write_no_states_of_players_that_they_do_not_rate(spark, monkeypatc
     assert sum(sizes) <= 2 * len(rows)
 
 
+def test_runs_hand_on_few_rows(spark, monkeypatch):
+    """A run's one task reads and writes packed rows: as many as there are next runs, not one for each period; two windows are folded side by side."""
+    rows = played(60)
+    real, paths = rating_fold.new_folder, []
+    monkeypatch.setattr(rating_fold, "new_folder", lambda s, stem: paths.append(real(s, stem)) or paths[-1])
+    both = spark.createDataFrame([(w, *r) for w in (2, 5) for r in rows[:: 1 if w == 2 else 2]], "window int, " + ROWS)
+    p, states = rating_fold.window_periods(both, None, 15)
+    for w, part in ((2, rows), (5, rows[::2])):
+        want = rating_fold.fold(pd.DataFrame(part, columns=["day", "home", "away", "home_won"]))[0]
+        got = {(r["player_id"], r["day"]): r["rating"] for r in p.where(F.col("window") == w).collect()}
+        assert got == pytest.approx({(p, d): r for p, d, r in zip(want["player_id"], want["day"], want["rating"])})
+        assert states.where(F.col("window") == w).count() == want["player_id"].nunique()
+    periods = next(x for x in paths if "periods-" in x)
+    assert spark.read.parquet(periods).count() < p.count() / 3
+
+
+def test_packed_rows_hold_all_rows(monkeypatch):
+    monkeypatch.setattr(rating_fold, "PACK", 3)
+    rows = pa.table({"window": pa.array([0, 1, 0, 1, 0, 0, 0], pa.int32()), "next": pa.array([2, 2, -1, 2, 2, 2, 2], pa.int32()), "x": list(range(7))})
+    got = [(b["window"][0].as_py(), b["next"][0].as_py(), sorted(x for part in rating_fold._unpacked_rows([b]) for x in part["x"].to_pylist())) for b in rating_fold._packed_rows(rows, ["window", "next"])]
+    assert sorted((w, n, tuple(x)) for w, n, x in got) == [(0, -1, (2,)), (0, 2, (0, 4, 5)), (0, 2, (6,)), (1, 2, (1, 3))]
+
+
 def test_many_updates_at_once_equal_the_single_one():
     rng = random.Random(8)
     seen = [(rng.uniform(900, 2200), rng.uniform(30, 350), rng.uniform(0.03, 0.09), rng.uniform(0.01, 6), rng.uniform(-9, 9)) for _ in range(400)]
