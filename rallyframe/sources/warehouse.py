@@ -28,13 +28,14 @@ import re
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.merge import changed_since, first_of_each, stage_check
-from .staging import dropped, found, new_folder, parts_of, removed, version_path, versions, written
+from ..operators.merge import changed_since, first_of_each
+from .staging import dropped, found, new_folder, parts_of, removed, swept, version_path, versions, written
 
 MODES, GRAINS = ("full-replace", "incremental-merge"), {"DAY": "yyyy-MM-dd", "MONTH": "yyyy-MM"}
 TIMES = (T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -148,7 +149,8 @@ def _write(spec: TableSpec, rows: DataFrame, path: str, **options: str) -> None:
     """rows with their part, one set of files a part, in cluster order.  A part that is large is dealt over files by key, not one task."""
     dealt = rows.hint("rebalance", "part")
     order = ["part", *spec.cluster, *(k for k in spec.keys if k not in spec.cluster)]
-    dealt.sortWithinPartitions(*order).write.partitionBy("part").mode("overwrite").options(maxRecordsPerFile=spec.file_rows, **options).parquet(path)
+    with swept(rows.sparkSession):
+        dealt.sortWithinPartitions(*order).write.partitionBy("part").mode("overwrite").options(maxRecordsPerFile=spec.file_rows, **options).parquet(path)
 
 
 def _stored(spec: TableSpec, spark: SparkSession, path: str) -> DataFrame:
@@ -159,7 +161,9 @@ def _stored(spec: TableSpec, spark: SparkSession, path: str) -> DataFrame:
 
 
 def _refuse_null_keys(spec: TableSpec, rows: DataFrame) -> None:
-    nulls = stage_check(rows, list(spec.keys)).first()["null_keys"]
+    null = reduce(Column.__or__, (F.col(k).isNull() for k in spec.keys))
+    with swept(rows.sparkSession):
+        nulls = rows.where(null).count()
     if nulls:
         raise ValueError(f"{spec.name}: {nulls} rows without a key")
 

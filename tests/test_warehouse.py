@@ -1,6 +1,8 @@
 """Declared tables: rules, full replacement, incremental runs, pruning and buckets."""
 
+import os
 import random
+import time
 from dataclasses import replace
 from datetime import datetime, timedelta
 
@@ -158,3 +160,19 @@ def test_files_are_bounded_and_in_cluster_order(spark, tmp_path):
     files = list((tmp_path / "t/v000000000").glob("part=*/*.parquet"))
     each = [[r["value"] for r in spark.read.parquet(str(f)).collect()] for f in files]
     assert sum(map(len, each)) == 60 and max(map(len, each)) == 7 and all(v == sorted(v) for v in each)
+
+
+def test_writes_leave_no_shuffle_files(spark, tmp_path):
+    def files():
+        tops = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return {f for top in tops for _, _, names in os.walk(top.getPath()) for f in names if f.startswith("shuffle_")}
+
+    rows = spark.range(1000).selectExpr("id", "id % 7 as n")
+    before = files()
+    warehouse.written(rows.repartition(4, "n").groupBy("id").count())
+    replaced(TableSpec("numbers", "id bigint NOT NULL, n bigint", ("id",)), rows, f"{tmp_path}/numbers")
+    for _ in range(20):  # they go shortly after
+        if files() <= before:
+            break
+        time.sleep(0.5)
+    assert files() <= before
