@@ -104,7 +104,9 @@ def player_findings(c: DataFrame, coverage: DataFrame) -> DataFrame:
     faults = coverage.where(F.col("category").isin(*PLAYER_CATEGORIES)).select(*_finding(F.col("category"), F.when(grave, "critical").otherwise("warning"), "player", F.col("player_id"), _json(**{x: F.col(x) for x in counted}), day=last))
     most = coverage.where("eligible_matches_in_window > 0").orderBy(F.desc("unique_opponents_in_window"), "player_id").limit(MOST_OPPONENTS)
     most = most.select(*_finding(F.lit("high_opponent_count"), F.lit("info"), "player", F.col("player_id"), _json(**{x: F.col(x) for x in ("unique_opponents_in_window", "eligible_matches_in_window", last)}), day=last))
-    days = player_sides(c).where("effective_day is not null and league_id is not null").groupBy("player_id", "effective_day").agg(F.countDistinct("league_id").alias("sources"), F.countDistinct("competition_id").alias("competitions")).where("sources > 1")
+    # sets of a player's day are small, and put together before the shuffle; two distinct counts would shuffle every side twice
+    different = lambda x: F.size(F.collect_set(x)).cast("bigint")
+    days = player_sides(c).where("effective_day is not null and league_id is not null").groupBy("player_id", "effective_day").agg(different("league_id").alias("sources"), different("competition_id").alias("competitions")).where("sources > 1")
     busy = days.groupBy("player_id").agg(F.count("*").alias("affected_days"), F.max("effective_day").alias("latest_date"), F.max("sources").alias("maximum_platforms"), F.max("competitions").alias("maximum_competitions"))
     busy = busy.select(*_finding(F.lit("same_day_cross_platform_activity"), F.lit("warning"), "player", F.col("player_id"), _json(**{x: F.col(x) for x in busy.columns[1:]}), day="latest_date"))
     return faults.unionByName(most).unionByName(busy)

@@ -82,14 +82,17 @@ def _runs_sql(runs: int) -> str:
     FROM span s JOIN found f ON f.issue_type = s.issue_type AND f.entity_type = s.entity_type AND f.entity_id = s.entity_id AND f.run_at = s.last_seen""")
 def issue_refresh(d: Domain) -> DataFrame:
     """Three audits a year apart into one table: what is open, since when, and what went away at which of them."""
-    stored, last = d.spark.createDataFrame([], issues.STORED), None
-    for at in run_dates(d, 3):
-        c = known(d, at)
+    stored, dates = d.spark.createDataFrame([], issues.STORED), run_dates(d, 3)
+    if not dates:
+        return stored
+    every, last = known(d, dates[-1]), None  # what was known earlier is a part of it
+    for at in dates:
+        c = every.where(F.col("updated_on") <= F.lit(at))
         stored = written(issues.refreshed(stored, findings(d, c, at), at))
-        for old in (c, last):
-            if old is not None:
-                dropped(old)
+        if last is not None:
+            dropped(last)
         last = stored
+    dropped(every)
     return stored
 
 

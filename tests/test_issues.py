@@ -134,3 +134,29 @@ def test_model_and_network_agree(spark):
     assert (model["processed_matches"], model["rated_players"]) == (network["eligible_matches"], network["connected_players"]) and model["rated_players"] > 0
     assert (model["first_rated_date"], model["last_processed_date"]) == (network["first_match_date"], network["last_match_date"])
     assert model["established_players"] + model["provisional_players"] == model["rated_players"]
+
+
+def test_three_audits_classify_once(spark, monkeypatch):
+    """What was known at an earlier date is a part of what is known now, so it is not made again."""
+    from types import SimpleNamespace
+
+    from rallyframe.plans import quality
+    from rallyframe.sources.staging import written
+
+    dates, calls, seen = [datetime.date(y, 1, 1) for y in (1998, 1999, 2000)], [], []
+
+    def known(d, at):
+        calls.append(at)
+        return written(spark.createDataFrame([(i, x) for i, x in enumerate(dates)], "rubber_id long, updated_on date"))
+
+    def findings(d, c, at):
+        seen.append([r["rubber_id"] for r in c.orderBy("rubber_id").collect()])
+        return c.selectExpr("'tied_score' issue_type", "'rubber' entity_type", "cast(rubber_id as string) entity_id", "'warning' severity", "1L source_id", "2L competition_id", "updated_on match_day", "'' details").where(f"rubber_id <> 0 or date'{at}' < date'2000-01-01'")
+
+    monkeypatch.setattr(quality, "run_dates", lambda d, runs: dates)
+    monkeypatch.setattr(quality, "known", known)
+    monkeypatch.setattr(quality, "findings", findings)
+    got = {r["entity_id"]: (r["first_seen"], r["last_seen"], r["resolved_at"]) for r in quality.issue_refresh(SimpleNamespace(spark=spark)).collect()}
+    assert seen == [[0], [0, 1], [0, 1, 2]]
+    assert got == {"0": (dates[0], dates[1], dates[2]), "1": (dates[1], dates[2], None), "2": (dates[2], dates[2], None)}
+    assert calls == dates[-1:]
